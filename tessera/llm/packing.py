@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -14,6 +15,10 @@ from tessera.llm.common import cut, ship
 PIECES = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, partition long, open boolean"
 #: Entries of a task's table of encoded words; when full it starts anew.
 REMEMBERED = 300_000
+#: Words whose lower case and parts don't depend on Unicode tables, and the parts.
+PLAIN = re.compile("[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
+PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿ]+|[0-9]|[^a-zà-öø-ÿ0-9]+")
+ASCII_SPACE = re.compile("[ \t\n\r]+")
 #: Leftover windows that are merged together: a group holds at most so many, whatever the corpus.
 MERGED_TOGETHER = 512
 #: Sequence ids: the partition (or group of leftovers) times this, plus a counter.
@@ -23,8 +28,9 @@ STRIDE = 1 << 32
 class WordEncoder:
     """A ``tokenizers`` BPE file whose pre-tokenizer drops white space, applied word by word with remembered words.
 
-    Words are cut at ASCII white space, which this kind of tokenizer never joins. A text that holds the first
-    character of an added token next to another of its characters is encoded as a whole."""
+    Words are cut at ASCII white space, which this kind of tokenizer never joins. A word of ASCII and Latin-1
+    letters is lower-cased and cut as the file's pre-tokenizer does, and its parts are remembered too; any other word
+    is left to the library. A text that holds an added token is encoded as a whole."""
 
     def __init__(self, path: str):
         import json
@@ -36,6 +42,7 @@ class WordEncoder:
         with open(path, encoding="utf-8") as f:
             self.added = [x["content"] for x in json.load(f)["added_tokens"]]
         self.seen: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
         return [self.np.asarray(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -44,17 +51,25 @@ class WordEncoder:
         """The ids of ``text``, little-endian, four bytes each."""
         if any(x in text for x in self.added):
             return self._bytes([text])[0]
-        words, seen = text.split(), self.seen
-        new = set(words) - seen.keys()
+        words, seen = ASCII_SPACE.split(text), self.seen
+        new = [x for x in set(words) if x not in seen]
         if new:
             if len(seen) + len(new) > REMEMBERED:
                 seen.clear()
-                new = set(words)
-            new = list(new)
-            for at in range(0, len(new), 1000):
-                seen.update(zip(new[at : at + 1000], self._bytes(new[at : at + 1000]), strict=True))
+                new = list(set(words))
+            self._learn(new)
         return b"".join(map(seen.__getitem__, words))
 
+    def _learn(self, words: list[str]) -> None:
+        cut = [(x, PARTS.findall(x.lower()) if PLAIN.fullmatch(x) else [x]) for x in words]
+        parts = self.parts
+        if len(parts) > REMEMBERED:
+            parts.clear()
+        new = list({y for _, x in cut for y in x if y not in parts})
+        for at in range(0, len(new), 1000):
+            parts.update(zip(new[at : at + 1000], self._bytes(new[at : at + 1000]), strict=True))
+        self.seen.update((x, b"".join([parts[y] for y in ys])) for x, ys in cut)
+
 
 class Windows:
     """A fixed number of open windows. ``place`` takes a piece and gives the windows that it closes."""

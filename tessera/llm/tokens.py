@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,59 +20,95 @@ SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 REMEMBERED = 400_000
 
 
+class Pairs(dict):
+    """Rank of the piece that two adjacent symbols make, by ``left * base + right``; -1 if there is none."""
+
+    def __init__(self, pieces: list[str]):
+        super().__init__()
+        self.pieces, self.rank, self.base = pieces, {x: r for r, x in enumerate(pieces)}, len(pieces) + 1
+
+    def __missing__(self, key: int) -> int:
+        a, b = divmod(key, self.base)
+        if a >= len(self.pieces) or b >= len(self.pieces):
+            return -1
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[key] = rank = self.rank.get(self.pieces[a] + self.pieces[b], -1)
+        return rank
+
+
 class PieceMerges:
-    """Merge ranks of a sentencepiece BPE model with byte fallback, identity normaliser and a space put in front."""
+    """Merge ranks of a sentencepiece BPE model with byte fallback, identity normaliser and a space put in front.
+
+    A symbol is known by its piece's rank, and so is the piece that a merge makes."""
 
     def __init__(self, path: str):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         normal = [i for i in range(model.vocab_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
-        self.score = {model.id_to_piece(i): model.get_score(i) for i in normal}
-        if any(SPACE in x.lstrip(SPACE) for x in self.score):
+        pieces = [model.id_to_piece(i) for i in sorted(normal, key=lambda i: (-model.get_score(i), i))]
+        if any(SPACE in x.lstrip(SPACE) for x in pieces):
             raise ValueError("a piece goes on after a space inside it; segments can't be merged one by one")
-        self.seen: dict[str, int] = {}
-
-    def merges(self, segment: str) -> int:
-        """Tokens of one segment: a heap of adjacent pairs by rank, then place, over a linked list of symbols."""
-        score, n = self.score, len(segment)
-        text: list[str] = list(segment)
-        left, right, tokens, heap = list(range(-1, n - 1)), list(range(1, n + 1)), n, []
-        for i in range(n - 1):
-            s = score.get(text[i] + text[i + 1])
-            if s is not None:
-                heap.append((-s, i, i + 1, text[i] + text[i + 1]))
-        heapq.heapify(heap)
+        self.pairs, self.seen = Pairs(pieces), {}
+        #: Neighbours that some piece holds side by side. No merge crosses any other boundary.
+        self.neighbours = {x[i : i + 2] for x in pieces for i in range(len(x) - 1)}
+        self.parts: dict[str, int] = {}
+
+    def merges(self, part: str) -> int:
+        """Tokens of a part: a heap of adjacent pairs by rank, then place, over a linked list of symbols."""
+        pairs, rank, base, n = self.pairs, self.pairs.rank, self.pairs.base, len(part)
+        ids = [rank.get(c, base - 1) for c in part]
+        # a symbol outside the vocabulary falls back to its bytes
+        tokens = n if base - 1 not in ids else sum(1 if c in rank else len(c.encode()) for c in part)
+        heap = [r * n + i for i in range(n - 1) if (r := pairs[ids[i] * base + ids[i + 1]]) >= 0]
+        heapify(heap)
+        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         while heap:
-            _, i, j, piece = heapq.heappop(heap)
-            if j >= n or right[i] != j or text[i] + text[j] != piece or not text[i] or not text[j]:
+            r, i = divmod(heappop(heap), n)
+            j = right[i]
+            if j >= n or ids[i] < 0 or pairs[ids[i] * base + ids[j]] != r:
                 continue  # one of the two has merged elsewhere since
-            text[i], text[j] = piece, ""
+            ids[i], ids[j] = r, -1
             right[i] = k = right[j]
             tokens -= 1
             if k < n:
                 left[k] = i
-                s = score.get(piece + text[k])
-                if s is not None:
-                    heapq.heappush(heap, (-s, i, k, piece + text[k]))
+                if (s := pairs[r * base + ids[k]]) >= 0:
+                    heappush(heap, s * n + i)
             h = left[i]
-            if h >= 0:
-                s = score.get(text[h] + piece)
-                if s is not None:
-                    heapq.heappush(heap, (-s, h, i, text[h] + piece))
-        # a symbol outside the vocabulary falls back to its bytes
-        return tokens + sum(len(c.encode()) - 1 for c in segment if c not in score)
+            if h >= 0 and (s := pairs[ids[h] * base + r]) >= 0:
+                heappush(heap, s * n + h)
+        return tokens
+
+    def segment(self, segment: str) -> int:
+        """Tokens of a segment, part by part; parts end where no piece has the two neighbours side by side."""
+        total, start, parts, neighbours = 0, 0, self.parts, self.neighbours
+        cuts = [i for i, pair in enumerate(zip(segment, segment[1:]), 1) if pair[0] + pair[1] not in neighbours]
+        for end in [*cuts, len(segment)]:
+            part = segment[start:end]
+            start = end
+            if len(part) == 1:
+                total += 1 if part in self.pairs.rank else len(part.encode())
+                continue
+            n = parts.get(part)
+            if n is None:
+                if len(parts) >= REMEMBERED:
+                    parts.clear()
+                parts[part] = n = self.merges(part)
+            total += n
+        return total
 
     def count(self, text: str) -> int:
         if not text:
             return 0
         segments, seen = SEGMENT.findall(SPACE + text.replace(" ", SPACE)), self.seen
-        new = set(segments) - seen.keys()
+        new = [x for x in set(segments) if x not in seen]
         if new:
             if len(seen) + len(new) > REMEMBERED:
                 seen.clear()
                 new = set(segments)
-            seen.update((x, self.merges(x)) for x in new)
+            seen.update((x, self.segment(x)) for x in new)
         return sum(map(seen.__getitem__, segments))
 
 
