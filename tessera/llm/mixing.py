@@ -25,8 +25,8 @@ def _order_key() -> Column:
 def source_targets(totals: DataFrame, weights: tuple[int, ...], cap: float) -> DataFrame:
     """(source, words) to sid, weight, target: shares of all words by weight, capped at ``cap`` times a source's words.
 
-    What a cap cuts off is shared again by weight: with sources in order of cap over weight, the level of the
-    uncapped ones is the first that stays within its source's ratio. One row a source: a recipe lists its sources."""
+    What a cap cuts off is shared again by weight: with sources in order of cap over weight, the level that each
+    would give the rest rises while sources are capped and falls from then on, so its peak holds. One row a source: a recipe lists its sources."""
     w = F.lit([float(x) for x in weights])
     ranked = totals.withColumn("sid", F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")) - 1)
     ranked = ranked.withColumn("weight", w[(F.col("sid") % len(weights))]).withColumn("most", F.col("words") * cap)
@@ -35,8 +35,8 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...], cap: float) -> D
     everything = Window.partitionBy()
     level = (F.sum("words").over(everything) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("weight").over(after)
     ranked = ranked.withColumn("level", level)
-    final = F.min(F.when(F.col("level") * F.col("weight") <= F.col("most"), F.col("level"))).over(everything)
-    return ranked.withColumn("target", F.least("most", F.coalesce(final, F.lit(0.0)) * F.col("weight"))).select("source", "sid", "words", "n", "weight", "target")
+    final = F.max("level").over(everything)
+    return ranked.withColumn("target", F.least("most", final * F.col("weight"))).select("source", "sid", "words", "n", "weight", "target")
 
 
 def _demands(sources: DataFrame, block_words: int) -> DataFrame:

@@ -17,7 +17,7 @@ PIECES = "doc_id string, start long, length long, ids_crc32 long, doc_tokens lon
 REMEMBERED = 300_000
 #: Words whose lower case and parts don't depend on Unicode tables, and the parts.
 PLAIN = re.compile("[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
-PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿ]+|[0-9]|[^a-zà-öø-ÿ0-9]+")
+PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 ASCII_SPACE = re.compile("[ \t\n\r]+")
 #: Leftover windows that are merged together: a group holds at most so many, whatever the corpus.
 MERGED_TOGETHER = 512

@@ -54,7 +54,7 @@ r AS (SELECT *, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LA
 l AS (SELECT *, ((sum(words) OVER ()) - coalesce(sum(most) OVER (ORDER BY most / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
              / sum(w) OVER (ORDER BY most / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
 g AS (SELECT source, words::BIGINT AS source_size,
-             least(most, coalesce(min(CASE WHEN level * w <= most THEN level END) OVER (), 0) * w) AS target FROM l),
+             least(most, max(level) OVER () * w) AS target FROM l),
 p AS (SELECT d.doc_id, d.size, g.source_size, g.target, floor(g.target + 0.5)::BIGINT AS need,
              (sum(d.size) OVER (PARTITION BY d.source ORDER BY k, d.doc_id NULLS FIRST, d.size ROWS UNBOUNDED PRECEDING) - d.size)::BIGINT AS pos
       FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
