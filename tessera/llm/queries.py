@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import media, mixing, packing, tokens
+from tessera.llm import html, media, mixing, packing, tokens
 
 #: Where the vocabulary files lie; empty: beside the package ``public_tokenizers``.
 TOKENIZERS = os.environ.get("TESSERA_TOKENIZERS", "")
@@ -32,6 +32,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -41,7 +45,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_mixing, op5_token_counts, op8_packing, op10_media)
+    found = (op1_mixing, op5_token_counts, op6_html_text, op8_packing, op10_media)
     return {f.__name__: f for f in found}
 
 
