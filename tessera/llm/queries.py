@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import html, media, minhash, mixing, packing, tokens
+from tessera.llm import html, media, minhash, mixing, packing, tokens, vectors
 
 #: Where the vocabulary files lie; empty: beside the package ``public_tokenizers``.
 TOKENIZERS = os.environ.get("TESSERA_TOKENIZERS", "")
@@ -40,6 +40,10 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_table(spark, sf_dir, "pages"))
 
 
+def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -49,7 +53,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_mixing, op4_minhash, op5_token_counts, op6_html_text, op8_packing, op10_media)
+    found = (op1_mixing, op4_minhash, op5_token_counts, op6_html_text, op7_vectors, op8_packing, op10_media)
     return {f.__name__: f for f in found}
 
 
