@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows that a Python worker gets at once, at most.
+ROWS_A_BATCH = 1000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` of the session, or one of our own where unset."""
@@ -36,7 +39,11 @@ def cut(df: DataFrame, name: str = "table") -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver found it."""
+    """Let Python workers import this package from where the driver found it, and send them few rows at a time.
+
+    Texts may be long: batches of ``ROWS_A_BATCH`` rows bound what a worker holds, unless the session asks for less."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ROWS_A_BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_A_BATCH))
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):

@@ -14,7 +14,7 @@ from tessera.llm.common import cut, ship
 
 PIECES = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, partition long, open boolean"
 #: Entries of a task's table of encoded words; when full it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: Words whose lower case and parts don't depend on Unicode tables, and the parts.
 PLAIN = re.compile("[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
 PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
@@ -47,6 +47,15 @@ class WordEncoder:
     def _bytes(self, texts: list[str]) -> list[bytes]:
         return [self.np.asarray(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _split(self, parts: list[str]) -> list[bytes]:
+        """The ids of each part, encoded together: white space sets parts apart, and each is one pre-token."""
+        found = self.tokenizer.encode(" ".join(parts), add_special_tokens=False)
+        starts = self.np.flatnonzero(self.np.diff(self.np.asarray(found.word_ids, dtype=self.np.int64), prepend=-1)) * 4
+        if len(starts) != len(parts):
+            return self._bytes(parts)
+        ids, starts = self.np.asarray(found.ids, dtype="<u4").tobytes(), starts.tolist()
+        return [ids[a:b] for a, b in zip(starts, [*starts[1:], len(ids)], strict=True)]
+
     def __call__(self, text: str) -> bytes:
         """The ids of ``text``, little-endian, four bytes each."""
         if any(x in text for x in self.added):
@@ -65,9 +74,12 @@ class WordEncoder:
         parts = self.parts
         if len(parts) > REMEMBERED:
             parts.clear()
-        new = list({y for _, x in cut for y in x if y not in parts})
-        for at in range(0, len(new), 1000):
-            parts.update(zip(new[at : at + 1000], self._bytes(new[at : at + 1000]), strict=True))
+        new = list({y for (w, x) in cut for y in x if y not in parts and y is not w})
+        whole = [w for w, x in cut if x and x[0] is w and w not in parts]
+        for at in range(0, len(new), 2000):
+            few = new[at : at + 2000]
+            parts.update(zip(few, self._split(few), strict=True))
+        parts.update(zip(whole, self._bytes(whole), strict=True))
         self.seen.update((x, b"".join([parts[y] for y in ys])) for x, ys in cut)
 
 

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import html, media, minhash, mixing, packing, tokens, vectors
+from tessera.llm import html, lines, media, minhash, mixing, packing, tokens, vectors
 
 #: Where the vocabulary files lie; empty: beside the package ``public_tokenizers``.
 TOKENIZERS = os.environ.get("TESSERA_TOKENIZERS", "")
@@ -28,6 +28,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_mixing, op4_minhash, op5_token_counts, op6_html_text, op7_vectors, op8_packing, op10_media)
+    found = (op1_mixing, op2_lines, op4_minhash, op5_token_counts, op6_html_text, op7_vectors, op8_packing, op10_media)
     return {f.__name__: f for f in found}
 
 

@@ -17,7 +17,7 @@ SPACE = "▁"
 #: Segments that no merge crosses: spaces, then what follows them. Sentences are cut where spaces begin.
 SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 #: Entries of a task's table of counted segments; when full it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 class Pairs(dict):
