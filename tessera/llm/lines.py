@@ -37,7 +37,7 @@ def may_hold(keys: DataFrame, column: str) -> Column | None:
         return None
     bits = 1 << max(12, min(MOST_BITS, 8 * n).bit_length() - 1)
     place = F.pmod(F.col(column), F.lit(bits))
-    words = keys.select(F.floor(place / 64).cast("int").alias("w"), F.shiftleft(F.lit(1).cast("long"), (place % 64).cast("int")).alias("b"))
+    words = keys.select(F.floor(place / 64).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias("b"))
     table = bytearray(bits // 8)
     for w, b in words.groupBy("w").agg(F.bit_or("b").alias("b")).collect():
         table[8 * w : 8 * w + 8] = (b & (1 << 64) - 1).to_bytes(8, "little")
