@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import html, lines, media, minhash, mixing, packing, tokens, vectors
+from tessera.llm import html, lines, media, minhash, mixing, packing, quality, tokens, vectors
 
 #: Where the vocabulary files lie; empty: beside the package ``public_tokenizers``.
 TOKENIZERS = os.environ.get("TESSERA_TOKENIZERS", "")
@@ -52,12 +52,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    found = (op1_mixing, op2_lines, op4_minhash, op5_token_counts, op6_html_text, op7_vectors, op8_packing, op10_media)
+    found = (op1_mixing, op2_lines, op4_minhash, op5_token_counts, op6_html_text, op7_vectors, op8_packing, op9_quality, op10_media)
     return {f.__name__: f for f in found}
 
 
