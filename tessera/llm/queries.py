@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import html, lines, media, minhash, mixing, packing, quality, tokens, vectors
+from tessera.llm import html, licenses, lines, media, minhash, mixing, packing, quality, tokens, vectors
 
 #: Where the vocabulary files lie; empty: beside the package ``public_tokenizers``.
 TOKENIZERS = os.environ.get("TESSERA_TOKENIZERS", "")
@@ -32,6 +32,10 @@ def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.document_licences(_table(spark, sf_dir, "documents"))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -61,7 +65,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_mixing, op2_lines, op4_minhash, op5_token_counts, op6_html_text, op7_vectors, op8_packing, op9_quality, op10_media)
+    found = (op1_mixing, op2_lines, op3_licenses, op4_minhash, op5_token_counts, op6_html_text, op7_vectors, op8_packing, op9_quality, op10_media)
     return {f.__name__: f for f in found}
 
 
