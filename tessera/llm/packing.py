@@ -14,10 +14,11 @@ from tessera.llm.common import cut, ship
 
 PIECES = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, partition long, open boolean"
 #: Entries of a task's table of encoded words; when full it starts anew.
-REMEMBERED = 150_000
+REMEMBERED = 300_000
 #: Words whose lower case and parts don't depend on Unicode tables, and the parts.
+PLAIN_TEXT = re.compile("[\\t\\n\\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
 PLAIN = re.compile("[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
-PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\\s]+")
 ASCII_SPACE = re.compile("[ \t\n\r]+")
 #: Leftover windows that are merged together: a group holds at most so many, whatever the corpus.
 MERGED_TOGETHER = 512
@@ -26,11 +27,11 @@ STRIDE = 1 << 32
 
 
 class WordEncoder:
-    """A ``tokenizers`` BPE file whose pre-tokenizer drops white space, applied word by word with remembered words.
+    """A ``tokenizers`` BPE file whose pre-tokenizer drops white space, applied to remembered parts of texts.
 
-    Words are cut at ASCII white space, which this kind of tokenizer never joins. A word of ASCII and Latin-1
-    letters is lower-cased and cut as the file's pre-tokenizer does, and its parts are remembered too; any other word
-    is left to the library. A text that holds an added token is encoded as a whole."""
+    A text of ASCII and Latin-1 letters is lower-cased and cut as the file's pre-tokenizer does; parts are encoded once.
+    In other texts, words that hold other characters are left to the library whole, for white space is never part of a
+    token. A text that holds an added token is encoded as a whole."""
 
     def __init__(self, path: str):
         import json
@@ -41,46 +42,44 @@ class WordEncoder:
         self.np, self.tokenizer = np, Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             self.added = [x["content"] for x in json.load(f)["added_tokens"]]
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        self.ends[[i for x, i in self.tokenizer.get_vocab().items() if x.endswith("</w>")]] = True
         self.seen: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
-        return [self.np.asarray(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [self.np.asarray(self.tokenizer.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes() for x in texts]
 
     def _split(self, parts: list[str]) -> list[bytes]:
-        """The ids of each part, encoded together: white space sets parts apart, and each is one pre-token."""
-        found = self.tokenizer.encode(" ".join(parts), add_special_tokens=False)
-        starts = self.np.flatnonzero(self.np.diff(self.np.asarray(found.word_ids, dtype=self.np.int64), prepend=-1)) * 4
-        if len(starts) != len(parts):
+        """The ids of each part, encoded together: white space sets parts apart, and a token that ends a word ends each."""
+        ids = self.np.asarray(self.tokenizer.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = (4 * (self.np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(ends) != len(parts):
             return self._bytes(parts)
-        ids, starts = self.np.asarray(found.ids, dtype="<u4").tobytes(), starts.tolist()
-        return [ids[a:b] for a, b in zip(starts, [*starts[1:], len(ids)], strict=True)]
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
     def __call__(self, text: str) -> bytes:
         """The ids of ``text``, little-endian, four bytes each."""
         if any(x in text for x in self.added):
             return self._bytes([text])[0]
-        words, seen = ASCII_SPACE.split(text), self.seen
-        new = [x for x in set(words) if x not in seen]
+        if PLAIN_TEXT.fullmatch(text):
+            parts = PARTS.findall(text.lower())
+        else:
+            parts = [y for x in ASCII_SPACE.split(text) for y in (PARTS.findall(x.lower()) if PLAIN.fullmatch(x) else [x])]
+        seen = self.seen
+        new = [x for x in set(parts) if x not in seen]
         if new:
             if len(seen) + len(new) > REMEMBERED:
                 seen.clear()
-                new = list(set(words))
-            self._learn(new)
-        return b"".join(map(seen.__getitem__, words))
-
-    def _learn(self, words: list[str]) -> None:
-        cut = [(x, PARTS.findall(x.lower()) if PLAIN.fullmatch(x) else [x]) for x in words]
-        parts = self.parts
-        if len(parts) > REMEMBERED:
-            parts.clear()
-        new = list({y for (w, x) in cut for y in x if y not in parts and y is not w})
-        whole = [w for w, x in cut if x and x[0] is w and w not in parts]
-        for at in range(0, len(new), 2000):
-            few = new[at : at + 2000]
-            parts.update(zip(few, self._split(few), strict=True))
-        parts.update(zip(whole, self._bytes(whole), strict=True))
-        self.seen.update((x, b"".join([parts[y] for y in ys])) for x, ys in cut)
+                new = list(set(parts))
+            plain = [x for x in new if PLAIN.fullmatch(x)]
+            for at in range(0, len(plain), 2000):
+                few = plain[at : at + 2000]
+                seen.update(zip(few, self._split(few), strict=True))
+            if len(plain) < len(new):
+                rest = [x for x in new if x not in seen]
+                seen.update(zip(rest, self._bytes(rest), strict=True))
+        return b"".join(map(seen.__getitem__, parts))
 
 
 class Windows:
