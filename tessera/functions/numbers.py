@@ -57,7 +57,7 @@ def csv_number(value: Column) -> Column:
     """At most three decimals with a comma, without trailing zeros; empty for null."""
     fixed = F.format_string("%.3f", F.round(value, 3) + 0.0)
     short = F.regexp_replace(F.regexp_replace(fixed, "0+$", ""), r"\.$", "")
-    return F.coalesce(F.replace(short, F.lit("."), F.lit(",")), F.lit(""))
+    return F.when(value.isNull(), "").otherwise(F.replace(short, F.lit("."), F.lit(",")))
 
 
 def relative_gap(a: Column, b: Column) -> Column:
