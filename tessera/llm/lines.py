@@ -80,7 +80,7 @@ def dropped_lines(docs: DataFrame, percent: int = 80, least_words: int = LEAST_W
     bands = F.array(*[F.xxhash64(F.lit(i), *[f"m{i * ROWS + j}" for j in range(ROWS)]) for i in range(BANDS)])
     keys = nodes.select("node", F.explode(bands).alias("bucket"))
     shared = cut(keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "shared")
-    buckets = cut(keys.join(shared, "bucket"), "buckets")
+    buckets = cut(keys.join(shared, "bucket"), "candidates")
     used = cut(nodes.select("node", "h1", "h2").join(buckets.select("node").distinct(), "node"), "used")
     there = may_hold(used, "h1")
     if there is not None:

@@ -4,49 +4,110 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut
 from tessera.llm.components import components
 
+#: Buckets up to so many members are compared pair by pair, larger ones block by block.
+SMALL = 24
+#: Members of a block. A task compares two blocks.
+BLOCK = 512
+
+
+def shared_buckets(keys: DataFrame) -> DataFrame:
+    """(bucket, node) of buckets with two members or more, with score: the sizes of a node's buckets, summed.
+
+    In a group of copies the original, or what is nearest to it, shares most buckets."""
+    sizes = cut(keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    buckets = cut(keys.join(sizes, "bucket"), "buckets")
+    scores = cut(buckets.groupBy("node").agg(F.sum("n").alias("score")), "scores")
+    return cut(buckets.select("bucket", "node").join(scores, "node"), "buckets")
+
 
 def leader_pairs(buckets: DataFrame) -> DataFrame:
-    """(u, v): each member of a bucket with the bucket's leader, the member of least hash under that bucket.
+    """(u, v): each member of a bucket with its two leaders, the member of greatest score and one by hash.
 
     Leaders come from partial aggregates and meet the members in a join, so a large bucket is never one task's."""
-    order = F.struct(F.xxhash64("node", "bucket"), "node")
-    leaders = buckets.groupBy("bucket").agg(F.min(order).alias("_l"), F.count("*").alias("_n")).where("_n > 1")
-    leaders = cut(leaders.select("bucket", F.col("_l.node").alias("_leader")), "leaders")
-    pairs = buckets.join(leaders, "bucket").where("node <> _leader")
-    return pairs.select(F.least("node", "_leader").alias("u"), F.greatest("node", "_leader").alias("v")).distinct()
+    first, other = F.struct(-F.col("score"), F.xxhash64("node"), "node"), F.struct(F.xxhash64("node", "bucket"), "node")
+    leaders = buckets.groupBy("bucket").agg(F.min(first).alias("_a"), F.min(other).alias("_b"))
+    leaders = cut(leaders.select("bucket", F.col("_a.node").alias("_a"), F.col("_b.node").alias("_b")), "leaders")
+    pairs = buckets.join(leaders, "bucket").select("node", F.explode(F.array_distinct(F.array("_a", "_b"))).alias("_l")).where("node <> _l")
+    return pairs.select(F.least("node", "_l").alias("u"), F.greatest("node", "_l").alias("v")).distinct()
 
 
-def rest_pairs(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """(u, v): the pairs of a bucket whose ends aren't in one component yet.
+def mixed_members(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, node, comp, main, n, f) of buckets that span several components: n members, f of them outside ``main``.
 
     Members of the leader's component need no comparing with one another; every other member meets all the rest."""
-    named = buckets.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("comp"))
-    order = F.struct(F.xxhash64("node", "bucket"), "node", "comp")
-    mixed = named.groupBy("bucket").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b"), F.min(order).alias("_l")).where("_a < _b")
-    mixed = cut(mixed.select("bucket", F.col("_l.comp").alias("_main")), "mixed")
-    members = cut(named.join(mixed, "bucket"), "members")
-    foreign = members.where("comp <> _main").select("bucket", F.col("node").alias("_f"), F.col("comp").alias("_c"))
-    met = (F.col("comp") != F.col("_c")) & ((F.col("comp") == F.col("_main")) | (F.col("_f") < F.col("node")))
+    named = buckets.join(labels, "node", "left").select("bucket", "node", "score", F.coalesce("component", "node").alias("comp"))
+    named = cut(named, "labelled")
+    order = F.struct(-F.col("score"), F.xxhash64("node"), "node", "comp")
+    mixed = named.groupBy("bucket").agg(F.min("comp").alias("_x"), F.max("comp").alias("_y"), F.min(order).alias("_l"), F.count("*").alias("n")).where("_x < _y")
+    mixed = cut(mixed.select("bucket", F.col("_l.comp").alias("main"), "n"), "mixed")
+    members = cut(named.select("bucket", "node", "comp").join(mixed, "bucket"), "members")
+    outside = cut(members.groupBy("bucket").agg(F.count_if(F.col("comp") != F.col("main")).alias("f")), "outside")
+    return cut(members.join(outside, "bucket"), "members")
+
+
+def rest_pairs(members: DataFrame) -> DataFrame:
+    """(u, v): the pairs of a bucket whose ends aren't in one component yet."""
+    foreign = members.where("comp <> main").select("bucket", F.col("node").alias("_f"), F.col("comp").alias("_c"))
+    met = (F.col("comp") != F.col("_c")) & ((F.col("comp") == F.col("main")) | (F.col("_f") < F.col("node")))
     pairs = members.join(foreign, "bucket").where(met)
     return pairs.select(F.least("node", "_f").alias("u"), F.greatest("node", "_f").alias("v")).distinct()
 
 
-def link(buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def rest_blocks(members: DataFrame) -> DataFrame:
+    """(bucket, i, j, node, comp, guest): the members of a large bucket dealt to tasks (i, j).
+
+    A task holds one block of all members and, as guests, one of those outside the main component; so each of
+    these meets every member once, and a bucket of any size is as many tasks as it has pairs of blocks."""
+    blocks = members.withColumn("_n", F.ceil(F.col("n") / BLOCK)).withColumn("_f", F.ceil(F.col("f") / BLOCK)).withColumn("_h", F.xxhash64("node", F.lit(7)))
+    hosts = blocks.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_f") - 1)).alias("i"), F.pmod("_h", "_n").alias("j"), "node", "comp", F.lit(False).alias("guest"))
+    outside = blocks.where("comp <> main")
+    guests = outside.select("bucket", F.pmod("_h", "_f").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("j"), "node", "comp", F.lit(True).alias("guest"))
+    return hosts.union(guests)
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+    """Edges (u, v) of a spanning forest of the links a-b."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    kept = []
+    for x, y in np.unique(np.stack([a, b], axis=1), axis=0).tolist() if len(a) else []:
+        p, q = find(x), find(y)
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+            kept.append((x, y))
+    return pd.DataFrame(kept, columns=["u", "v"], dtype="int64")
+
+
+def link(buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame], confirm_blocks: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(bucket long, node long) to (node, component) of the nodes that have a confirmed link.
 
     ``confirm`` takes candidate pairs (u < v, each once) and returns those that hold. First each member is compared
-    with its buckets' leaders; then, in buckets that still span several components, every pair across components.
-    So each pair that shares a bucket is confirmed unless it is already joined by confirmed links, at a cost that is
-    linear for a bucket of copies of one text. Nulls aren't expected; repeated rows count once."""
-    first = cut(confirm(leader_pairs(buckets)), "links")
-    labels = components(first)
-    more = cut(confirm(rest_pairs(buckets, labels)), "links")
+    with its buckets' leaders; then, in buckets that still span several components, every pair across components:
+    pair by pair, or, where ``confirm_blocks`` is given and the bucket is large, block by block without any pairs in a
+    shuffle. So each pair that shares a bucket is confirmed unless confirmed links already join it, at a cost that
+    is linear for a bucket of copies of one text. Nulls aren't expected; repeated rows count once."""
+    buckets = shared_buckets(buckets.distinct())
+    labels = components(cut(confirm(leader_pairs(buckets)), "links"))
+    members = mixed_members(buckets, labels)
+    if confirm_blocks is None:
+        more = confirm(rest_pairs(members))
+    else:
+        more = confirm(rest_pairs(members.where(F.col("n") <= SMALL))).union(confirm_blocks(rest_blocks(members.where(F.col("n") > SMALL))))
+    more = cut(more, "links")
     if more.isEmpty():
         return labels
     return components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))

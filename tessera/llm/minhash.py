@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, ship
-from tessera.llm.linking import link
+from tessera.llm.linking import forest, link
 
 #: Bands of rows. At a Jaccard similarity of 0.85 a pair shares no band with probability below 1e-6, at 0.8 below 1e-4.
 BANDS, ROWS = 24, 5
@@ -138,6 +138,50 @@ def _confirm(texts: DataFrame, width: int, percent: int):
     return confirm
 
 
+def _confirm_blocks(texts: DataFrame, width: int, percent: int):
+    """Confirms the pairs of blocks: intersections are a product of 0/1 matrices over the shingles both sides have."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        known: dict[bytes, int] = {}
+        sets = [shingles(t, width, known) for t in frame["text"]]
+        guest, comp = frame["guest"].to_numpy(), frame["comp"].to_numpy()
+        sizes = np.array([len(s) for s in sets], dtype=np.int64)
+        rows, hosts = np.flatnonzero(guest), np.flatnonzero(~guest)
+        if not len(rows) or not len(hosts):
+            return forest(np.zeros(0, np.int64), np.zeros(0, np.int64))
+        owner, items = np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets)
+        values, code, count = np.unique(items, return_inverse=True, return_counts=True)
+        both = np.zeros((len(rows), len(hosts)), dtype=np.float32)
+        at = np.zeros(len(sets), dtype=np.int64)
+        at[rows], at[hosts] = np.arange(len(rows)), np.arange(len(hosts))
+        keep = (count > 1)[code]
+        owner, code = owner[keep], code[keep]
+        order = np.argsort(code, kind="stable")
+        owner, code = owner[order], code[order]
+        # some shingles at a time, so that the matrices stay small whatever the texts' length
+        step = 4096
+        for low in range(0, len(values), step):
+            a, b = np.searchsorted(code, [low, low + step])
+            if a == b:
+                continue
+            o, k = owner[a:b], code[a:b] - low
+            x, y = np.zeros((len(rows), step), dtype=np.float32), np.zeros((len(hosts), step), dtype=np.float32)
+            g = guest[o]
+            x[at[o[g]], k[g]] = 1
+            y[at[o[~g]], k[~g]] = 1
+            both += x @ y.T
+        union = sizes[rows][:, None] + sizes[hosts][None] - both
+        linked = (100 * both >= percent * union) & (comp[rows][:, None] != comp[hosts][None])
+        i, j = np.nonzero(linked)
+        return forest(comp[rows][i], comp[hosts][j])
+
+    def confirm(blocks: DataFrame) -> DataFrame:
+        full = blocks.join(texts.select("node", "text"), "node")
+        return full.groupBy("bucket", "i", "j").applyInPandas(run, "u long, v long")
+
+    return confirm
+
+
 def classes_and_components(docs: DataFrame, width: int, percent: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
     """The sketches, one row a document, and (hi, lo, component): each class of equal sets with its component."""
     sketches = cut(sketched(docs, width, bands, rows), "sketches")
@@ -147,10 +191,11 @@ def classes_and_components(docs: DataFrame, width: int, percent: int, bands: int
     classes = cut(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     keys = cut(classes.select("node", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "node"), "keys")
     shared = keys.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1").select("bucket")
-    buckets = cut(keys.join(cut(shared, "shared"), "bucket"), "buckets")
+    buckets = cut(keys.join(cut(shared, "shared"), "bucket"), "candidates")
     used = cut(classes.join(buckets.select("node").distinct(), "node").select("node", "n_shingles", "th", "size"), "used")
     found = docs.select(*_text_key(), "text").join(used, ["th", "size"]).groupBy("node", "n_shingles").agg(F.first("text").alias("text"))
-    linked = link(buckets, _confirm(cut(found, "texts"), width, percent))
+    texts = cut(found, "texts")
+    linked = link(buckets, _confirm(texts, width, percent), _confirm_blocks(texts, width, percent))
     named = classes.join(linked, "node", "left").select("hi", "lo", F.coalesce("component", "node").alias("component"))
     return sketches, cut(named, "named")
 
