@@ -9,7 +9,7 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, word_count
+from tessera.llm.common import cut, may_hold, word_count
 from tessera.llm.linking import link
 
 #: Bands of rows. Lines of similarity 0.8 share no band with probability 3e-4.
@@ -18,8 +18,6 @@ BANDS, ROWS = 8, 2
 LEAST_WORDS = 5
 #: Characters of a shingle, which starts where a word does.
 SHINGLE = 16
-#: Most bits of a bitmap that tells rows surely outside a set of keys.
-MOST_BITS = 1 << 22
 
 
 def shingle_strings(line: Column) -> Column:
@@ -27,24 +25,6 @@ def shingle_strings(line: Column) -> Column:
     return F.regexp_extract_all(F.lower(line), F.lit(rf"(?<!\S)(?=(\S.{{0,{SHINGLE - 1}}}))"), F.lit(1))
 
 
-def may_hold(keys: DataFrame, column: str) -> Column | None:
-    """A predicate on ``column``, false only for values that ``keys`` doesn't have. None if there are no keys.
-
-    It looks into a bitmap of 8 bits a key, ``MOST_BITS`` at most; past that it lets more through, and the join
-    that follows does all the work. The bitmap is the only thing that reaches the driver."""
-    n = keys.count()
-    if not n:
-        return None
-    bits = 1 << max(12, min(MOST_BITS, 8 * n).bit_length() - 1)
-    place = F.pmod(F.col(column), F.lit(bits))
-    words = keys.select(F.floor(place / 64).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias("b"))
-    table = bytearray(bits // 8)
-    for w, b in words.groupBy("w").agg(F.bit_or("b").alias("b")).collect():
-        table[8 * w : 8 * w + 8] = (b & (1 << 64) - 1).to_bytes(8, "little")
-    byte = F.conv(F.hex(F.lit(table).substr(F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.getbit(byte, (place % 8).cast("int")) == 1
-
-
 def occurrences(docs: DataFrame, least_words: int) -> DataFrame:
     """(doc_id, rid, text) to one row a line that counts: occ (its rank: null ids last, id, rid, position), h1, h2, line."""
     lines = docs.select("doc_id", "rid", F.posexplode(F.split("text", "\n")).alias("pos", "raw")).withColumn("line", F.trim("raw"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, ship
+from tessera.llm.common import cut, may_hold, ship
 from tessera.llm.linking import forest, link
 
 #: Bands of rows. At a Jaccard similarity of 0.85 a pair shares no band with probability below 1e-6, at 0.8 below 1e-4.
@@ -82,12 +83,25 @@ def band_keys(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def sketch_bytes(sketch: np.ndarray) -> bytes:
+    """A byte of each coordinate; those of unequal coordinates are equal once in 256 times."""
+    return (_mix(sketch.view(_U), 78) >> _U(56)).astype(np.uint8).tobytes()
+
+
+def least_agreement(percent: int, coordinates: int) -> int:
+    """Coordinates that two sets of similarity ``percent`` have in common at least: the mean less six deviations.
+
+    A pair has fewer with probability below 1e-7, so what this rules out needs no comparing of full sets."""
+    p = percent / 100
+    return math.floor(coordinates * p - 6 * math.sqrt(coordinates * p * (1 - p)))
+
+
 def sketched(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, text) to doc_id, the text's hash and length, n_shingles, the set's digest in two longs, and its band keys.
+    """(doc_id, text) to doc_id, the text's hash and length, n_shingles, the set's digest in two longs, its band keys and a byte of each coordinate.
 
-    Empty sets have no band keys."""
+    Empty sets have neither keys nor bytes."""
     ship(docs.sparkSession)
-    schema = "doc_id string, th long, size int, n_shingles long, hi long, lo long, bands array<long>"
+    schema = "doc_id string, th long, size int, n_shingles long, hi long, lo long, bands array<long>, sig binary"
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -98,9 +112,10 @@ def sketched(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
             for text in part["text"]:
                 found = shingles(text if isinstance(text, str) else None, width, known)
                 digest = np.frombuffer(xxhash.xxh128_digest(found.tobytes()), dtype=np.int64)
-                keys = band_keys(fast_sketch(found, bands * rows), bands, rows) if len(found) else None
-                out.append((len(found), digest[0], digest[1], keys))
-            made = pd.DataFrame(out, columns=["n_shingles", "hi", "lo", "bands"], index=part.index)
+                sketch = fast_sketch(found, bands * rows) if len(found) else None
+                keys, sig = (None, None) if sketch is None else (band_keys(sketch, bands, rows), sketch_bytes(sketch))
+                out.append((len(found), digest[0], digest[1], keys, sig))
+            made = pd.DataFrame(out, columns=["n_shingles", "hi", "lo", "bands", "sig"], index=part.index)
             yield pd.concat([part[["doc_id", "th", "size"]], made], axis=1)
 
     out = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), *_text_key(), "text").mapInPandas(run, schema)
@@ -112,8 +127,20 @@ def _text_key() -> list:
     return [F.xxhash64("text").alias("th"), F.coalesce(F.char_length("text"), F.lit(0)).alias("size")]
 
 
-def _confirm(texts: DataFrame, width: int, percent: int):
-    """Confirms pairs of nodes on the full sets of their texts; ``texts`` is (node, n_shingles, text)."""
+def _matrix(sigs: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(sigs), dtype=np.uint8).reshape(len(sigs), -1)
+
+
+def _confirm(used: DataFrame, texts: DataFrame, width: int, percent: int, least: int):
+    """Confirms pairs of nodes on the full sets of their texts.
+
+    ``used`` is (node, n_shingles, sig), ``texts`` (node, text). Pairs whose sketches agree in fewer than ``least``
+    coordinates, or whose sizes differ too much, are ruled out before any text is moved."""
+
+    def alike(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            if len(part):
+                yield part.loc[(_matrix(part["_x"]) == _matrix(part["_y"])).sum(axis=1) >= least, ["u", "v"]]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[bytes, int] = {}
@@ -129,17 +156,33 @@ def _confirm(texts: DataFrame, width: int, percent: int):
             yield part.loc[keep, ["u", "v"]]
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        sizes = texts.select("node", "n_shingles")
-        near = pairs.join(sizes.toDF("u", "_n"), "u").join(sizes.toDF("v", "_m"), "v")
-        near = cut(near.where(100 * F.least("_n", "_m") >= percent * F.greatest("_n", "_m")).select("u", "v"), "pairs")
+        near = pairs.join(used.toDF("u", "_n", "_x"), "u").join(used.toDF("v", "_m", "_y"), "v")
+        near = near.where(100 * F.least("_n", "_m") >= percent * F.greatest("_n", "_m"))
+        near = cut(near.select("u", "v", "_x", "_y").mapInPandas(alike, "u long, v long"), "pairs")
         full = near.join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v").join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
         return full.select("u", "v", "a", "b").mapInPandas(run, "u long, v long")
 
     return confirm
 
 
-def _confirm_blocks(texts: DataFrame, width: int, percent: int):
-    """Confirms the pairs of blocks: intersections are a product of 0/1 matrices over the shingles both sides have."""
+def _confirm_blocks(used: DataFrame, texts: DataFrame, width: int, percent: int, least: int):
+    """Confirms the pairs of blocks: intersections are a product of 0/1 matrices over the shingles both sides have.
+
+    Only members whose sketch agrees with that of one across in ``least`` coordinates get their texts."""
+
+    def alike(frame: pd.DataFrame) -> pd.DataFrame:
+        sigs, sizes, comp = _matrix(frame["sig"]), frame["n_shingles"].to_numpy(), frame["comp"].to_numpy()
+        guest = frame["guest"].to_numpy()
+        rows, hosts = np.flatnonzero(guest), np.flatnonzero(~guest)
+        keep = np.zeros(len(frame), dtype=bool)
+        for at in range(0, len(rows), 32):
+            few = rows[at : at + 32]
+            near = (sigs[few][:, None] == sigs[hosts][None]).sum(axis=2, dtype=np.int32) >= least
+            small, large = np.minimum(sizes[few][:, None], sizes[hosts][None]), np.maximum(sizes[few][:, None], sizes[hosts][None])
+            near &= (comp[few][:, None] != comp[hosts][None]) & (100 * small >= percent * large)
+            keep[few] |= near.any(axis=1)
+            keep[hosts] |= near.any(axis=0)
+        return frame.loc[keep, ["bucket", "i", "j", "node", "comp", "guest"]]
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         known: dict[bytes, int] = {}
@@ -176,26 +219,32 @@ def _confirm_blocks(texts: DataFrame, width: int, percent: int):
         return forest(comp[rows][i], comp[hosts][j])
 
     def confirm(blocks: DataFrame) -> DataFrame:
-        full = blocks.join(texts.select("node", "text"), "node")
+        likely = blocks.join(used, "node").groupBy("bucket", "i", "j").applyInPandas(alike, "bucket long, i long, j long, node long, comp long, guest boolean")
+        full = cut(likely, "likely").join(texts.select("node", "text"), "node")
         return full.groupBy("bucket", "i", "j").applyInPandas(run, "u long, v long")
 
     return confirm
 
 
-def classes_and_components(docs: DataFrame, width: int, percent: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+def classes_and_components(docs: DataFrame, width: int, percent: int, bands: int, rows_a_band: int) -> tuple[DataFrame, DataFrame]:
     """The sketches, one row a document, and (hi, lo, component): each class of equal sets with its component."""
-    sketches = cut(sketched(docs, width, bands, rows), "sketches")
-    least = F.min(F.struct("th", "size", "n_shingles", "bands")).alias("_r")
-    classes = sketches.where("n_shingles > 0").groupBy("hi", "lo").agg(least).select("hi", "lo", "_r.*")
+    sketches = cut(sketched(docs, width, bands, rows_a_band), "sketches")
+    first = F.min(F.struct("doc_id", "th", "size", "n_shingles", "bands", "sig")).alias("_r")
+    classes = sketches.where("n_shingles > 0").groupBy("hi", "lo").agg(first).select("hi", "lo", "_r.*")
     # ids of their own: documents may share an id, or have none
     classes = cut(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     keys = cut(classes.select("node", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "node"), "keys")
     shared = keys.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1").select("bucket")
     buckets = cut(keys.join(cut(shared, "shared"), "bucket"), "candidates")
-    used = cut(classes.join(buckets.select("node").distinct(), "node").select("node", "n_shingles", "th", "size"), "used")
-    found = docs.select(*_text_key(), "text").join(used, ["th", "size"]).groupBy("node", "n_shingles").agg(F.first("text").alias("text"))
-    texts = cut(found, "texts")
-    linked = link(buckets, _confirm(texts, width, percent), _confirm_blocks(texts, width, percent))
+    # one row of a class gives its text; a bitmap spares the texts of others the shuffle
+    row = F.xxhash64("doc_id", "th", "size").alias("row")
+    used = cut(classes.join(buckets.select("node").distinct(), "node").select("node", "n_shingles", "sig", "th", row), "used")
+    there = may_hold(used, "row")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_text_key(), "text").select("th", row, "text")
+    rows = rows.where(F.lit(False) if there is None else there)
+    texts = cut(rows.join(used.select("node", "th", "row"), ["row", "th"]).groupBy("node").agg(F.first("text").alias("text")), "texts")
+    used, least = used.select("node", "n_shingles", "sig"), least_agreement(percent, bands * rows_a_band)
+    linked = link(buckets, _confirm(used, texts, width, percent, least), _confirm_blocks(used, texts, width, percent, least))
     named = classes.join(linked, "node", "left").select("hi", "lo", F.coalesce("component", "node").alias("component"))
     return sketches, cut(named, "named")
 
@@ -206,7 +255,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: i
     Sets are of distinct ``width``-word shingles of the text in lower case (A-Z); shorter texts are one shingle, texts
     without words (or null) none, and these link with nothing. Two documents are linked if
     100 * intersection >= ``percent`` * union. Equal sets form a class, of which one text is compared; classes that
-    share a band of their fast similarity sketches are candidates, confirmed on full sets. component_id is the least
+    share a band of their fast similarity sketches are candidates, confirmed on full sets where the sketches agree enough. component_id is the least
     doc_id reached, kept says that it is the document's own. Rows with equal ids stay apart but share the id; a row
     without id takes part, gets its component's least id, and is kept only if that is null. Other columns are
     ignored; an empty table gives no rows."""
