@@ -53,6 +53,25 @@ def _confirm(sets: DataFrame, percent: int):
     return confirm
 
 
+def _confirm_blocks(sets: DataFrame, percent: int):
+    """Confirms the pairs of blocks within the join, so that only links between components leave it.
+
+    A pair is compared in the first bucket that both have, and in no other."""
+
+    def confirm(blocks: DataFrame) -> DataFrame:
+        full = cut(blocks.join(sets, "node").select("bucket", "i", "j", "guest", "comp", "s", "k"), "blocks")
+        at = ["bucket", "i", "j"]
+        guests = full.where("guest").select(*at, F.col("comp").alias("u"), F.col("s").alias("a"), F.col("k").alias("p")).alias("x")
+        hosts = full.where("NOT guest").select(*at, F.col("comp").alias("v"), F.col("s").alias("b"), F.col("k").alias("q")).alias("y")
+        both, m, n = F.size(F.array_intersect("a", "b")), F.size("a"), F.size("b")
+        first = F.coalesce(*[F.when(F.col("p")[i] == F.col("q")[i], F.col("p")[i]) for i in range(BANDS)])
+        alike = (F.col("x.bucket") == first) & (F.col("u") != F.col("v")) & (100 * F.least(m, n) >= percent * F.greatest(m, n)) & (100 * both >= percent * (m + n - both))
+        met = guests.join(hosts, [F.col(f"x.{k}") == F.col(f"y.{k}") for k in at] + [alike])
+        return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+    return confirm
+
+
 def dropped_lines(docs: DataFrame, percent: int = 80, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, rid, text) to (rid, drop): positions of the lines that go, for the documents that lose any."""
     lines = occurrences(docs, least_words)
@@ -61,13 +80,13 @@ def dropped_lines(docs: DataFrame, percent: int = 80, least_words: int = LEAST_W
     keys = nodes.select("node", F.explode(bands).alias("bucket"))
     shared = cut(keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "shared")
     buckets = cut(keys.join(shared, "bucket"), "candidates")
-    used = cut(nodes.select("node", "h1", "h2").join(buckets.select("node").distinct(), "node"), "used")
+    used = cut(nodes.select("node", "h1", "h2", bands.alias("k")).join(buckets.select("node").distinct(), "node"), "used")
     there = may_hold(used, "h1")
     if there is not None:
         texts = lines.where(there).select("h1", "h2", "line").join(used, ["h1", "h2"])
-        sets = texts.groupBy("node").agg(F.first("line").alias("line"))
-        sets = cut(sets.select("node", F.array_distinct(F.transform(shingle_strings(F.col("line")), lambda x: F.xxhash64(x))).alias("s")), "sets")
-        linked = link(buckets, _confirm(sets, percent))
+        sets = texts.groupBy("node").agg(F.first("line").alias("line"), F.first("k").alias("k"))
+        sets = cut(sets.select("node", "k", F.array_distinct(F.transform(shingle_strings(F.col("line")), lambda x: F.xxhash64(x))).alias("s")), "sets")
+        linked = link(buckets, _confirm(sets, percent), _confirm_blocks(sets, percent))
         named = nodes.join(linked, "node", "left").where("copies > 1 OR component IS NOT NULL")
     else:
         named = nodes.where("copies > 1").withColumn("component", F.lit(None).cast("long"))
