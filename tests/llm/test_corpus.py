@@ -152,6 +152,12 @@ def brute_lines(rows):
     return drop
 
 
+def test_line_dedup_block_by_block(spark, monkeypatch):
+    monkeypatch.setattr(linking, "SMALL", 1)
+    monkeypatch.setattr(linking, "BLOCK", 4)
+    test_line_dedup(spark)
+
+
 def test_line_dedup(spark):
     rng = random.Random(5)
     pool = [t for _, t, *_ in rand_docs(6, 80)]
