@@ -16,13 +16,25 @@ from tessera.llm.linking import link
 BANDS, ROWS = 8, 2
 #: Lines of fewer words are left alone: they repeat by chance.
 LEAST_WORDS = 5
-#: Characters of a shingle, which starts where a word does.
+#: Characters of a shingle. One starts at every character that has as many from it on.
 SHINGLE = 16
 
 
 def shingle_strings(line: Column) -> Column:
-    """Runs of up to ``SHINGLE`` characters of the line in lower case, one from the start of each word."""
-    return F.regexp_extract_all(F.lower(line), F.lit(rf"(?<!\S)(?=(\S.{{0,{SHINGLE - 1}}}))"), F.lit(1))
+    """All runs of ``SHINGLE`` characters of the line in lower case, or the whole of a shorter line."""
+    low = F.lower(line)
+    runs = F.regexp_extract_all(low, F.lit(rf"(?s)(?=([^\x{{DC00}}-\x{{DFFF}}].{{{SHINGLE - 1}}}))"), F.lit(1))  # none from the second half of a surrogate pair
+    return F.when(F.char_length(low) < SHINGLE, F.array(low)).otherwise(runs)
+
+
+def shingles(line: Column) -> Column:
+    """The set of the line's shingles, as hashes."""
+    return F.array_distinct(F.transform(shingle_strings(line), lambda x: F.xxhash64(x)))
+
+
+def _alike(a: Column, b: Column, percent: int) -> Column:
+    """Is the Jaccard similarity of two sets ``percent`` or more? Either is computed once."""
+    return F.exists(F.array(F.struct(a.alias("a"), b.alias("b"))), lambda x: (100 + percent) * F.size(F.array_intersect(x["a"], x["b"])) >= percent * (F.size(x["a"]) + F.size(x["b"])))
 
 
 def occurrences(docs: DataFrame, least_words: int) -> DataFrame:
@@ -44,23 +56,28 @@ def _signatures(lines: DataFrame) -> DataFrame:
     return rows.withColumn("h", h).groupBy("h1", "h2").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(s))).alias(f"m{i}") for i, s in enumerate(salts)], F.count(F.when(F.col("at") == 0, 1)).alias("copies"))
 
 
-def _confirm(sets: DataFrame, percent: int):
+def _confirm(texts: DataFrame, percent: int):
+    """Confirms pairs on the full sets. Lines are moved, for sets are many times their size."""
+
     def confirm(pairs: DataFrame) -> DataFrame:
-        full = pairs.join(sets.select(F.col("node").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("b")), "v")
-        both = F.size(F.array_intersect("a", "b"))
-        return full.where(100 * both >= percent * (F.size("a") + F.size("b") - both)).select("u", "v")
+        full = pairs.join(texts.select(F.col("node").alias("u"), F.col("line").alias("a"), F.col("m").alias("p")), "u")
+        near = 100 * F.least("p", "q") >= percent * F.greatest("p", "q")
+        full = full.join(texts.select(F.col("node").alias("v"), F.col("line").alias("b"), F.col("m").alias("q")), "v").where(near)
+        return full.where(_alike(shingles(F.col("a")), shingles(F.col("b")), percent)).select("u", "v")
 
     return confirm
 
 
-def _confirm_blocks(sets: DataFrame, percent: int):
+def _confirm_blocks(texts: DataFrame, percent: int):
     """Confirms the pairs of blocks within the join, so that only links between components leave it.
 
     A pair is compared in the first bucket that both have, and in no other."""
 
     def confirm(blocks: DataFrame) -> DataFrame:
-        full = cut(blocks.join(sets, "node").select("bucket", "i", "j", "guest", "comp", "s", "k"), "blocks")
+        full = cut(blocks.join(texts, "node").select("bucket", "i", "j", "guest", "comp", "line", "k"), "blocks")
         at = ["bucket", "i", "j"]
+        # sets are made past the shuffle, where the two blocks meet
+        full = full.repartition(*at).withColumn("s", shingles(F.col("line")))
         guests = full.where("guest").select(*at, F.col("comp").alias("u"), F.col("s").alias("a"), F.col("k").alias("p")).alias("x")
         hosts = full.where("NOT guest").select(*at, F.col("comp").alias("v"), F.col("s").alias("b"), F.col("k").alias("q")).alias("y")
         both, m, n = F.size(F.array_intersect("a", "b")), F.size("a"), F.size("b")
@@ -84,9 +101,9 @@ def dropped_lines(docs: DataFrame, percent: int = 80, least_words: int = LEAST_W
     there = may_hold(used, "h1")
     if there is not None:
         texts = lines.where(there).select("h1", "h2", "line").join(used, ["h1", "h2"])
-        sets = texts.groupBy("node").agg(F.first("line").alias("line"), F.first("k").alias("k"))
-        sets = cut(sets.select("node", "k", F.array_distinct(F.transform(shingle_strings(F.col("line")), lambda x: F.xxhash64(x))).alias("s")), "sets")
-        linked = link(buckets, _confirm(sets, percent), _confirm_blocks(sets, percent))
+        texts = texts.groupBy("node").agg(F.first("line").alias("line"), F.first("k").alias("k"))
+        texts = cut(texts.select("node", "k", "line", F.size(shingles(F.col("line"))).alias("m")), "texts")
+        linked = link(buckets, _confirm(texts, percent), _confirm_blocks(texts, percent))
         named = nodes.join(linked, "node", "left").where("copies > 1 OR component IS NOT NULL")
     else:
         named = nodes.where("copies > 1").withColumn("component", F.lit(None).cast("long"))
