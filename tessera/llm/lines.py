@@ -4,8 +4,6 @@ DataFrame functions only."""
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,12 +46,10 @@ def occurrences(docs: DataFrame, least_words: int) -> DataFrame:
 def _signatures(lines: DataFrame) -> DataFrame:
     """One row a distinct line: h1, h2, its copies, and the minima of its shingles' hashes.
 
-    Each minimum is under another order, the hashes xor a constant. Copies fall together in the partial sums."""
-    rng = random.Random(20)
-    salts = [rng.getrandbits(63) for _ in range(BANDS * ROWS)]
+    Each minimum is under a hash of its own, so that bands fail apart. Copies fall together in the partial sums."""
     rows = lines.select("h1", "h2", F.posexplode(shingle_strings(F.col("line"))).alias("at", "s"))
     h = F.xxhash64("s")
-    return rows.withColumn("h", h).groupBy("h1", "h2").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(s))).alias(f"m{i}") for i, s in enumerate(salts)], F.count(F.when(F.col("at") == 0, 1)).alias("copies"))
+    return rows.withColumn("h", h).groupBy("h1", "h2").agg(*[F.min(F.xxhash64(F.lit(i), "h")).alias(f"m{i}") for i in range(BANDS * ROWS)], F.count(F.when(F.col("at") == 0, 1)).alias("copies"))
 
 
 def _confirm(texts: DataFrame, percent: int):
