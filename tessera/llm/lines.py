@@ -12,8 +12,10 @@ from tessera.llm.linking import link
 
 #: Bands of rows. Lines of similarity 0.8 share no band with probability 3e-4.
 BANDS, ROWS = 8, 2
-#: Lines of fewer words are left alone: they repeat by chance.
+#: Lines of fewer words are left alone unless a call says otherwise; op2_lines and the pipeline take ``ALL``.
 LEAST_WORDS = 5
+#: Every line that isn't blank takes part.
+ALL = 1
 #: Characters of a shingle. One starts at every character that has as many from it on.
 SHINGLE = 16
 
@@ -136,9 +138,9 @@ def deduplicated_lines(docs: DataFrame, percent: int = 80, least_words: int = LE
     return wide.where(~there).select(*[F.col(f"`{c}`") for c in names]).union(hit.select(*out))
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
+def line_dedup(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """doc_id, n_lines, n_dropped and text of each document after line dedup; null texts have no lines."""
     before = docs.select("doc_id", "text", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"))
-    after = deduplicated_lines(before)
+    after = deduplicated_lines(before, least_words=least_words)
     left = F.when(F.col("text").isNull() | ((F.col("text") == "") & (F.col("n_lines") > 0)), 0).otherwise(F.size(F.split("text", "\n")))
     return after.select("doc_id", "n_lines", (F.col("n_lines") - left).alias("n_dropped"), "text")

@@ -29,7 +29,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.line_dedup(_table(spark, sf_dir, "documents"))
+    return lines.line_dedup(_table(spark, sf_dir, "documents"), least_words=lines.ALL)
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

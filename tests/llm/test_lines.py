@@ -99,3 +99,18 @@ def test_recall_of_bands_at_the_threshold(spark):
             a, b = minima[i, 0], minima[i, 1]
             lost += not any(a[k : k + lines.ROWS] == b[k : k + lines.ROWS] for k in range(0, len(a), lines.ROWS))
         assert lost / trials <= 0.0015, (common, lost)  # 0.0003 expected
+
+
+def test_short_lines_and_scripts_without_spaces_take_part(spark, tmp_path):
+    import corpus_pipeline
+    from tessera.llm import queries
+
+    clause = "数据集发布于二零一九年并附有完整的渔业报告和附件说明以及更多的内容和表格与图示一览"
+    texts = [f"Subscribe to our newsletter\n\n{clause}\n-", f"first\nSubscribe to our newsletter\n\n{clause}。", "second\n \t\n-\nsubscribe to our newsletter"]
+    docs = docs_of(spark, texts)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = {0: texts[0], 1: "first\n", 2: "second\n \t"}
+    assert {r.doc_id: r.text for r in queries.op2_lines(spark, str(tmp_path)).collect()} == want
+    assert {r.doc_id: r.text for r in corpus_pipeline.new_lines(spark, docs, "").collect()} == want
+    some = near_texts(2, 50) + texts
+    assert {r.doc_id: r.n_dropped for r in lines.line_dedup(docs_of(spark, some), least_words=lines.ALL).collect()} == brute(some, lines.ALL)
