@@ -25,6 +25,8 @@ _OTHER = frozenset("ad ads advert adverts advertisement advertisements advertisi
 _GOOD = frozenset("article body content entry main page post story text".split())
 _PARAGRAPHS = frozenset("p pre td blockquote dd li figcaption".split())
 _CONTAINERS = frozenset("div section article main body".split())
+_PROSE = frozenset("p pre blockquote".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _KEPT_WHOLE = frozenset("html body main article".split())
 #: A start tag that ends an open element of these, unless one of the stops is met first.
 _ENDS = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",))}
@@ -126,8 +128,29 @@ class Page:
             out[i] = out[self.parent[i]] or self.tag[i] in tags
         return out
 
+    def _article(self, best: int, prose: list[bool]) -> int:
+        """The element whose undropped blocks are the article that the container ``best`` is a part of.
+
+        That is the outermost <article> around it, or <main>; where there is neither, it is the ancestor reached
+        through <div> and <section> parents that hold more prose: paragraphs, or sections beside a section."""
+        tag, parent = self.tag, self.parent
+        found, at = {}, best
+        while at > 0:
+            found[tag[at]] = at
+            at = parent[at]
+        if "article" in found or "main" in found:
+            return found.get("article") or found["main"]
+        paragraphs, sections = [0] * len(tag), [0] * len(tag)
+        for i in range(1, len(tag)):
+            if prose[i]:
+                paragraphs[parent[i]] += tag[i] in _PROSE
+                sections[parent[i]] += tag[i] == "section"
+        while best and tag[up := parent[best]] in ("div", "section") and (paragraphs[up] > (tag[best] in _PROSE) or (tag[best] == "section" and sections[up] > 1)):
+            best = up
+        return best
+
     def text(self) -> str:
-        """The best container's text and its good siblings', block by block."""
+        """The text of the article around the best container, and its good siblings', block by block."""
         count, parent, tag = len(self.tag), self.parent, self.tag
         headers, articles = self.inside(("header",)), self.inside(("article", "main"))
         drop = [d or (h and not a) for d, h, a in zip(self.drop, headers, articles, strict=True)]
@@ -166,14 +189,15 @@ class Page:
         if not rated:
             return ""
         best = max(rated, key=lambda i: (rated[i], -i))
-        keep = [False] * count
         least = max(10.0, 0.2 * rated[best])
+        prose = [whole[i] > 0 and not drop[i] and links[i] < 0.5 * whole[i] for i in range(count)]
+        best = self._article(best, prose)
+        keep = [False] * count
         for i in range(count):
             if i == best or (i and keep[parent[i]]):
                 keep[i] = True
             elif i and best and parent[i] == parent[best] and not drop[i]:
-                density = links[i] / max(1, whole[i])
-                keep[i] = rated.get(i, 0) >= least or (tag[i] in ("p", "pre", "blockquote") and whole[i] > 80 and density < 0.25)
+                keep[i] = rated.get(i, 0) >= least or (prose[i] and (tag[i] in _PROSE | _HEADINGS or tag[i] == tag[best] == "section"))
         for i in range(1, count):  # lists of links inside the container
             if drop[parent[i]] or (keep[i] and i != best and tag[i] in ("ul", "ol", "div", "section", "table") and links[i] > 0.7 * whole[i] > 0):
                 drop[i] = True
