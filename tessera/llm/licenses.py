@@ -29,6 +29,20 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal."),
 )
+#: Full texts and file headers, compared with paragraphs and with whole texts.
+FULL: tuple[tuple[str, str], ...] = (
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("GPL-2.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details."),
+)
+#: Comment marks at a line's start and end.
+MARK = r"(?m)^[ \t]*(?:/\*+|\*+/?|//+|#+|--+|;+|%+|<!--)?[ \t]*|[ \t]*(?:\*+/|-->)?[ \t\r]*$"
+#: A line of a header: a comment, or blank.
+HEADER_LINE = r"^\s*(?:/\*|\*|//|#|--|;|%|<!--|$)"
 #: A term: letters and digits, with dots and hyphens inside.
 TERM = r"[\p{L}\p{N}]+(?:[.\-][\p{L}\p{N}]+)*"
 #: Basenames of files whose licence holds for their directory.
@@ -42,13 +56,16 @@ def _terms(text: str) -> list[str]:
 class Weights:
     """TF-IDF over the templates: idf of a term is 1 + ln((1 + n) / (1 + templates with it)); other terms have the most."""
 
-    def __init__(self, templates: tuple[tuple[str, str], ...]):
+    def __init__(self, templates: tuple[tuple[str, str], ...], full: tuple[tuple[str, str], ...] = ()):
         n, counted = len(templates), [_terms(text) for _, text in templates]
         df = {t: sum(t in x for x in counted) for x in counted for t in x}
         self.idf = {t: 1 + math.log((1 + n) / (1 + d)) for t, d in df.items()}
         self.other = 1 + math.log(1 + n)
+        # long templates don't change the weights of the short ones
+        counted += [_terms(text) for _, text in full]
+        self.idf |= {t: self.other for x in counted[n:] for t in x if t not in self.idf}
         self.rows = []  # (template, licence, term, weight at length 1)
-        for i, ((name, _), terms) in enumerate(zip(templates, counted, strict=True)):
+        for i, ((name, _), terms) in enumerate(zip(templates + full, counted, strict=True)):
             w = {t: terms.count(t) * self.idf[t] for t in terms}
             length = math.sqrt(sum(x * x for x in w.values()))
             self.rows += [(i, name, t, x / length) for t, x in sorted(w.items())]
@@ -70,7 +87,7 @@ class Weights:
 
 def _cosines(spark: SparkSession, segments: DataFrame, templates: tuple[tuple[str, str], ...], least: float) -> DataFrame:
     """(key, segment, text) to (key, segment, words, licence, similarity): the best template of ``least`` or more."""
-    w = Weights(templates)
+    w = Weights(templates, FULL if templates is TEMPLATES else ())
     cues = "|".join(re.escape(x) for x in sorted(w.cues(least)))
     near = segments.where(F.lower("text").rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{cues})(?![\p{{L}}\p{{N}}])"))
     terms = near.select("key", "segment", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))).alias("term"))
@@ -92,23 +109,37 @@ def _segments(text: Column) -> Column:
     return F.split(text, r"\n|(?<=[.!?])\s+(?=\p{Lu})")
 
 
-def scan(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = 0.75, share: float = 0.5) -> DataFrame:
+def _joined(text: Column) -> Column:
+    """Paragraphs (neighbouring lines joined), their sentences, the leading comment and the whole text, without comment marks."""
+    flat = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, MARK, ""), r"\s+", " "))
+    paragraphs = F.transform(F.split(F.regexp_replace(text, MARK, ""), r"\n{2,}"), flat)
+    lines = F.split(text, "\n")
+    code = F.array_position(F.transform(lines, lambda x: x.rlike(HEADER_LINE)), F.lit(False)).cast("int")
+    header = flat(F.array_join(F.when(code > 0, F.slice(lines, F.lit(1), code - 1)).otherwise(lines), "\n"))
+    return F.array_distinct(F.concat(paragraphs, F.flatten(F.transform(paragraphs, _segments)), F.array(header, flat(text))))
+
+
+def scan(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = 0.75, share: float = 0.5, carry: tuple[str, ...] = ()) -> DataFrame:
     """Files (path, text) to path, licence, similarity, origin (own, inherited or none) and licence_path.
 
-    Each line and sentence of the whole text is compared with the templates; a file's own licence is that of its most
+    Each line, sentence and paragraph, the leading comment and the whole text are compared with the templates; a file's own licence is that of its most
     similar statement (ties: first template, then first statement). A licence file is one with a usual basename, or
     whose statements hold ``share`` or more of its words; its licence holds for its directory, and a file without one
     of its own gets that of its nearest ancestor directory (ties in a directory: most similar, then least path).
     Rows that repeat a path are files of their own at the same path; a null path or text has no licence; path columns
-    with empty parts are read as they are. An empty table gives no rows. Only path and text are read."""
+    with empty parts are read as they are. An empty table gives no rows. Only path, text and the columns to ``carry`` along are read."""
     spark = files.sparkSession
-    keyed = files.select("path", F.xxhash64("path", "text").alias("key"), "text")
+    keyed = files.select("path", F.xxhash64("path", "text").alias("key"), "text", *[F.col(x).alias(f"_c_{x}") for x in carry])
     segments = keyed.select("key", F.posexplode(_segments(F.col("text"))).alias("segment", "text")).where("text IS NOT NULL")
-    found = cut(_cosines(spark, segments.distinct(), templates, least), "statements")
-    own = found.groupBy("key").agg(F.min(F.struct(-F.col("similarity"), "segment", "licence")).alias("b"), F.sum("words").alias("stated"))
+    # lines come first; what is joined from them has places below zero and counts by its longest statement
+    joined = keyed.select("key", F.posexplode(_joined(F.col("text"))).alias("segment", "text")).withColumn("segment", -1 - F.col("segment"))
+    found = cut(_cosines(spark, segments.union(joined).distinct(), templates, least), "statements")
+    place = F.when(F.col("segment") < 0, (1 << 30) - F.col("segment")).otherwise(F.col("segment"))
+    stated = F.greatest(F.sum(F.when(F.col("segment") >= 0, F.col("words"))), F.max("words"))
+    own = found.groupBy("key").agg(F.min(F.struct(-F.col("similarity"), place.alias("place"), "licence")).alias("b"), stated.alias("stated"))
     own = cut(own.select("key", F.col("b.licence").alias("licence"), (-F.col("b.col1")).alias("similarity"), "stated"), "own")
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
-    rows = keyed.select("path", "key", words.alias("words")).join(own, "key", "left")
+    rows = keyed.select("path", "key", words.alias("words"), *[f"_c_{x}" for x in carry]).join(own, "key", "left")
     rows = cut(rows, "files")
     base = F.element_at(F.split("path", "/"), -1)
     parent = F.regexp_replace("path", r"/?[^/]*$", "")
@@ -124,11 +155,11 @@ def scan(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, l
     near = cut(near.select("home", "n.d_licence", "n.d_similarity", "n.d_path"), "inherited")
     out = rows.withColumn("home", F.when(F.col("licence").isNull(), parent)).join(near, "home", "left")
     origin = F.when(F.col("licence").isNotNull(), "own").when(F.col("d_licence").isNotNull(), "inherited").otherwise("none")
-    return out.select("path", F.coalesce("licence", "d_licence").alias("licence"), F.coalesce("similarity", "d_similarity").alias("similarity"), origin.alias("origin"), F.coalesce(F.when(F.col("licence").isNotNull(), F.col("path")), F.col("d_path")).alias("licence_path"))
+    return out.select("path", F.coalesce("licence", "d_licence").alias("licence"), F.coalesce("similarity", "d_similarity").alias("similarity"), origin.alias("origin"), F.coalesce(F.when(F.col("licence").isNotNull(), F.col("path")), F.col("d_path")).alias("licence_path"), *[F.col(f"_c_{x}").alias(x) for x in carry])
 
 
 def document_licences(docs: DataFrame) -> DataFrame:
     """doc_id, source, path and the licence of each document, at the path source/lang/doc_id of its own."""
     part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
-    files = docs.select(F.concat_ws("/", part("source"), part("lang"), part("doc_id")).alias("path"), "text")
-    return scan(files)
+    files = docs.select(F.concat_ws("/", part("source"), part("lang"), part("doc_id")).alias("path"), "text", "doc_id", "source")
+    return scan(files, carry=("doc_id", "source"))
