@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,18 +13,23 @@ from pyspark.sql import functions as F
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows that a Python worker gets at once, at most.
-ROWS_A_BATCH = 1000
+#: Rows, and bytes of them, that a Python worker gets at once, at most.
+ROWS_A_BATCH, BYTES_A_BATCH = 1000, 64 << 20
+#: Sessions whose workers have this package.
+_SHIPPED: set[str] = set()
 
 #: Most bits of a bitmap that tells rows surely outside a set of keys.
 MOST_BITS = 1 << 22
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir`` of the session, or one of our own where unset."""
+    """The folder every executor can reach: ``spark.checkpoint.dir`` of the session; where unset, one beside the warehouse.
+
+    A session on one machine, as in tests, gets a temporary folder instead."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = Path(tempfile.mkdtemp(prefix="tessera-")).as_uri()
+        alone = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
+        found = Path(tempfile.mkdtemp(prefix="tessera-")).as_uri() if alone else f"{spark.conf.get('spark.sql.warehouse.dir')}/tessera-shared"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
@@ -42,15 +48,25 @@ def cut(df: DataFrame, name: str = "table") -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver found it, and send them few rows at a time.
-
-    Texts may be long: batches of ``ROWS_A_BATCH`` rows bound what a worker holds, unless the session asks for less."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ROWS_A_BATCH:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_A_BATCH))
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(":"):
-        env["PYTHONPATH"] = ":".join(filter(None, [root, env.get("PYTHONPATH", "")]))
+    """Send this package to the Python workers, once a session, and have them get few rows at a time.
+
+    Texts may be long: batches of ``ROWS_A_BATCH`` rows and ``BYTES_A_BATCH`` bytes bound what a worker holds, unless
+    the session asks for less."""
+    given = spark.conf.getAll
+    for key, most in (("maxRecordsPerBatch", ROWS_A_BATCH), ("maxBytesPerBatch", BYTES_A_BATCH)):
+        now = given.get(f"spark.sql.execution.arrow.{key}", "0")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="tessera-code-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(target))
+    _SHIPPED.add(sc.applicationId)
 
 
 def word_count(text: Column) -> Column:

@@ -28,7 +28,7 @@ def cut_columns(df: DataFrame, p: DataFrame, column: str, out: list[str]) -> Dat
 def components(edges: DataFrame) -> DataFrame:
     """``edges`` (u long, v long) to (node, component): each node of an edge with the least node it reaches.
 
-    Each round hooks every root to its least neighbour, halves the paths twice, rewrites the edges on roots and
+    Each round hooks every root to its least neighbour, halves the paths, rewrites the edges on roots and
     keeps those that still join two different roots. Edges with a null end and self loops are ignored; repeated
     edges count once; no edges give no rows. Tables are written between rounds, so a lost executor costs one round."""
     edges = edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
@@ -36,8 +36,7 @@ def components(edges: DataFrame) -> DataFrame:
     labels = None
     while not edges.isEmpty():
         parents = cut(_parents(edges), "parents")
-        for _ in range(2):
-            parents = cut(_jump(parents, "m", ["a", "m"]), "parents")
+        parents = cut(_jump(parents, "m", ["a", "m"]), "parents")
         p = parents.select(F.col("a").alias("_a"), F.col("m").alias("_m"))
         left = cut_columns(edges, p, "u", ["u", "v"])
         left = cut_columns(left, p, "v", ["u", "v"]).where("u <> v")

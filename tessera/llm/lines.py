@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, may_hold, word_count
-from tessera.llm.linking import link
+from tessera.llm.linking import link, with_leaders
 
 #: Bands of rows. Lines of similarity 0.8 share no band with probability 3e-4.
 BANDS, ROWS = 8, 2
@@ -18,18 +18,32 @@ LEAST_WORDS = 5
 ALL = 1
 #: Characters of a shingle. One starts at every character that has as many from it on.
 SHINGLE = 16
+#: Shingles that a row of the signatures' input stands for.
+STRIDE = 8
+#: Longs of a bitmap of shingles. Bits that differ between two bitmaps are no more than the shingles that differ.
+LONGS = 16
+#: Bytes of a character.
+_WIDE = 4
 
 
-def shingle_strings(line: Column) -> Column:
-    """All runs of ``SHINGLE`` characters of the line in lower case, or the whole of a shorter line."""
-    low = F.lower(line)
-    runs = F.regexp_extract_all(low, F.lit(rf"(?s)(?=([^\x{{DC00}}-\x{{DFFF}}].{{{SHINGLE - 1}}}))"), F.lit(1))  # none from the second half of a surrogate pair
-    return F.when(F.char_length(low) < SHINGLE, F.array(low)).otherwise(runs)
+def _characters(line: Column) -> Column:
+    """The line in lower case, four bytes a character, so that any run of characters is cut out at once."""
+    return F.encode(F.lower(line), "UTF-32")
+
+
+def _last(characters: Column) -> Column:
+    """Where the last shingle starts; a shorter line has one shingle, at 1."""
+    return F.greatest(F.lit(1), F.octet_length(characters) - (_WIDE * SHINGLE - 1))
+
+
+def _shingle(characters: Column, at: Column) -> Column:
+    return F.xxhash64(F.substring(characters, at, F.lit(_WIDE * SHINGLE)))
 
 
 def shingles(line: Column) -> Column:
-    """The set of the line's shingles, as hashes."""
-    return F.array_distinct(F.transform(shingle_strings(line), lambda x: F.xxhash64(x)))
+    """The set of the line's shingles, as hashes: all runs of ``SHINGLE`` characters, or the whole of a shorter line."""
+    make = lambda x: F.array_distinct(F.transform(F.sequence(F.lit(1), _last(x), F.lit(_WIDE)), lambda p: _shingle(x, p)))
+    return F.transform(F.array(_characters(line)), make)[0]
 
 
 def _alike(a: Column, b: Column, percent: int) -> Column:
@@ -38,20 +52,40 @@ def _alike(a: Column, b: Column, percent: int) -> Column:
 
 
 def occurrences(docs: DataFrame, least_words: int) -> DataFrame:
-    """(doc_id, rid, text) to one row a line that counts: occ (its rank: null ids last, id, rid, position), h1, h2, line."""
-    lines = docs.select("doc_id", "rid", F.posexplode(F.split("text", "\n")).alias("pos", "raw")).withColumn("line", F.trim("raw"))
-    lines = lines.where(F.length("line") >= 2 * least_words - 1).where(word_count(F.col("line")) >= least_words)
-    occ = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "pos")
+    """(doc_id, r1, r2, text) to one row a line that counts: occ (its rank: null ids last, id, row, position), h1, h2, line."""
+    lines = docs.select("doc_id", "r1", "r2", F.posexplode(F.split("text", "\n")).alias("pos", "raw")).withColumn("line", F.trim("raw"))
+    lines = lines.where(F.length("line") >= 2 * least_words - 1)
+    lines = lines.where(word_count(F.col("line")) >= least_words) if least_words > 1 else lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    occ = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r1", "r2", "pos")
     return lines.select(occ.alias("occ"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "line")
 
 
 def _signatures(lines: DataFrame) -> DataFrame:
-    """One row a distinct line: h1, h2, its copies, and the minima of its shingles' hashes.
-
-    Each minimum is under a hash of its own, so that bands fail apart. Copies fall together in the partial sums."""
-    rows = lines.select("h1", "h2", F.posexplode(shingle_strings(F.col("line"))).alias("at", "s"))
-    h = F.xxhash64("s")
-    return rows.withColumn("h", h).groupBy("h1", "h2").agg(*[F.min(F.xxhash64(F.lit(i), "h")).alias(f"m{i}") for i in range(BANDS * ROWS)], F.count(F.when(F.col("at") == 0, 1)).alias("copies"))
+    """One row a distinct line: h1, h2, its copies, and ``BANDS * ROWS`` minima of its shingles' hashes.
+
+    Half of a hash makes a minimum, and every two minima have a hash of their own, so that bands fail apart. A row
+    stands for ``STRIDE`` shingles (past the line's end for the last again); copies fall together in the partial sums."""
+    wide = lines.select("h1", "h2", _characters(F.col("line")).alias("c"))
+    wide = wide.select("h1", "h2", "c", _last(F.col("c")).alias("last"))
+    rows = wide.select("h1", "h2", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(_WIDE * STRIDE))).alias("p"), "c", "last")
+    made = [_shingle(F.col("c"), F.least(F.col("p") + _WIDE * k, F.col("last"))).alias(f"x{k}") for k in range(STRIDE)]
+    rows = rows.select("h1", "h2", (F.col("p") == 1).alias("start"), *made)
+    minima = []
+    for i in range(0, BANDS * ROWS, 2):
+        hashed = [F.xxhash64(F.lit(i), f"x{k}") for k in range(STRIDE)]
+        minima.append(F.min(F.least(*[F.shiftright(x, 32) for x in hashed])).alias(f"m{i}"))
+        minima.append(F.min(F.least(*[x.bitwiseAND(F.lit(0xFFFFFFFF)) for x in hashed])).alias(f"m{i + 1}"))
+    return rows.groupBy("h1", "h2").agg(*minima, F.count(F.when(F.col("start"), 1)).alias("copies"))
+
+
+def _bitmaps(texts: DataFrame) -> DataFrame:
+    """(node, line) to node and ``LONGS`` longs: a bit for each shingle, by its hash."""
+    wide = texts.select("node", _characters(F.col("line")).alias("c"))
+    wide = wide.select("node", "c", _last(F.col("c")).alias("last"))
+    h = wide.select("node", "c", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(_WIDE))).alias("p")).select("node", _shingle(F.col("c"), F.col("p")).alias("h"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
+    word = F.shiftright("h", 6).bitwiseAND(F.lit(LONGS - 1))
+    return h.groupBy("node").agg(*[F.bit_or(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{i}") for i in range(LONGS)])
 
 
 def _confirm(texts: DataFrame, percent: int):
@@ -69,50 +103,55 @@ def _confirm(texts: DataFrame, percent: int):
 def _confirm_blocks(texts: DataFrame, percent: int):
     """Confirms the pairs of blocks within the join, so that only links between components leave it.
 
-    A pair is compared in the first bucket that both have, and in no other."""
+    A pair is compared in the first bucket that both have, and in no other. Sizes and bitmaps rule out most pairs, and
+    none that is a link; the others' full sets are compared."""
 
     def confirm(blocks: DataFrame) -> DataFrame:
-        full = cut(blocks.join(texts, "node").select("bucket", "i", "j", "guest", "comp", "line", "k"), "blocks")
+        met = texts.join(blocks.select("node").distinct(), "node", "left_semi")
+        bits = cut(met.join(_bitmaps(met.select("node", "line")), "node"), "bitmaps")
+        words = [f"w{i}" for i in range(LONGS)]
+        full = cut(blocks.join(bits, "node").select("bucket", "i", "j", "guest", "comp", "line", "k", "m", *words), "blocks")
         at = ["bucket", "i", "j"]
         # sets are made past the shuffle, where the two blocks meet
         full = full.repartition(*at).withColumn("s", shingles(F.col("line")))
-        guests = full.where("guest").select(*at, F.col("comp").alias("u"), F.col("s").alias("a"), F.col("k").alias("p")).alias("x")
-        hosts = full.where("NOT guest").select(*at, F.col("comp").alias("v"), F.col("s").alias("b"), F.col("k").alias("q")).alias("y")
-        both, m, n = F.size(F.array_intersect("a", "b")), F.size("a"), F.size("b")
+        guests = full.where("guest").select(*at, F.col("comp").alias("u"), F.col("s").alias("a"), F.col("k").alias("p"), "m", *words).alias("x")
+        hosts = full.where("NOT guest").select(*at, F.col("comp").alias("v"), F.col("s").alias("b"), F.col("k").alias("q"), "m", *words).alias("y")
+        x, y = lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")
         first = F.coalesce(*[F.when(F.col("p")[i] == F.col("q")[i], F.col("p")[i]) for i in range(BANDS)])
-        alike = (F.col("x.bucket") == first) & (F.col("u") != F.col("v")) & (100 * F.least(m, n) >= percent * F.greatest(m, n)) & (100 * both >= percent * (m + n - both))
-        met = guests.join(hosts, [F.col(f"x.{k}") == F.col(f"y.{k}") for k in at] + [alike])
-        return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        apart = sum((F.bit_count(x(w).bitwiseXOR(y(w))) for w in words[1:]), F.bit_count(x("w0").bitwiseXOR(y("w0"))))
+        likely = (100 * F.least(x("m"), y("m")) >= percent * F.greatest(x("m"), y("m"))) & ((100 + percent) * apart <= (100 - percent) * (x("m") + y("m")))
+        alike = (100 + percent) * F.size(F.array_intersect("a", "b")) >= percent * (x("m") + y("m"))
+        found = guests.join(hosts, [x(k) == y(k) for k in at] + [(F.col("u") != F.col("v")) & likely & (x("bucket") == first) & alike])
+        return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
     return confirm
 
 
 def dropped_lines(docs: DataFrame, percent: int = 80, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, rid, text) to (rid, drop): positions of the lines that go, for the documents that lose any."""
+    """(doc_id, r1, r2, text) to (r1, r2, drop): positions of the lines that go, for the rows that lose any."""
     lines = occurrences(docs, least_words)
     nodes = cut(_signatures(lines).withColumn("node", F.monotonically_increasing_id()), "nodes")
     bands = F.array(*[F.xxhash64(F.lit(i), *[f"m{i * ROWS + j}" for j in range(ROWS)]) for i in range(BANDS)])
-    keys = nodes.select("node", F.explode(bands).alias("bucket"))
-    shared = cut(keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "shared")
-    buckets = cut(keys.join(shared, "bucket"), "candidates")
-    used = cut(nodes.select("node", "h1", "h2", bands.alias("k")).join(buckets.select("node").distinct(), "node"), "used")
+    # of a group of near copies, the line with most copies is likely what the others are copies of
+    held = with_leaders(nodes.select("node", F.explode(bands).alias("bucket"), F.col("copies").alias("score")).select("bucket", "node", "score"))
+    used = cut(nodes.select("node", "h1", "h2", bands.alias("k")).join(held.select("node").distinct(), "node"), "used")
     there = may_hold(used, "h1")
     if there is not None:
         texts = lines.where(there).select("h1", "h2", "line").join(used, ["h1", "h2"])
         texts = texts.groupBy("node").agg(F.first("line").alias("line"), F.first("k").alias("k"))
         texts = cut(texts.select("node", "k", "line", F.size(shingles(F.col("line"))).alias("m")), "texts")
-        linked = link(buckets, _confirm(texts, percent), _confirm_blocks(texts, percent))
+        linked = link(held, _confirm(texts, percent), _confirm_blocks(texts, percent))
         named = nodes.join(linked, "node", "left").where("copies > 1 OR component IS NOT NULL")
     else:
         named = nodes.where("copies > 1").withColumn("component", F.lit(None).cast("long"))
     named = cut(named.select("h1", "h2", F.coalesce("component", "node").alias("component")), "named")
     there = may_hold(named, "h1")
     if there is None:
-        return docs.select("rid", F.array(F.lit(0)).alias("drop")).where("false")
+        return docs.select("r1", "r2", F.array(F.lit(0)).alias("drop")).where("false")
     members = cut(lines.where(there).select("h1", "h2", "occ").join(named, ["h1", "h2"]).select("component", "occ"), "members")
-    first = cut(members.groupBy("component").agg(F.min("occ").alias("first")), "first")
+    first = members.groupBy("component").agg(F.min("occ").alias("first"))
     gone = members.join(first, "component").where(~F.col("occ").eqNullSafe(F.col("first")))
-    return cut(gone.groupBy(F.col("occ.rid").alias("rid")).agg(F.collect_set("occ.pos").alias("drop")), "drops")
+    return cut(gone.groupBy(F.col("occ.r1").alias("r1"), F.col("occ.r2").alias("r2")).agg(F.collect_set("occ.pos").alias("drop")), "drops")
 
 
 def deduplicated_lines(docs: DataFrame, percent: int = 80, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -120,17 +159,18 @@ def deduplicated_lines(docs: DataFrame, percent: int = 80, least_words: int = LE
 
     Lines of ``least_words`` words or more are compared, without white space at their ends, by the Jaccard similarity
     of their shingles: links are ``percent`` or more, confirmed on the full sets of candidates that share a band. Of a
-    component the first line stays, by doc_id (null last), then hash of the row, then position. Rows that repeat, with
-    the same id and text, count as one document and get the same text. A null text stays null, a text that loses all
-    lines is empty, shorter lines stay; an empty table gives no rows."""
+    component the first line stays, by doc_id (null last), then hash of the row, then position; so of equal lines
+    (ties) the first one does. Rows that repeat, with the same id and text, count as one document and get the same
+    text. A null text stays null, a text that loses all lines is empty, blank and shorter lines stay; texts and lines of
+    any length are read whole; columns of other names pass as they are; an empty table gives no rows."""
     names = docs.columns
-    wide = docs.withColumn("_t_rid", F.xxhash64("doc_id", "text"))
-    drops = dropped_lines(wide.select("doc_id", F.col("_t_rid").alias("rid"), "text"), percent, least_words)
-    drops = drops.toDF("_t_rid", "_t_drop")
-    there = may_hold(drops, "_t_rid")
+    wide = docs.withColumns({"_t_r1": F.xxhash64("doc_id", "text"), "_t_r2": F.xxhash64(F.lit(1), "text", "doc_id")})
+    drops = dropped_lines(wide.select("doc_id", F.col("_t_r1").alias("r1"), F.col("_t_r2").alias("r2"), "text"), percent, least_words)
+    drops = drops.toDF("_t_r1", "_t_r2", "_t_drop")
+    there = may_hold(drops, "_t_r1")
     if there is None:
         return docs
-    hit = wide.where(there).join(drops, "_t_rid", "left")
+    hit = wide.where(there).join(drops, ["_t_r1", "_t_r2"], "left")
     lines = F.split("text", "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_t_drop"))
     text = F.when(F.col("_t_drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))

@@ -18,39 +18,42 @@ SMALL = 24
 BLOCK = 512
 
 
-def shared_buckets(keys: DataFrame) -> DataFrame:
+def scored(keys: DataFrame) -> DataFrame:
     """(bucket, node) of buckets with two members or more, with score: the sizes of a node's buckets, summed.
 
     In a group of copies the original, or what is nearest to it, shares most buckets."""
     sizes = cut(keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     buckets = cut(keys.join(sizes, "bucket"), "buckets")
-    scores = cut(buckets.groupBy("node").agg(F.sum("n").alias("score")), "scores")
-    return cut(buckets.select("bucket", "node").join(scores, "node"), "buckets")
+    return cut(buckets.select("bucket", "node").join(buckets.groupBy("node").agg(F.sum("n").alias("score")), "node"), "scored")
 
 
-def leader_pairs(buckets: DataFrame) -> DataFrame:
-    """(u, v): each member of a bucket with its two leaders, the member of greatest score and one by hash.
+def with_leaders(keys: DataFrame) -> DataFrame:
+    """(bucket, node, score), each once, to (bucket, node, n, a, b) of buckets with two members or more.
 
-    Leaders come from partial aggregates and meet the members in a join, so a large bucket is never one task's."""
+    n is the bucket's size, a and b are its leaders: the member of greatest score and one by hash. They come from
+    partial aggregates and meet the members in a join, so a large bucket is never one task's."""
     first, other = F.struct(-F.col("score"), F.xxhash64("node"), "node"), F.struct(F.xxhash64("node", "bucket"), "node")
-    leaders = buckets.groupBy("bucket").agg(F.min(first).alias("_a"), F.min(other).alias("_b"))
-    leaders = cut(leaders.select("bucket", F.col("_a.node").alias("_a"), F.col("_b.node").alias("_b")), "leaders")
-    pairs = buckets.join(leaders, "bucket").select("node", F.explode(F.array_distinct(F.array("_a", "_b"))).alias("_l")).where("node <> _l")
+    leaders = keys.groupBy("bucket").agg(F.count("*").alias("n"), F.min(first).alias("_a"), F.min(other).alias("_b")).where("n > 1")
+    leaders = cut(leaders.select("bucket", "n", F.col("_a.node").alias("a"), F.col("_b.node").alias("b")), "leaders")
+    return cut(keys.select("bucket", "node").join(leaders, "bucket"), "held")
+
+
+def leader_pairs(held: DataFrame) -> DataFrame:
+    """(u, v): each member of a bucket with its two leaders."""
+    pairs = held.select("node", F.explode(F.array_distinct(F.array("a", "b"))).alias("_l")).where("node <> _l")
     return pairs.select(F.least("node", "_l").alias("u"), F.greatest("node", "_l").alias("v")).distinct()
 
 
-def mixed_members(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+def mixed_members(held: DataFrame, labels: DataFrame) -> DataFrame:
     """(bucket, node, comp, main, n, f) of buckets that span several components: n members, f of them outside ``main``.
 
-    Members of the leader's component need no comparing with one another; every other member meets all the rest."""
-    named = buckets.join(labels, "node", "left").select("bucket", "node", "score", F.coalesce("component", "node").alias("comp"))
-    named = cut(named, "labelled")
-    order = F.struct(-F.col("score"), F.xxhash64("node"), "node", "comp")
-    mixed = named.groupBy("bucket").agg(F.min("comp").alias("_x"), F.max("comp").alias("_y"), F.min(order).alias("_l"), F.count("*").alias("n")).where("_x < _y")
-    mixed = cut(mixed.select("bucket", F.col("_l.comp").alias("main"), "n"), "mixed")
-    members = cut(named.select("bucket", "node", "comp").join(mixed, "bucket"), "members")
-    outside = cut(members.groupBy("bucket").agg(F.count_if(F.col("comp") != F.col("main")).alias("f")), "outside")
-    return cut(members.join(outside, "bucket"), "members")
+    ``main`` is the first leader's component. Its members need no comparing with one another; every other member meets
+    all the rest."""
+    own, lead = labels.toDF("node", "_c"), labels.toDF("a", "_m")
+    named = held.select("bucket", "node", "n", "a").join(own, "node", "left").join(lead, "a", "left")
+    named = cut(named.select("bucket", "node", F.coalesce("_c", "node").alias("comp"), F.coalesce("_m", "a").alias("main"), "n"), "named")
+    outside = cut(named.where("comp <> main").groupBy("bucket").agg(F.count("*").alias("f")), "outside")
+    return cut(named.join(outside, "bucket"), "members")
 
 
 def rest_pairs(members: DataFrame) -> DataFrame:
@@ -92,21 +95,20 @@ def forest(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame(kept, columns=["u", "v"], dtype="int64")
 
 
-def link(buckets: DataFrame, confirm: Callable[[DataFrame], DataFrame], confirm_blocks: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(bucket long, node long) to (node, component) of the nodes that have a confirmed link.
+def link(held: DataFrame, confirm: Callable[[DataFrame], DataFrame], confirm_blocks: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``with_leaders`` gives to (node, component) of the nodes that have a confirmed link.
 
     ``confirm`` takes candidate pairs (u < v, each once) and returns those that hold. First each member is compared
     with its buckets' leaders; then, in buckets that still span several components, every pair across components:
-    pair by pair, or, where ``confirm_blocks`` is given and the bucket is large, block by block without any pairs in a
+    pair by pair, or, where the bucket is large, by ``confirm_blocks``, block by block without any pairs in a
     shuffle. So each pair that shares a bucket is confirmed unless confirmed links already join it, at a cost that
     is linear for a bucket of copies of one text. Nulls aren't expected; repeated rows count once."""
-    buckets = shared_buckets(buckets.distinct())
-    labels = components(cut(confirm(leader_pairs(buckets)), "links"))
-    members = mixed_members(buckets, labels)
-    if confirm_blocks is None:
-        more = confirm(rest_pairs(members))
-    else:
-        more = confirm(rest_pairs(members.where(F.col("n") <= SMALL))).union(confirm_blocks(rest_blocks(members.where(F.col("n") > SMALL))))
+    labels = components(cut(confirm(leader_pairs(held)), "links"))
+    members = mixed_members(held, labels)
+    more = confirm(rest_pairs(members.where(F.col("n") <= SMALL)))
+    large = members.where(F.col("n") > SMALL)
+    if not large.isEmpty():
+        more = more.union(confirm_blocks(rest_blocks(large)))
     more = cut(more, "links")
     if more.isEmpty():
         return labels

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, may_hold, ship
-from tessera.llm.linking import forest, link
+from tessera.llm.linking import forest, link, scored, with_leaders
 
 #: Bands of rows. At a Jaccard similarity of 0.85 a pair shares no band with probability below 1e-6, at 0.8 below 1e-4.
 BANDS, ROWS = 24, 5
@@ -233,18 +233,17 @@ def classes_and_components(docs: DataFrame, width: int, percent: int, bands: int
     classes = sketches.where("n_shingles > 0").groupBy("hi", "lo").agg(first).select("hi", "lo", "_r.*")
     # ids of their own: documents may share an id, or have none
     classes = cut(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    keys = cut(classes.select("node", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "node"), "keys")
-    shared = keys.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1").select("bucket")
-    buckets = cut(keys.join(cut(shared, "shared"), "bucket"), "candidates")
+    keys = classes.select("node", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "node")
+    held = with_leaders(scored(cut(keys.distinct(), "keys")))
     # one row of a class gives its text; a bitmap spares the texts of others the shuffle
     row = F.xxhash64("doc_id", "th", "size").alias("row")
-    used = cut(classes.join(buckets.select("node").distinct(), "node").select("node", "n_shingles", "sig", "th", row), "used")
+    used = cut(classes.join(held.select("node").distinct(), "node").select("node", "n_shingles", "sig", "th", row), "used")
     there = may_hold(used, "row")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_text_key(), "text").select("th", row, "text")
     rows = rows.where(F.lit(False) if there is None else there)
     texts = cut(rows.join(used.select("node", "th", "row"), ["row", "th"]).groupBy("node").agg(F.first("text").alias("text")), "texts")
     used, least = used.select("node", "n_shingles", "sig"), least_agreement(percent, bands * rows_a_band)
-    linked = link(buckets, _confirm(used, texts, width, percent, least), _confirm_blocks(used, texts, width, percent, least))
+    linked = link(held, _confirm(used, texts, width, percent, least), _confirm_blocks(used, texts, width, percent, least))
     named = classes.join(linked, "node", "left").select("hi", "lo", F.coalesce("component", "node").alias("component"))
     return sketches, cut(named, "named")
 

@@ -44,8 +44,10 @@ def brute(texts, least_words):
 
 def test_shingles_start_at_every_character(spark):
     texts = ["short", "exactly 16 chars", "Seventeen chars!!", "see https://data.example.org/2019/Report.pdf", "carriage\rreturn and more text past it", "emoji 😀😀 between the 𝔴ords of 😀 a line 😀", "数据集发布于二零一九年并附有完整的渔业报告和附件说明"]
-    got = docs_of(spark, texts).select("text", lines.shingle_strings(F.col("text")).alias("s")).collect()
-    assert {r.text: set(r.s) for r in got} == {t: grams(t) for t in texts}
+    made = lambda xs: {r.text: set(r.s) for r in docs_of(spark, xs).select("text", lines.shingles(F.col("text")).alias("s")).collect()}
+    one = made(sorted({g for t in texts for g in grams(t)}))  # a run of 16 characters or a short line is one shingle
+    assert all(len(x) == 1 for x in one.values())
+    assert made(texts) == {t: set.union(*[one[g] for g in grams(t)]) for t in texts}
 
 
 def test_lines_that_differ_within_long_words_stay(spark):
