@@ -20,8 +20,11 @@ _BLOCK = frozenset("address article aside blockquote body caption center dd deta
 #: Elements whose text is never part of an article.
 _DROPPED = frozenset("nav footer aside form script style noscript template iframe button select option textarea svg canvas object dialog menu head title label input fieldset".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar toolbar form".split())
-#: Words of a class or id that mark what isn't the article.
-_OTHER = frozenset("ad ads advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted related replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
+#: Words of a class or id that mark what isn't the article, wherever they stand in it.
+_OTHER = frozenset("advert adverts advertisement advertisements advertising breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus gdpr masthead modal navbar newsletter pager pagination popup promo promoted replies respond sidebar sponsor sponsored subscribe".split())
+#: Words that do so only in a class or id made of them and of words that say nothing: "share-buttons", but not "social-history".
+_ALONE = frozenset("ad ads banner footer menu nav navigation notice related share sharing social toolbar widget".split())
+_PLAIN = frozenset("area bar block body bottom box button buttons container content global icons inner left links list main page post primary right secondary section site slot top unit wrap wrapper".split())
 _GOOD = frozenset("article body content entry main page post story text".split())
 _PARAGRAPHS = frozenset("p pre td blockquote dd li figcaption".split())
 _CONTAINERS = frozenset("div section article main body".split())
@@ -33,8 +36,20 @@ _ENDS = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "
 _CLOSED_P = _BLOCK - {"html", "body", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 
 
-def _words(names: str) -> set[str]:
-    return set(re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", names).lower()))
+def _words(name: str) -> set[str]:
+    return set(re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name).lower())) - {""}
+
+
+def _marks(names: str) -> tuple[bool, bool]:
+    """Do classes and ids mark other content; do they mark the article?"""
+    other, alone, good = False, False, False
+    for words in map(_words, names.split()):
+        other |= bool(words & _OTHER)
+        if words & _ALONE and not words - _ALONE - _PLAIN:
+            alone = True
+        else:
+            good |= bool(words & _GOOD)
+    return other or (alone and not good), good
 
 
 class Page:
@@ -112,9 +127,9 @@ class Page:
                 elif name == "hidden" or value.strip().lower() == "true":
                     drop = True
             if names:
-                words = _words(names)
-                drop |= tag not in _KEPT_WHOLE and bool(words & _OTHER)
-                weight += 25 * bool(words & _GOOD)
+                other, good = _marks(names)
+                drop |= tag not in _KEPT_WHOLE and other
+                weight += 25 * good
         self.tag.append(tag)
         self.parent.append(parent)
         self.drop.append(drop or self.drop[parent])
@@ -154,7 +169,7 @@ class Page:
         count, parent, tag = len(self.tag), self.parent, self.tag
         headers, articles = self.inside(("header",)), self.inside(("article", "main"))
         drop = [d or (h and not a) for d, h, a in zip(self.drop, headers, articles, strict=True)]
-        own: list[list[int]] = [[0, 0, 0] for _ in range(count)]  # characters, commas, characters in links
+        own: list[list[int]] = [[0, 0, 0, 0] for _ in range(count)]  # characters, commas, characters in links, links
         home = [0] * count  # the nearest block element, itself included
         for i in range(1, count):
             home[i] = i if tag[i] in _BLOCK else home[parent[i]]
@@ -165,13 +180,15 @@ class Page:
             o[0] += n
             o[1] += run.count(",") + run.count("，") + run.count("、")
             o[2] += n * link
-        whole, links = [x[0] for x in own], [x[2] for x in own]
+            o[3] += link
+        whole, links, anchors = [x[0] for x in own], [x[2] for x in own], [x[3] for x in own]
         for i in range(count - 1, 0, -1):
             whole[parent[i]] += whole[i]
             links[parent[i]] += links[i]
+            anchors[parent[i]] += anchors[i]
         score: dict[int, float] = {}
         for i in range(count):
-            n, commas, in_links = own[i]
+            n, commas, in_links, _ = own[i]
             if not n or drop[i]:
                 continue
             points = (min(1.0, n / 25) + commas + min(3, n // 100)) * (1 - in_links / n)
@@ -197,9 +214,11 @@ class Page:
             if i == best or (i and keep[parent[i]]):
                 keep[i] = True
             elif i and best and parent[i] == parent[best] and not drop[i]:
-                keep[i] = rated.get(i, 0) >= least or (prose[i] and (tag[i] in _PROSE | _HEADINGS or tag[i] == tag[best] == "section"))
-        for i in range(1, count):  # lists of links inside the container
-            if drop[parent[i]] or (keep[i] and i != best and tag[i] in ("ul", "ol", "div", "section", "table") and links[i] > 0.7 * whole[i] > 0):
+                inner = tag[parent[i]] not in ("body", "html", "#root")
+                keep[i] = rated.get(i, 0) >= least or (prose[i] and (tag[i] in _PROSE | _HEADINGS or tag[i] == tag[best] == "section" or (inner and tag[i] in _CONTAINERS)))
+        menus = tag[best] not in ("article", "main")  # there, lists of links are the article's own, such as its references
+        for i in range(1, count):  # elsewhere, lists of short links are menus
+            if drop[parent[i]] or (menus and keep[i] and i != best and tag[i] in ("ul", "ol", "div", "section", "table") and links[i] > 0.7 * whole[i] > 0 and links[i] < 30 * anchors[i]):
                 drop[i] = True
         blocks: list[list[str]] = []
         last = None
@@ -221,8 +240,8 @@ def main_text(source: str | None) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, html) to page_id, url, text, n_chars, one row a page, from the whole html.
 
-    Null and empty html gives an empty text; pages with equal or null ids stay apart; broken markup is read as it
-    comes: unclosed elements end with their parent, raw elements without an end run to the page's end. Other columns
+    Null and empty html gives an empty text; pages with equal or null ids stay apart; of containers with equal scores
+    (ties) the first is taken; pages of any length are read whole; broken markup is read as it comes: unclosed elements end with their parent, raw elements without an end run to the page's end. Other columns
     are ignored; work and memory follow the page's length."""
     ship(pages.sparkSession)
 

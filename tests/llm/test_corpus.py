@@ -318,6 +318,28 @@ def test_html_of_the_pages(spark, folder):
         assert got[r.page_id] == " ".join(b for b in blocks if b)
 
 
+KEPT = "<p>Many words of a first paragraph, with commas, to score well, on and on.</p><p>And a second one, with more words, after it.</p>"
+
+
+@pytest.mark.parametrize(
+    "inner, text",
+    [
+        ('<ul><li><a href="/1">A long title of the first reference, 2019</a></li><li><a href="/2">The title of another one, 2020</a></li></ul>', "A long title of the first reference, 2019 The title of another one, 2020"),
+        ('<p class="story-content share">Shared prose.</p>', "Shared prose."),
+        ('<div class="social-history"><p>Of the town.</p></div>', "Of the town."),
+        ('<div class="share-buttons"><a href="/t">Tell</a></div><div class="notice">Note</div><div id="respond"><p>Reply, here</p></div>', ""),
+    ],
+)
+def test_html_of_marked_parts_inside_an_article(inner, text):
+    first = "Many words of a first paragraph, with commas, to score well, on and on. And a second one, with more words, after it."
+    assert html.main_text(page(f"<article>{KEPT}{inner}</article>")) == f"{first} {text}".strip()
+
+
+def test_html_keeps_short_parts_beside_the_best():
+    got = html.main_text(page(f'<div class="wrapper"><h1>Head</h1><div>{KEPT * 6}</div><div><p>Short end.</p></div><p>Bye.</p></div>'))
+    assert got.startswith("Head Many words") and got.endswith("Short end. Bye.")
+
+
 def test_html_survives_broken_markup():
     assert html.main_text("<div>" * 20000 + "deep, text") == "deep, text"
     assert html.main_text("<p>a, b <b>c <i>d</p><!-- open") == "a, b c d"
@@ -429,6 +451,16 @@ def test_media_round_trip(spark):
 def test_interleaved_positions_and_captions():
     items = media.interleave('<p>One</p><figure><img src="sha256:ab" alt="x"><figcaption>Cap &amp; tion</figcaption></figure><p>Two <b>bold</b></p><img src="/y.png" alt="alt"><script>p</script>')
     assert [(x["position"], x["kind"], x["text"], x["digest"], x["caption"]) for x in items] == [(0, "text", "One", None, None), (1, "media", "sha256:ab", "ab", "Cap & tion"), (2, "text", "Two bold", None, None), (3, "media", "/y.png", None, "alt")]
+    figures = media.interleave(
+        '<article><p>First</p><figure><img alt="a > b" src="sha256:01"><figcaption>One &amp; <b>only</b></figcaption></figure>Between'
+        "<figure><figcaption>Ahead</figcaption><img src='sha256:02'></figure><img src=sha256:03 alt=bare>"
+        '<figure><img src="sha256:04"><img src="sha256:05"><figcaption>Both<p>After</p></figure><p>Last</p><figcaption>Loose</article>'
+    )
+    assert [x["position"] for x in figures] == list(range(len(figures)))
+    assert [(x["text"], x["caption"]) if x["kind"] == "media" else x["text"] for x in figures] == [
+        "First", ("sha256:01", "One & only"), "Between", ("sha256:02", "Ahead"), ("sha256:03", "bare"), ("sha256:04", "Both"), ("sha256:05", "Both"), "After", "Last", "Loose"]
+    open_caption = media.interleave('<img src="sha256:01"><figcaption>Cap<p>one</p><p>two</p> end')
+    assert [x["text"] for x in open_caption] == ["sha256:01", "one", "two", "end"] and open_caption[0]["caption"] == "Cap"
     assert media.interleave(None) == [] and media.interleave("") == []
 
 
