@@ -23,24 +23,41 @@ RATE = 8000
 #: How a sequence refers to a payload: this, then its SHA-256.
 SCHEME = "sha256:"
 ITEMS = "array<struct<position:int,kind:string,text:string,digest:string,caption:string>>"
-_TAG = re.compile(r"<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>|<(/?)([a-zA-Z][a-zA-Z0-9]*)([^>]*)>", re.S | re.I)
+_TAG = re.compile(r"<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S | re.I)
 _ATTRIBUTE = re.compile(r"""([\w-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _MEDIA = {"img", "audio", "video", "source"}
+#: Start tags, and ends of figures and what is around them, that end a caption with words in it.
+_NEXT = {"article", "body", "div", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "html", "li", "main", "ol", "p", "section", "table", "ul"} | _MEDIA
+_OUTER = {"article", "body", "figure", "html", "main", "section"}
 _INLINE = {"a", "b", "i", "em", "strong", "span", "u", "s", "sub", "sup", "small", "code", "mark"}
 
 
 def interleave(page: str | None) -> list[dict]:
     """Text blocks and media references of a page, in order, positions from 0.
 
-    A reference's digest is that of a ``sha256:`` address, else null; its caption is the figure's, or its alt text."""
+    A reference's digest is that of a ``sha256:`` address, else null; its caption is the figure's, or its alt text. A
+    caption that isn't closed ends with its figure, or where the next block starts; no text is lost to it."""
     items: list[dict] = []
-    text, at, figure, caption = [], 0, [], None
+    text, at, figure, caption, ahead = [], 0, [], None, ""
+
+    def add(words: str) -> None:
+        if words:
+            items.append({"position": len(items), "kind": "text", "text": words, "digest": None, "caption": None})
 
     def flush() -> None:
         words = " ".join(html.unescape("".join(text)).split())
         text.clear()
-        if words:
-            items.append({"position": len(items), "kind": "text", "text": words, "digest": None, "caption": None})
+        add(words)
+
+    def captioned() -> None:
+        nonlocal caption, ahead
+        words = " ".join(html.unescape("".join(caption or [])).split())
+        for item in figure:
+            item["caption"] = words or item["caption"]
+        if not figure:  # its media may follow
+            add(ahead)
+            ahead = words
+        caption = None
 
     page = page or ""
     for m in [*_TAG.finditer(page), None]:
@@ -50,26 +67,31 @@ def interleave(page: str | None) -> list[dict]:
         tag = (m[3] or "").lower() if m else ""
         if m and (not tag or tag in _INLINE):
             continue
-        if tag == "figcaption":
-            if m[2]:
-                words = " ".join(html.unescape("".join(caption or [])).split())
-                for item in figure:
-                    item["caption"] = words or item["caption"]
-                caption = None
+        if tag == "figcaption" and not m[2]:
+            flush()
+            if caption is not None:
+                captioned()
+            caption = []
+            continue
+        if caption is not None:
+            if tag == "figcaption" or not m or (tag in _OUTER if m[2] else tag in _NEXT and "".join(caption).strip()):
+                captioned()
             else:
-                flush()
-                caption = []
+                caption.append(" ")
+        if tag == "figcaption":
             continue
         if caption is None:
             flush()
-        if tag == "figure":
-            figure = []
+        if tag in _OUTER or not m:
+            add(ahead)  # a caption of nothing is text
+            figure, ahead = [], ""
         if tag in _MEDIA and not m[2]:
             given = {k.lower(): html.unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(m[4])}
             if src := given.get("src"):
                 digest = src[len(SCHEME) :] if src.startswith(SCHEME) else None
-                items.append({"position": len(items), "kind": "media", "text": src, "digest": digest, "caption": given.get("alt")})
+                items.append({"position": len(items), "kind": "media", "text": src, "digest": digest, "caption": ahead or given.get("alt")})
                 figure.append(items[-1])
+                ahead = ""
     return items
 
 
