@@ -19,7 +19,8 @@ def _point(k: Column) -> Column:
 
 
 def _order_key() -> Column:
-    return F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    """By this the documents of a source are shuffled; those without id by their text, so that they don't fall together."""
+    return F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")))
 
 
 def source_targets(totals: DataFrame, weights: tuple[int, ...], cap: float) -> DataFrame:
@@ -52,10 +53,11 @@ def _demands(sources: DataFrame, block_words: int) -> DataFrame:
 
 
 def schedule(sources: DataFrame, chunk: int = 4096) -> DataFrame:
-    """(sid, rank): one row for each slot a source needs, slots dealt by points mapped through the cumulative weights.
+    """(sid, rank, slot): one row for each slot a source needs, slots dealt by points mapped through the cumulative weights.
 
-    Ranks are counted in chunks of slots, then over the chunks, so no task holds all slots of a source. Points miss
-    a source's share by a few slots at most; surplus ranks go, missing ones are appended."""
+    Slots are the places of the mix, in its order. Ranks are counted in chunks of slots, then over the chunks, so no
+    task holds all slots of a source. Points miss a source's share by a few slots at most; surplus ranks go, missing
+    ones are appended past the last slot."""
     spark = sources.sparkSession
     n, most = sources.agg(F.sum("slots"), F.count("*")).first()
     n, cells = int(n or 0), max(1024, 2 * most)
@@ -69,19 +71,20 @@ def schedule(sources: DataFrame, chunk: int = 4096) -> DataFrame:
     per = dealt.groupBy("sid", "chunk").agg(F.count("*").alias("here"))
     per = per.withColumn("before", F.coalesce(F.sum("here").over(Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     local = F.row_number().over(Window.partitionBy("sid", "chunk").orderBy("id")) - 1
-    ranked = dealt.withColumn("local", local).join(per, ["sid", "chunk"]).withColumn("rank", F.col("before") + F.col("local")).where("rank < slots").select("sid", "rank")
+    ranked = dealt.withColumn("local", local).join(per, ["sid", "chunk"]).withColumn("rank", F.col("before") + F.col("local")).where("rank < slots").select("sid", "rank", F.col("id").alias("slot"))
     had = per.groupBy("sid").agg(F.sum("here").alias("had"))
-    short = sources.select("sid", "slots").join(had, "sid", "left").withColumn("had", F.coalesce("had", F.lit(0))).where("had < slots")
-    return ranked.union(short.select("sid", F.explode(F.sequence("had", F.col("slots") - 1)).alias("rank")))
+    short = sources.select("sid", "slots", "first").join(had, "sid", "left").withColumn("had", F.coalesce("had", F.lit(0))).where("had < slots")
+    more = short.select("sid", "first", F.explode(F.sequence("had", F.col("slots") - 1)).alias("rank"))
+    return ranked.union(more.select("sid", "rank", (n + F.col("first") + F.col("rank")).alias("slot")))
 
 
 def block_takes(sources: DataFrame, slots: DataFrame, block_words: int) -> DataFrame:
-    """(sid, block, whole, part): how often the mix takes a block, and the words of a last, cut one."""
+    """(sid, block, whole, part, at, at_part): how often the mix takes a block, the words of a last, cut one, and their first slots."""
     df = slots.join(sources.select("sid", "blocks", "slots", "rest"), "sid")
     df = df.withColumn("block", F.col("rank") % F.col("blocks"))
     last = (F.col("rank") == F.col("slots") - 1) & (F.col("rest") > 0)
     df = df.withColumn("cut", F.when(last, F.col("rest") - F.col("block") * block_words))
-    return df.groupBy("sid", "block").agg(F.count(F.when(~last, 1)).alias("whole"), F.coalesce(F.max("cut"), F.lit(0)).alias("part"))
+    return df.groupBy("sid", "block").agg(F.count(F.when(~last, 1)).alias("whole"), F.coalesce(F.max("cut"), F.lit(0)).alias("part"), F.min(F.when(~last, F.col("slot"))).alias("at"), F.min(F.when(last, F.col("slot"))).alias("at_part"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3.0, block_words: int = 4096, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -90,17 +93,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3.0,
     Sources in code-point order, null last, get ``weights`` in turn. Each source's documents, shuffled by a hash of
     doc_id, form a stream that is cut into blocks of ``block_words``; van der Corput points mapped through the
     cumulative weights give each slot to a source, and a source's r-th slot takes its block r, round and round.
-    Returns doc_id, size, source_size, target, taken and the columns in ``carry``. Null or blank texts have size 0
-    and take 0; a null doc_id is shuffled as an empty string; equal rows may swap places; other columns are ignored;
-    an empty table gives no rows."""
+    Returns doc_id, size, source_size, target, taken, first_slot (the first of the mix's slots that takes words of it;
+    null if none does), n_slots (slots that do) and the columns in ``carry``. Null or blank texts have size 0 and take
+    0; a null doc_id is shuffled by its text; equal rows (ties) may swap places; texts of any length are counted whole;
+    other columns are ignored; an empty table gives no rows."""
     kept = [F.col(c).alias(f"_c_{i}") for i, c in enumerate(carry)]
-    sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *kept), "sizes")
+    sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _order_key().alias("key"), *kept), "sizes")
     totals = sized.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
     sources = cut(_demands(source_targets(totals, weights, cap), block_words).coalesce(1), "sources")
     n = sources.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, math.isqrt(n))
     keyed = sized.join(sources.select("source", "sid", "words", "target"), sized["source"].eqNullSafe(sources["source"])).drop(sources["source"])
-    keyed = keyed.withColumn("key", _order_key()).withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * buckets / 2**32))
+    keyed = keyed.withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * buckets / 2**32))
     sums = keyed.groupBy("sid", "bucket").agg(F.sum("size").alias("here"))
     sums = sums.select("sid", "bucket", (F.sum("here").over(Window.partitionBy("sid").orderBy("bucket")) - F.col("here")).alias("base"))
     narrow = ["doc_id", "size", "words", "target", "sid", "start"]
@@ -111,13 +115,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3.0,
     takes = block_takes(sources, schedule(sources), block_words)
     pieces = placed.select(*narrow).where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words))))
     begin, end = F.greatest(F.col("start"), F.col("block") * block_words), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words)
-    words = F.coalesce("whole", F.lit(0)) * (end - begin) + F.greatest(F.lit(0), F.least(end, F.col("block") * block_words + F.coalesce("part", F.lit(0))) - begin)
-    took = pieces.join(takes, ["sid", "block"], "left").withColumn("took", words).groupBy(*narrow).agg(F.sum("took").alias("taken"))
-    out = [F.col("doc_id"), F.col("size"), F.col("words").alias("source_size"), F.col("target"), F.col("taken").cast("long").alias("taken")]
+    rest = F.greatest(F.lit(0), F.least(end, F.col("block") * block_words + F.coalesce("part", F.lit(0))) - begin)
+    words, slots = F.coalesce("whole", F.lit(0)) * (end - begin) + rest, F.coalesce("whole", F.lit(0)) + F.when(rest > 0, 1).otherwise(0)
+    of = pieces.join(takes, ["sid", "block"], "left").withColumns({"took": words, "slots": slots, "slot": F.least("at", F.when(rest > 0, F.col("at_part")))})
+    took = of.groupBy(*narrow).agg(F.sum("took").alias("taken"), F.min("slot").alias("first_slot"), F.sum("slots").alias("n_slots"))
+    out = [F.col("doc_id"), F.col("size"), F.col("words").alias("source_size"), F.col("target"), *[F.col(c).cast("long").alias(c) for c in ("taken", "first_slot", "n_slots")]]
     if carry:
-        got = took.select("sid", "start", "size", "taken").where("taken > 0")
-        return placed.join(got, ["sid", "start", "size"], "left").withColumn("taken", F.coalesce("taken", F.lit(0))).select(*out, *[F.col(f"_c_{i}").alias(c) for i, c in enumerate(carry)])
-    return took.select(*out).union(keyed.where("size = 0").withColumn("taken", F.lit(0)).select(*out))
+        got = took.select("sid", "start", "size", "taken", "first_slot", "n_slots").where("taken > 0")
+        return placed.join(got, ["sid", "start", "size"], "left").withColumns({"taken": F.coalesce("taken", F.lit(0)), "n_slots": F.coalesce("n_slots", F.lit(0))}).select(*out, *[F.col(f"_c_{i}").alias(c) for i, c in enumerate(carry)])
+    nothing = {"taken": F.lit(0), "first_slot": F.lit(None), "n_slots": F.lit(0)}
+    return took.select(*out).union(keyed.where("size = 0").withColumns(nothing).select(*out))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:

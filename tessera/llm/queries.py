@@ -72,20 +72,40 @@ def queries() -> dict:
 OP1_SQL = """
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+         md5(coalesce(doc_id::VARCHAR, text, '')) AS k FROM documents),
 t AS (SELECT source, sum(size)::DOUBLE AS words FROM d GROUP BY source),
-r AS (SELECT *, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS w, 3.0 * words AS most FROM t),
+r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS w, 3.0 * words AS most FROM t),
 l AS (SELECT *, ((sum(words) OVER ()) - coalesce(sum(most) OVER (ORDER BY most / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
              / sum(w) OVER (ORDER BY most / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
-g AS (SELECT source, words::BIGINT AS source_size,
-             least(most, max(level) OVER () * w) AS target FROM l),
-p AS (SELECT d.doc_id, d.size, g.source_size, g.target, floor(g.target + 0.5)::BIGINT AS need,
+g AS (SELECT source, sid, words::BIGINT AS words, least(most, max(level) OVER () * w) AS target FROM l),
+h AS (SELECT *, ceil(words / 4096.0)::BIGINT AS blocks, CASE WHEN words > 0 THEN floor(target + 0.5)::BIGINT ELSE 0 END AS need FROM g),
+i AS (SELECT *, CASE WHEN words > 0 THEN need // words * blocks + ceil((need % words) / 4096.0)::BIGINT ELSE 0 END AS slots,
+             CASE WHEN words > 0 THEN need % words ELSE 0 END AS rest FROM h),
+s AS (SELECT *, coalesce(sum(slots) OVER (ORDER BY sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS lo, (sum(slots) OVER ())::BIGINT AS n FROM i),
+-- van der Corput points through the cumulative shares: the counter's 40 bits, reversed
+v AS (SELECT k AS slot, list_sum([((k >> j) & 1) << (39 - j) FOR j IN range(40)])::BIGINT AS x
+      FROM (SELECT unnest(range((SELECT max(n) FROM s))) AS k)),
+dealt AS (SELECT sid, slot, slots, row_number() OVER (PARTITION BY sid ORDER BY slot) - 1 AS rank FROM v JOIN s
+          ON x >= lo::DOUBLE / n * 1099511627776.0 AND x < (lo + slots)::DOUBLE / n * 1099511627776.0),
+ranked AS (SELECT sid, rank, slot FROM dealt WHERE rank < slots
+           UNION ALL
+           SELECT sid, unnest(range(had, slots)) AS rank, n + lo + unnest(range(had, slots)) AS slot
+           FROM (SELECT s.*, coalesce(c.had, 0)::BIGINT AS had FROM s LEFT JOIN (SELECT sid, count(*) AS had FROM dealt GROUP BY sid) c USING (sid)) WHERE had < slots),
+takes AS (SELECT sid, rank % blocks AS block, count(*) FILTER (WHERE NOT last) AS whole, coalesce(max(rest - (rank % blocks) * 4096) FILTER (WHERE last), 0) AS part,
+                 min(slot) FILTER (WHERE NOT last) AS whole_at, min(slot) FILTER (WHERE last) AS part_at
+          FROM (SELECT ranked.*, blocks, rest, rank = slots - 1 AND rest > 0 AS last FROM ranked JOIN s USING (sid)) GROUP BY ALL),
+p AS (SELECT row_number() OVER () AS row, d.doc_id, d.size, s.sid, s.words AS source_size, s.target,
              (sum(d.size) OVER (PARTITION BY d.source ORDER BY k, d.doc_id NULLS FIRST, d.size ROWS UNBOUNDED PRECEDING) - d.size)::BIGINT AS pos
-      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+      FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
+pieces AS (SELECT *, unnest(CASE WHEN size > 0 THEN range(pos // 4096, (pos + size - 1) // 4096 + 1) ELSE [-1] END) AS block FROM p),
+took AS (SELECT pieces.*, whole, whole_at, part_at, least(pos + size, (block + 1) * 4096) - greatest(pos, block * 4096) AS here,
+                greatest(0, least(pos + size, (block + 1) * 4096, block * 4096 + coalesce(part, 0)) - greatest(pos, block * 4096)) AS rest
+         FROM pieces LEFT JOIN takes USING (sid, block))
 SELECT doc_id, size, source_size, target,
-       CASE WHEN size = 0 THEN 0 ELSE size * (need // source_size)
-            + greatest(0, least(size, need % source_size - pos)) END::BIGINT AS taken
-FROM p
+       sum(CASE WHEN size = 0 THEN 0 ELSE coalesce(whole, 0) * here + rest END)::BIGINT AS taken,
+       min(CASE WHEN size > 0 THEN least(whole_at, CASE WHEN rest > 0 THEN part_at END) END)::BIGINT AS first_slot,
+       sum(CASE WHEN size = 0 THEN 0 ELSE coalesce(whole, 0) + CASE WHEN rest > 0 THEN 1 ELSE 0 END END)::BIGINT AS n_slots
+FROM took GROUP BY row, doc_id, size, source_size, target
 """
 
 
