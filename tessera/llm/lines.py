@@ -138,7 +138,7 @@ def dropped_lines(docs: DataFrame, percent: int = 80, least_words: int = LEAST_W
     there = may_hold(used, "h1")
     if there is not None:
         texts = lines.where(there).select("h1", "h2", "line").join(used, ["h1", "h2"])
-        texts = texts.groupBy("node").agg(F.first("line").alias("line"), F.first("k").alias("k"))
+        texts = texts.groupBy("h1", "h2").agg(F.first("node").alias("node"), F.first("line").alias("line"), F.first("k").alias("k"))
         texts = cut(texts.select("node", "k", "line", F.size(shingles(F.col("line"))).alias("m")), "texts")
         linked = link(held, _confirm(texts, percent), _confirm_blocks(texts, percent))
         named = nodes.join(linked, "node", "left").where("copies > 1 OR component IS NOT NULL")
@@ -171,9 +171,8 @@ def deduplicated_lines(docs: DataFrame, percent: int = 80, least_words: int = LE
     if there is None:
         return docs
     hit = wide.where(there).join(drops, ["_t_r1", "_t_r2"], "left")
-    lines = F.split("text", "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_t_drop"))
-    text = F.when(F.col("_t_drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    kept = lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_t_drop")), lambda i: F.get(x, i)), "\n")
+    text = F.when(F.col("_t_drop").isNull(), F.col("text")).otherwise(F.transform(F.array(F.split("text", "\n")), kept)[0])
     out = [text.alias(c) if c == "text" else F.col(f"`{c}`") for c in names]
     return wide.where(~there).select(*[F.col(f"`{c}`") for c in names]).union(hit.select(*out))
 
