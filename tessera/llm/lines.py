@@ -63,65 +63,72 @@ def occurrences(docs: DataFrame, least_words: int) -> DataFrame:
 def _signatures(lines: DataFrame) -> DataFrame:
     """One row a distinct line: h1, h2, its copies, and ``BANDS * ROWS`` minima of its shingles' hashes.
 
-    Half of a hash makes a minimum, and every two minima have a hash of their own, so that bands fail apart. A row
-    stands for ``STRIDE`` shingles (past the line's end for the last again); copies fall together in the partial sums."""
+    Each minimum is under a hash of its own, so that bands fail apart: the mixed hash of a shingle changed by a
+    constant. A row stands for ``STRIDE`` shingles (past the line's end for the last again); copies fall together in the partial sums."""
     wide = lines.select("h1", "h2", _characters(F.col("line")).alias("c"))
     wide = wide.select("h1", "h2", "c", _last(F.col("c")).alias("last"))
     rows = wide.select("h1", "h2", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(_WIDE * STRIDE))).alias("p"), "c", "last")
     made = [_shingle(F.col("c"), F.least(F.col("p") + _WIDE * k, F.col("last"))).alias(f"x{k}") for k in range(STRIDE)]
     rows = rows.select("h1", "h2", (F.col("p") == 1).alias("start"), *made)
-    minima = []
-    for i in range(0, BANDS * ROWS, 2):
-        hashed = [F.xxhash64(F.lit(i), f"x{k}") for k in range(STRIDE)]
-        minima.append(F.min(F.least(*[F.shiftright(x, 32) for x in hashed])).alias(f"m{i}"))
-        minima.append(F.min(F.least(*[x.bitwiseAND(F.lit(0xFFFFFFFF)) for x in hashed])).alias(f"m{i + 1}"))
+    salts = [(i * 0x9E3779B97F4A7C15 + (1 << 63)) % (1 << 64) - (1 << 63) for i in range(1, BANDS * ROWS + 1)]
+    minima = [F.min(F.least(*[F.xxhash64(F.col(f"x{k}").bitwiseXOR(F.lit(salt))) for k in range(STRIDE)])).alias(f"m{i}") for i, salt in enumerate(salts)]
     return rows.groupBy("h1", "h2").agg(*minima, F.count(F.when(F.col("start"), 1)).alias("copies"))
 
 
 def _bitmaps(texts: DataFrame) -> DataFrame:
-    """(node, line) to node and ``LONGS`` longs: a bit for each shingle, by its hash."""
+    """(node, line) to node, places (where a shingle starts) and ``LONGS`` longs: a bit for each shingle, by its hash."""
     wide = texts.select("node", _characters(F.col("line")).alias("c"))
     wide = wide.select("node", "c", _last(F.col("c")).alias("last"))
     h = wide.select("node", "c", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(_WIDE))).alias("p")).select("node", _shingle(F.col("c"), F.col("p")).alias("h"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
     word = F.shiftright("h", 6).bitwiseAND(F.lit(LONGS - 1))
-    return h.groupBy("node").agg(*[F.bit_or(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{i}") for i in range(LONGS)])
+    return h.groupBy("node").agg(F.count("*").cast("int").alias("places"), *[F.bit_or(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{i}") for i in range(LONGS)])
 
 
-def _confirm(texts: DataFrame, percent: int):
-    """Confirms pairs on the full sets. Lines are moved, for sets are many times their size."""
+#: Columns of a bitmap.
+_WORDS = [f"w{i}" for i in range(LONGS)]
+
+
+def _likely(x, y, percent: int) -> Column:
+    """False only for pairs that are no link: at most 100 - ``percent`` shingles of 100 + ``percent`` in both sets may differ.
+
+    Sets have at most as many shingles as the line has places, and differ in at least as many as their bitmaps in bits."""
+    apart = sum((F.bit_count(x(w).bitwiseXOR(y(w))) for w in _WORDS[1:]), F.bit_count(x("w0").bitwiseXOR(y("w0"))))
+    return (100 + percent) * apart <= (100 - percent) * (x("places") + y("places"))
+
+
+def _confirm(texts: DataFrame, bits: DataFrame, percent: int):
+    """Confirms pairs on the full sets. Bitmaps rule out most before any line is moved; lines are, for sets are many times their size."""
+    ends = lambda df, names: df.select(*[F.col(c).alias(n) for c, n in names.items()])
+    sketch = lambda n, end: ends(bits, {"node": end, "places": f"{n}places"} | {w: f"{n}{w}" for w in _WORDS})
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        full = pairs.join(texts.select(F.col("node").alias("u"), F.col("line").alias("a"), F.col("m").alias("p")), "u")
-        near = 100 * F.least("p", "q") >= percent * F.greatest("p", "q")
-        full = full.join(texts.select(F.col("node").alias("v"), F.col("line").alias("b"), F.col("m").alias("q")), "v").where(near)
+        both = pairs.join(sketch("a", "u"), "u").join(sketch("b", "v"), "v")
+        near = both.where(_likely(lambda c: F.col(f"a{c}"), lambda c: F.col(f"b{c}"), percent)).select("u", "v")
+        full = near.join(ends(texts, {"node": "u", "line": "a"}), "u").join(ends(texts, {"node": "v", "line": "b"}), "v")
         return full.where(_alike(shingles(F.col("a")), shingles(F.col("b")), percent)).select("u", "v")
 
     return confirm
 
 
-def _confirm_blocks(texts: DataFrame, percent: int):
+def _confirm_blocks(texts: DataFrame, bits: DataFrame, keys: DataFrame, percent: int):
     """Confirms the pairs of blocks within the join, so that only links between components leave it.
 
-    A pair is compared in the first bucket that both have, and in no other. Sizes and bitmaps rule out most pairs, and
-    none that is a link; the others' full sets are compared."""
+    A pair is compared in the first bucket that both have, and in no other. Bitmaps rule out most pairs, and none that
+    is a link; the others' full sets are compared."""
 
     def confirm(blocks: DataFrame) -> DataFrame:
-        met = texts.join(blocks.select("node").distinct(), "node", "left_semi")
-        bits = cut(met.join(_bitmaps(met.select("node", "line")), "node"), "bitmaps")
-        words = [f"w{i}" for i in range(LONGS)]
-        full = cut(blocks.join(bits, "node").select("bucket", "i", "j", "guest", "comp", "line", "k", "m", *words), "blocks")
+        known = texts.join(blocks.select("node").distinct(), "node", "left_semi").join(bits, "node").join(keys, "node")
+        full = cut(blocks.join(known, "node").select("bucket", "i", "j", "guest", "comp", "line", "k", "places", *_WORDS), "blocks")
         at = ["bucket", "i", "j"]
         # sets are made past the shuffle, where the two blocks meet
         full = full.repartition(*at).withColumn("s", shingles(F.col("line")))
-        guests = full.where("guest").select(*at, F.col("comp").alias("u"), F.col("s").alias("a"), F.col("k").alias("p"), "m", *words).alias("x")
-        hosts = full.where("NOT guest").select(*at, F.col("comp").alias("v"), F.col("s").alias("b"), F.col("k").alias("q"), "m", *words).alias("y")
+        guests = full.where("guest").select(*at, F.col("comp").alias("u"), F.col("s").alias("a"), F.col("k").alias("p"), "places", *_WORDS).alias("x")
+        hosts = full.where("NOT guest").select(*at, F.col("comp").alias("v"), F.col("s").alias("b"), F.col("k").alias("q"), "places", *_WORDS).alias("y")
         x, y = lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")
         first = F.coalesce(*[F.when(F.col("p")[i] == F.col("q")[i], F.col("p")[i]) for i in range(BANDS)])
-        apart = sum((F.bit_count(x(w).bitwiseXOR(y(w))) for w in words[1:]), F.bit_count(x("w0").bitwiseXOR(y("w0"))))
-        likely = (100 * F.least(x("m"), y("m")) >= percent * F.greatest(x("m"), y("m"))) & ((100 + percent) * apart <= (100 - percent) * (x("m") + y("m")))
-        alike = (100 + percent) * F.size(F.array_intersect("a", "b")) >= percent * (x("m") + y("m"))
-        found = guests.join(hosts, [x(k) == y(k) for k in at] + [(F.col("u") != F.col("v")) & likely & (x("bucket") == first) & alike])
+        alike = (100 + percent) * F.size(F.array_intersect("a", "b")) >= percent * (F.size("a") + F.size("b"))
+        found = guests.join(hosts, [x(k) == y(k) for k in at] + [(F.col("u") != F.col("v")) & _likely(x, y, percent) & (x("bucket") == first) & alike])
         return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
     return confirm
@@ -130,17 +137,19 @@ def _confirm_blocks(texts: DataFrame, percent: int):
 def dropped_lines(docs: DataFrame, percent: int = 80, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, r1, r2, text) to (r1, r2, drop): positions of the lines that go, for the rows that lose any."""
     lines = occurrences(docs, least_words)
-    nodes = cut(_signatures(lines).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    nodes = _signatures(lines)
+    # of near copies the line with most copies is likely what the others come from: it gets the least node and leads
+    weight = 255 - F.least(F.lit(255), F.floor(8 * F.log2("copies"))).cast("long")
+    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id().bitwiseOR(F.shiftleft(weight, 55))), "nodes")
     bands = F.array(*[F.xxhash64(F.lit(i), *[f"m{i * ROWS + j}" for j in range(ROWS)]) for i in range(BANDS)])
-    # of a group of near copies, the line with most copies is likely what the others are copies of
-    held = with_leaders(nodes.select("node", F.explode(bands).alias("bucket"), F.col("copies").alias("score")).select("bucket", "node", "score"))
-    used = cut(nodes.select("node", "h1", "h2", bands.alias("k")).join(held.select("node").distinct(), "node"), "used")
+    held = with_leaders(nodes.select("node", F.explode(bands).alias("bucket")).select("bucket", "node"))
+    used = cut(nodes.select("node", "h1", "h2").join(held.select("node").distinct(), "node"), "used")
     there = may_hold(used, "h1")
     if there is not None:
         texts = lines.where(there).select("h1", "h2", "line").join(used, ["h1", "h2"])
-        texts = texts.groupBy("h1", "h2").agg(F.first("node").alias("node"), F.first("line").alias("line"), F.first("k").alias("k"))
-        texts = cut(texts.select("node", "k", "line", F.size(shingles(F.col("line"))).alias("m")), "texts")
-        linked = link(held, _confirm(texts, percent), _confirm_blocks(texts, percent))
+        texts = cut(texts.groupBy("h1", "h2").agg(F.first("node").alias("node"), F.first("line").alias("line")).select("node", "line"), "texts")
+        bits = cut(_bitmaps(texts), "bitmaps")
+        linked = link(held, _confirm(texts, bits, percent), _confirm_blocks(texts, bits, nodes.select("node", bands.alias("k")), percent))
         named = nodes.join(linked, "node", "left").where("copies > 1 OR component IS NOT NULL")
     else:
         named = nodes.where("copies > 1").withColumn("component", F.lit(None).cast("long"))

@@ -28,13 +28,17 @@ def scored(keys: DataFrame) -> DataFrame:
 
 
 def with_leaders(keys: DataFrame) -> DataFrame:
-    """(bucket, node, score), each once, to (bucket, node, n, a, b) of buckets with two members or more.
-
-    n is the bucket's size, a and b are its leaders: the member of greatest score and one by hash. They come from
-    partial aggregates and meet the members in a join, so a large bucket is never one task's."""
-    first, other = F.struct(-F.col("score"), F.xxhash64("node"), "node"), F.struct(F.xxhash64("node", "bucket"), "node")
-    leaders = keys.groupBy("bucket").agg(F.count("*").alias("n"), F.min(first).alias("_a"), F.min(other).alias("_b")).where("n > 1")
-    leaders = cut(leaders.select("bucket", "n", F.col("_a.node").alias("a"), F.col("_b.node").alias("b")), "leaders")
+    """(bucket, node), each once, to (bucket, node, n, a, b) of buckets with two members or more.
+
+    n is the bucket's size, a and b are its leaders: with a column score the member of greatest score and one by hash,
+    else the least and the greatest node. They come from partial aggregates and meet the members in a join, so a large
+    bucket is never one task's."""
+    if "score" in keys.columns:
+        first, other = F.struct(-F.col("score"), F.xxhash64("node"), "node"), F.struct(F.xxhash64("node", "bucket"), "node")
+        leaders = keys.groupBy("bucket").agg(F.count("*").alias("n"), F.min(first)["node"].alias("a"), F.min(other)["node"].alias("b"))
+    else:
+        leaders = keys.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b"))
+    leaders = cut(leaders.where("n > 1"), "leaders")
     return cut(keys.select("bucket", "node").join(leaders, "bucket"), "held")
 
 
