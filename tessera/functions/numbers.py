@@ -76,3 +76,42 @@ def uuid5(namespace_hex: str, name: Column) -> Column:
     variant = F.conv(F.substring(h, 17, 1), 16, 10).cast("int").bitwiseAND(3).bitwiseOR(8)
     part = lambda a, n: F.substring(h, a, n)
     return F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.lit("5"), part(14, 3)), F.concat(F.lower(F.hex(variant)), part(18, 3)), part(21, 12))
+
+
+def user_number(raw: Column) -> Column:
+    """A figure that a user typed: spaces between digits group thousands, one comma is the decimal mark; anything else is null."""
+    text = F.regexp_replace(F.trim(raw), r"(?<=\d)[ \u00A0\u202F](?=\d)", "")
+    one = (F.length(text) - F.length(F.replace(text, F.lit(","), F.lit(""))) == 1) & ~text.contains(".")
+    text = F.when(one, F.replace(text, F.lit(","), F.lit("."))).otherwise(text)
+    return F.when(text.rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"), text.try_cast("double"))
+
+
+def scanned_integer(raw: Column) -> Column:
+    """An integer of three digits or more as a scan gives it, with spaces, points or commas between digits; else null."""
+    digits = F.regexp_replace(raw, r"[ .,\u00A0\u202F]", "")
+    return F.when(digits.rlike(r"^-?\d{3,18}$"), digits.try_cast("long"))
+
+
+def printed_forms(value: Column) -> Column:
+    """How a report may print a figure: rounded, with spaces or nothing between thousands, and with three decimals and a comma."""
+    clean = F.round(value, 6)
+    whole = F.format_string("%d", F.round(clean).cast("long"))
+    return F.array_distinct(F.array(F.replace(F.format_number(F.round(clean), 0), F.lit(","), F.lit(" ")), whole, F.replace(F.format_string("%.3f", clean), F.lit("."), F.lit(","))))
+
+
+def spaced(value: Column, digits: int) -> Column:
+    """Thousands apart by spaces, decimal comma."""
+    return F.translate(F.format_number(value, digits), ",.", " ,")
+
+
+def with_unit(value: Column, unit: Column, raw: Column, raw_unit: Column) -> Column:
+    """A value for display: percent with one decimal; the raw figure where it is known, whole in small units; else by unit."""
+    small = raw_unit.isin("K", "EUR")
+    shown = F.when(small, F.concat_ws(" ", spaced(raw, 0), raw_unit)).otherwise(F.concat_ws(" ", spaced(raw, 1), raw_unit))
+    plain = F.when(unit == "BEUR", spaced(value, 2)).otherwise(spaced(value, 1))
+    return F.when(unit == "pct", F.concat(spaced(value, 1), F.lit(" %"))).when(raw.isNotNull(), shown).otherwise(F.concat_ws(" ", plain, unit))
+
+
+def signed(value: Column, unit: str) -> Column:
+    """A variation with its sign, one decimal and the unit."""
+    return F.concat(F.when(value >= 0, "+").otherwise(""), F.format_string("%.1f", value), F.lit(f" {unit}"))

@@ -86,3 +86,58 @@ def csv_text(text: Column) -> Column:
     flat = F.regexp_replace(text, r"\s*\r?\n\s*", " | ")
     safe = F.when(flat.rlike(r"^[=+\-@\t]"), F.concat(F.lit("'"), flat)).otherwise(flat)
     return F.when(safe.rlike('[;"]'), F.concat(F.lit('"'), F.replace(safe, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(safe)
+
+
+def verdict(reply: Column, yes: str, no: str) -> tuple[Column, Column]:
+    """A judge's reply: True unless it starts with ``no``; what follows the colon then is the reworded question."""
+    plain = F.trim(reply)
+    refused = F.upper(plain).startswith(no.upper())
+    reworded = F.trim(F.regexp_extract(plain, r"(?s)^[^:]*:(.*)$", 1))
+    return ~F.coalesce(refused, F.lit(False)), F.when(refused & (reworded != ""), reworded)
+
+
+def name_tokens(name: Column, stop: list[str]) -> Column:
+    """Words of a name in lower case: without apostrophes, hyphens as spaces, no stop words."""
+    plain = F.regexp_replace(F.regexp_replace(label_key(name), "['\u2019]", ""), "-", " ")
+    return F.filter(F.split(plain, r"\s+"), lambda x: (x != "") & ~x.isin(*stop))
+
+
+def holds_tokens(words: Column, sought: Column) -> Column:
+    """Are the sought words in the others, side by side and in order?"""
+    padded = lambda x: F.concat(F.lit(" "), F.array_join(x, " "), F.lit(" "))
+    return (F.size(sought) > 0) & padded(words).contains(padded(sought))
+
+
+def section_code(path: Column) -> tuple[Column, Column]:
+    """Code of the deepest segment of a path that has one, such as D.2.1, and its letter."""
+    pattern = r"^([A-Z](?:\.\d+)*)(?:[\s.:]|$)"
+    deepest = F.filter(F.reverse(path), lambda x: x.rlike(pattern))
+    code = F.when(F.size(deepest) > 0, F.regexp_extract(F.get(deepest, F.lit(0)), pattern, 1))
+    return code, F.substring(code, 1, 1)
+
+
+def slug(name: Column) -> Column:
+    """Lower-case letters and digits with hyphens for all else."""
+    return F.regexp_replace(F.regexp_replace(label_key(name), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+
+
+def without_fence(text: Column) -> Column:
+    """A reply without the code fence around it."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(text), r"^```\w*\s*", ""), r"\s*```$", ""))
+
+
+def holds_label(cell: Column, label: Column) -> Column:
+    """Does the cell hold the label, whatever the case?"""
+    return F.lower(cell).contains(F.lower(label))
+
+
+def clean_label(label: Column) -> Column:
+    """A component's label for readers: no row code in front, no repeated word at the end, white space collapsed."""
+    text = F.regexp_replace(label, r"^\s*[RC]\d{4}\s*[-:]?\s*", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"\s+", " "), r"\b(\w+) \1$", "$1"))
+
+
+def strictly_rising(values: Column) -> Column:
+    """Is each number of an array greater than the one before it?"""
+    later = F.zip_with(values, F.slice(values, F.lit(2), F.size(values)), lambda a, b: F.coalesce(b > a, F.lit(True)))
+    return F.forall(later, lambda x: x)

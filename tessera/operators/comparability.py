@@ -92,13 +92,82 @@ def panel(rows: DataFrame) -> DataFrame:
 
 
 def alerts(wide_rows: DataFrame) -> DataFrame:
-    """Rule alerts of a company and year, level 1 danger, 2 attention, 3 information; missing inputs give none."""
+    """Rule alerts of a company and year, level 1 danger, 2 attention, 3 information; missing inputs give none.
+
+    Three rules are on the ratio without long-term measures: under 100 without them, over 50 points of impact, a transitional one."""
     c = F.col
     quality = F.try_divide(c("tier2") + c("tier3"), c("scr_total")) * 100
     rules = [("below_requirement", 1, c("ratio_scr") < 100), ("near_requirement", 2, (c("ratio_scr") >= 100) & (c("ratio_scr") < 130)), ("low_quality_capital", 2, quality >= 49.5), ("minimum_above_requirement", 1, c("mcr") >= c("scr_total")), ("absolute_floor", 3, F.try_divide("mcr", "scr_total") * 100 > 45.6)]
+    if "ratio_without" in wide_rows.columns:
+        rules += [("below_without_measures", 1, (c("ratio_without") < 100) & (c("ratio_scr") >= 100)), ("large_impact", 2, c("impact_all") <= -50), ("transitional_measure", 3, c("impact_tr").isNotNull())]
     fired = F.filter(F.array(*[F.when(x, F.struct(F.lit(n).alias("rule"), F.lit(v).alias("level"))) for n, v, x in rules]), lambda x: x.isNotNull())
     return wide_rows.select("company_id", "year", F.explode(fired).alias("a")).select("company_id", "year", "a.rule", "a.level")
 
 
 def light(ratio: Column) -> Column:
     return F.when(ratio < 100, "danger").when(ratio < 200, "warning").when(ratio.isNotNull(), "good")
+
+
+def loss_class(kpi: Column, axis: Column, activity: Column, classes: dict[str, str]) -> Column:
+    """What is compared on an axis: for claims the activity's class, for all else the activity itself."""
+    table = F.create_map(*[F.lit(x) for p in classes.items() for x in p])
+    return F.when((kpi == "claims") & (axis == "activity"), F.coalesce(table[activity], activity)).otherwise(activity)
+
+
+def common_group(selection: DataFrame) -> DataFrame:
+    """The peer group that all of a selection share, or null."""
+    return selection.groupBy("selection").agg(F.when(F.count_distinct("peer_group") == 1, F.min("peer_group")).alias("common"))
+
+
+def warning_text(selection: DataFrame) -> DataFrame:
+    """Why the companies of a selection compare badly: models, life with non-life, solo with group; null if nothing is mixed."""
+    g = selection.groupBy("selection").agg((F.count_distinct("model") > 1).alias("m"), (F.bool_or(F.col("activity") == "life") & F.bool_or(F.col("activity") == "non-life")).alias("a"), (F.count_distinct("perimeter") > 1).alias("p"))
+    text = F.concat_ws(" ", F.when(F.col("m"), "Different capital models."), F.when(F.col("a"), "Life and non-life mixed."), F.when(F.col("p"), "Solo and group entities mixed."))
+    return g.select("selection", F.when(text != "", text).alias("warning"))
+
+
+def sentiment(variation: Column, sense: str | None, unit: str) -> Column:
+    """Better, worse or stable; neutral for an indicator without a sense."""
+    if sense is None:
+        return F.when(variation.isNotNull(), "neutral")
+    good = variation > 0 if sense == "higher" else variation < 0
+    return F.when(F.abs(variation) < (0.5 if unit == "pts" else 0.01), "stable").when(good, "better").when(variation.isNotNull(), "worse")
+
+
+def radar(shares: DataFrame, axes: list[str]) -> DataFrame:
+    """Companies that have a share on every axis, and the selection's scale: the greatest share rounded up to ten, 10 to 100."""
+    w = shares.groupBy("selection", "company_id").agg(*[F.max(F.when(F.col("module") == a, F.col("share"))).alias(a) for a in axes])
+    whole = w.where(" AND ".join(f"{a} IS NOT NULL" for a in axes))
+    return whole.groupBy("selection").agg(F.count("*").alias("companies"), F.least(F.lit(100.0), F.greatest(F.lit(10.0), F.ceil(F.max(F.greatest(*axes)) / 10) * 10.0)).alias("scale"))
+
+
+def breakdown(rows: DataFrame, parts: list[str], total: str, warned: Column) -> DataFrame:
+    """The parts of a total as lines, and the adjustment that is left where it is 1 % or more and nothing is warned of."""
+    rest = F.col(total)
+    for p in parts:
+        rest = rest - F.coalesce(p, F.lit(0.0))
+    lines = [F.when(F.col(p).isNotNull(), F.struct(F.lit(p).alias("line"), F.col(p).alias("value"))) for p in parts]
+    lines.append(F.when((F.abs(rest) >= 0.01 * F.abs(total)) & ~warned, F.struct(F.lit("adjustment").alias("line"), rest.alias("value"))))
+    return rows.select("company_id", "year", F.explode(F.filter(F.array(*lines), lambda x: x.isNotNull())).alias("l")).select("company_id", "year", "l.*")
+
+
+def publication(with_measures: Column, without: Column, used: Column) -> Column:
+    """What a two-ended bar shows: both ends, one since no measure is used, or nothing."""
+    return F.when(used & without.isNotNull() & with_measures.isNotNull(), "published").when(~used & with_measures.isNotNull(), "none").otherwise("unavailable")
+
+
+def axis_bounds(rows: DataFrame, by: list[str], threshold: float) -> DataFrame:
+    """Least and greatest of an axis that shows all values, zero and the threshold."""
+    return rows.groupBy(*by).agg(F.least(F.lit(0.0), F.lit(threshold), F.min("value")).alias("low"), F.greatest(F.lit(0.0), F.lit(threshold), F.max("value")).alias("high"))
+
+
+def atypical(kpi: Column, perimeter: Column, value: Column, low: float, high: float) -> Column:
+    """A warning on a value: a minimum requirement of a group has another meaning, and one far outside the range is atypical."""
+    return F.when((kpi == "mcr") & (perimeter == "group"), "group minimum").when((value < low) | (value > high), "atypical")
+
+
+def area_shares(rows: DataFrame, value: str) -> DataFrame:
+    """(company_id, value, share): percent of all areas, without companies whose consolidating parent is shown too."""
+    kept = without_double_counts(rows.withColumn("selection", F.lit(0))).where(F.col(value) > 0)
+    total = kept.agg(F.sum(F.col(value).cast("decimal(38,8)")).cast("double").alias("_s"))  # one row
+    return kept.crossJoin(F.broadcast(total)).select("company_id", value, F.round(F.col(value) / F.col("_s") * 100, 4).alias("share"))

@@ -34,8 +34,11 @@ def chunk_anomalies(chunks: DataFrame, short: int = 30, long: int = 700) -> Data
     """(doc_id, chunk, text, pages): flags for short, long, cut off, residual private-use characters, repeats and page jumps."""
     words = word_count(F.col("text"))
     jump = F.array_max(F.transform(F.sequence(F.lit(1), F.greatest(F.size("pages") - 1, F.lit(1))), lambda i: F.coalesce(F.try_element_at("pages", i + 1) - F.try_element_at("pages", i), F.lit(0))))
-    repeats = F.count("*").over(Window.partitionBy(F.xxhash64("text"))) > 1
-    return chunks.select("doc_id", "chunk", words.alias("words"), (words < short).alias("is_short"), (words > long).alias("is_long"), (~F.col("text").rlike(r"[.!?:;|)]\s*$")).alias("cut_off"), F.col("text").rlike(r"[\x{E000}-\x{F8FF}]").alias("private_use"), repeats.alias("repeated"), (jump > 3).alias("page_jump"))
+    # counted by hash and joined, so that texts that many chunks have don't meet in one window
+    hashed = chunks.withColumns({"_h": F.xxhash64("text"), "_g": F.xxhash64(F.lit(1), "text")})
+    often = hashed.groupBy("_h", "_g").agg(F.count("*").alias("_n")).where("_n > 1")
+    repeats = F.col("_n").isNotNull()
+    return hashed.join(often, ["_h", "_g"], "left").select("doc_id", "chunk", words.alias("words"), (words < short).alias("is_short"), (words > long).alias("is_long"), (~F.col("text").rlike(r"[.!?:;|)]\s*$")).alias("cut_off"), F.col("text").rlike(r"[\x{E000}-\x{F8FF}]").alias("private_use"), repeats.alias("repeated"), (jump > 3).alias("page_jump"))
 
 
 def found_codes(pages: DataFrame, expected: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ def ratios(kpis: DataFrame) -> DataFrame:
     return w.select(*KEY, ratio(c("tier1"), c("own_funds"), 1).alias("tier1_share"), ratio(c("risk_margin"), c("best_estimate"), 2).alias("margin_on_estimate"), ratio(c("scr_total"), c("premiums") + c("best_estimate"), 2).alias("capital_intensity"))
 
 
-def composition(kpis: DataFrame, modules: list[str], least: int = 4) -> DataFrame:
+def composition(kpis: DataFrame, modules: list[str], least: int = 1) -> DataFrame:
     """(company_id, year, module, share): percent of the modules' sum, where at least ``least`` are given and the sum is positive."""
     rows = kpis.where(F.col("kpi_name").isin(*modules) & F.col("value").isNotNull())
     sums = rows.groupBy(*KEY).agg(F.sum(F.col("value").cast("decimal(38,6)")).cast("double").alias("total"), F.count("*").alias("n")).where((F.col("n") >= least) & (F.col("total") > 0))
@@ -39,25 +39,31 @@ def guarded_loss_ratio(components: DataFrame, least: float, share: float) -> Dat
     own = F.col("class") == "N"
     g = components.groupBy(*KEY).agg(F.sum(F.when(own, F.col("premium"))).cast("double").alias("p"), F.sum(F.when(own, F.col("claim"))).cast("double").alias("c"), F.sum("premium").cast("double").alias("all"), F.bool_or(F.col("class").isNull()).alias("unclear"))
     fine = ~F.col("unclear") & (F.col("p") >= least) & (F.col("p") >= share * F.col("all"))
-    return g.select(*KEY, F.when(fine, ratio(F.col("c"), F.col("p"), 2)).alias("loss_ratio"))
+    return g.select(*KEY, F.when(fine, ratio(F.col("c"), F.col("p"), 1)).alias("loss_ratio"))
 
 
-def minimum_position(kpis: DataFrame) -> DataFrame:
-    """Where the minimum requirement stands between its corridor's ends of 25 and 45 percent of the full one."""
-    w = wide(kpis, ["mcr", "scr_total"])
+def minimum_position(kpis: DataFrame, solo: DataFrame) -> DataFrame:
+    """Where the minimum requirement stands between its corridor's ends of 25 and 45 percent of the full one; of solo companies (company_id) only."""
+    w = wide(kpis, ["mcr", "scr_total"]).join(solo.select("company_id"), "company_id", "left_semi")
     p = F.try_divide("mcr", "scr_total") * 100
     place = F.when(p.isNull(), None).when(F.abs(p - 25) < 0.6, "floor").when(F.abs(p - 45) < 0.6, "cap").when(p > 45.6, "absolute floor").otherwise("between")
     return w.select(*KEY, F.round(p, 2).alias("mcr_pct"), place.alias("position"))
 
 
 def without_measures(measures: DataFrame) -> DataFrame:
-    """Solvency ratio with and without long-term measures: the published one, none in use, or stepwise by removing each."""
-    c = F.col
-    stepped = (c("fp_with") + F.coalesce(c("d_fp_va"), F.lit(0.0)) + F.coalesce(c("d_fp_tr"), F.lit(0.0)), c("scr_with") + F.coalesce(c("d_scr_va"), F.lit(0.0)) + F.coalesce(c("d_scr_tr"), F.lit(0.0)))
-    used = c("uses_va") | c("transitional")
-    without = F.when(c("published_ratio").isNotNull(), c("published_ratio")).when(~used, ratio(c("fp_with"), c("scr_with"), 1)).otherwise(ratio(stepped[0], stepped[1], 1))
-    how = F.when(c("published_ratio").isNotNull(), "published").when(~used, "none").otherwise("stepwise")
-    return measures.select(*KEY, ratio(c("fp_with"), c("scr_with"), 1).alias("ratio_with"), without.alias("ratio_without"), how.alias("basis"))
+    """Solvency ratio without long-term measures and what they are worth in points: the published ratio, none in use, or stepwise.
+
+    Stepwise, the transitional measure is taken away first, then the adjustment: impact_va is between these two steps,
+    impact_tr up to the first, given only where the measure is in use."""
+    c, zero = F.col, F.lit(0.0)
+    part = lambda name: F.coalesce(c(name), zero)
+    full = F.try_divide("fp_with", "scr_with") * 100
+    first = F.try_divide(c("fp_with") + part("d_fp_tr"), c("scr_with") + part("d_scr_tr")) * 100
+    last = F.try_divide(c("fp_with") + part("d_fp_tr") + part("d_fp_va"), c("scr_with") + part("d_scr_tr") + part("d_scr_va")) * 100
+    published, used = c("published_without").isNotNull(), c("uses_va") | c("transitional")
+    by = lambda pub, none, step: F.when(published, pub).when(~used, none).otherwise(F.round(step, 1) + 0.0)
+    gap = F.round(c("published_without") - c("ratio_stored"), 1)
+    return measures.select(*KEY, by(F.round("published_without", 1), c("ratio_stored"), last).alias("ratio_without"), by(gap, zero, last - first).alias("impact_va"), F.when(~published & used & c("transitional"), F.round(first - full, 1) + 0.0).alias("impact_tr"), by(gap, zero, last - full).alias("impact_all"), F.when(published, "published").when(~used, "none").otherwise("stepwise").alias("basis"))
 
 
 def recomputed(components: DataFrame, formulas: DataFrame, stored: DataFrame, tolerance: float) -> DataFrame:

@@ -19,28 +19,45 @@ def ranked(scores: DataFrame, by: list[str], k: int | None = None, tie: str = "v
     return out.where(F.col("rank") <= k) if k else out
 
 
+#: Queries that are broadcast together, at most; more are dealt into blocks of so many.
+BLOCK = 1024
+
+
 def dense_topk(queries: DataFrame, items: DataFrame, k: int, where: Column | None = None) -> DataFrame:
     """(query_id, q) against (vec_id, v): the k best by inner product, each query's filter applied before ranking.
 
-    A block of queries is broadcast: ``queries`` is a stated set, bounded by the caller, and never grows with items."""
-    pairs = items.join(F.broadcast(queries), F.col("query_id") != F.col("vec_id")) if where is None else items.join(F.broadcast(queries), where)
+    Up to ``BLOCK`` queries are broadcast. More are dealt into blocks and items into slices; a block meets a slice in
+    one task, and k of each go on to the last ranking."""
+    met = F.col("query_id") != F.col("vec_id") if where is None else where
+    n = queries.count()
+    if n <= BLOCK:
+        pairs = items.join(F.broadcast(queries), met)
+    else:
+        blocks, slices = -(-n // BLOCK), 4 * items.sparkSession.sparkContext.defaultParallelism
+        own = lambda col, m: F.pmod(F.xxhash64(col), F.lit(m))
+        each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+        q = queries.withColumn("_b", own("query_id", blocks)).withColumn("_s", each(slices))
+        i = items.withColumn("_s", own("vec_id", slices)).withColumn("_b", each(blocks))
+        pairs = i.join(q, ["_b", "_s"]).where(met)
     return ranked(pairs.select("query_id", "vec_id", F.round(dot(F.col("q"), F.col("v")), 6).alias("score")), ["query_id"], k)
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, floor: float = 0.25) -> DataFrame:
     """(doc_id, text), (query_id, question) to query_id, doc_id, score: Okapi BM25, negative idf replaced by ``floor`` of the mean.
 
-    A query term counts as often as it is asked. One pass of terms, pre-aggregated by document and term; queries' terms
-    meet the postings in an equi-join."""
-    tf = docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    length = tf.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
-    stats = docs.select("doc_id").distinct().join(length, "doc_id", "left").agg(F.count("*").alias("n"), (F.sum(F.coalesce("dl", F.lit(0))) / F.count("*")).alias("avgdl"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))
+    A query term counts as often as it is asked; a doc_id is one row's. Lengths and document frequencies are counted
+    before any posting moves, and only postings of terms that are asked do."""
+    words = docs.select("doc_id", tokens(F.col("text")).alias("ts"))
+    length = words.select("doc_id", F.greatest(F.size("ts"), F.lit(0)).cast("long").alias("dl"))
+    stats = length.agg(F.count("*").alias("n"), (F.sum("dl") / F.count("*")).alias("avgdl"))  # one row
+    df = words.select(F.explode(F.array_distinct("ts")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))
     raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw").alias("mean"))
+    mean = raw.agg(F.avg("raw").alias("mean"))  # one row
     idf = raw.crossJoin(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("raw") < 0, floor * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
     asked = queries.select("query_id", F.explode(tokens(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    hits = asked.join(idf, "term").join(tf, "term").join(length, "doc_id")
+    wanted = asked.select("term").distinct()
+    tf = words.select("doc_id", F.size("ts").cast("long").alias("dl"), F.explode("ts").alias("term")).join(wanted, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    hits = tf.join(asked.join(idf, "term"), "term")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
 

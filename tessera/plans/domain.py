@@ -24,14 +24,15 @@ def indicators_ratios(spark, d):
 _TIERS = ["tier1", "tier1_restricted", "tier2", "tier3"]
 
 
-@query(K + "SELECT k.company_id, k.year, kpi_name AS module, round(value / (s::DOUBLE) * 100, 1) + 0.0 AS share FROM kpis k JOIN (SELECT company_id, year, sum(value::DECIMAL(38,6)) AS s FROM kpis WHERE kpi_name LIKE 'tier%' GROUP BY ALL HAVING sum(value) > 0 AND count(value) >= 4) t USING (company_id, year) WHERE kpi_name LIKE 'tier%'")
+@query(K + "SELECT k.company_id, k.year, kpi_name AS module, round(value / (s::DOUBLE) * 100, 1) + 0.0 AS share FROM kpis k JOIN (SELECT company_id, year, sum(value::DECIMAL(38,6)) AS s FROM kpis WHERE kpi_name LIKE 'tier%' AND company_id % 4 <> 0 GROUP BY ALL HAVING sum(value) > 0) t USING (company_id, year) WHERE kpi_name LIKE 'tier%' AND value IS NOT NULL")
 def module_composition(spark, d):
-    return indicators.composition(kpis(spark, d), _TIERS)
+    # shares of an internal model's own categories would mislead beside the standard formula's
+    return indicators.composition(kpis(spark, d).where("company_id % 4 <> 0"), _TIERS)
 
 
 @query("""WITH x AS (SELECT l_suppkey AS company_id, year(l_shipdate)::INT AS year, l_linenumber, l_orderkey, CASE l_returnflag WHEN 'A' THEN 'N' WHEN 'R' THEN 'V' ELSE CASE WHEN l_orderkey % 50 <> 0 THEN 'N' END END AS class, l_extendedprice::DECIMAL(18,2) AS premium, l_tax::DECIMAL(18,2) * 1000 AS claim FROM lineitem),
 g AS (SELECT company_id, year, sum(premium) FILTER (class = 'N')::DOUBLE AS p, sum(claim) FILTER (class = 'N')::DOUBLE AS cl, sum(premium)::DOUBLE AS t, bool_or(class IS NULL) AS u FROM x GROUP BY ALL)
-SELECT company_id, year, CASE WHEN NOT u AND p >= 10000 AND p >= 0.1 * t THEN round(cl / p * 100, 2) END AS loss_ratio FROM g""")
+SELECT company_id, year, CASE WHEN NOT u AND p >= 10000 AND p >= 0.1 * t THEN round(cl / p * 100, 1) END AS loss_ratio FROM g""")
 def loss_ratio_guarded(spark, d):
     li = table(spark, d, "lineitem")
     cls = F.when(c("l_returnflag") == "A", "N").when(c("l_returnflag") == "R", "V").when(c("l_orderkey") % 50 != 0, "N")
@@ -39,20 +40,29 @@ def loss_ratio_guarded(spark, d):
     return indicators.guarded_loss_ratio(x, 10000.0, 0.1)
 
 
-@query(K + "SELECT company_id, year, round(mcr / nullif(scr_total, 0) * 100, 2) AS mcr_pct, CASE WHEN mcr / nullif(scr_total, 0) IS NULL THEN NULL WHEN abs(mcr / scr_total * 100 - 25) < 0.6 THEN 'floor' WHEN abs(mcr / scr_total * 100 - 45) < 0.6 THEN 'cap' WHEN mcr / scr_total * 100 > 45.6 THEN 'absolute floor' ELSE 'between' END AS position FROM p")
+@query(CK + "SELECT company_id, year, round(mcr / nullif(scr_total, 0) * 100, 2) AS mcr_pct, CASE WHEN mcr / nullif(scr_total, 0) IS NULL THEN NULL WHEN abs(mcr / scr_total * 100 - 25) < 0.6 THEN 'floor' WHEN abs(mcr / scr_total * 100 - 45) < 0.6 THEN 'cap' WHEN mcr / scr_total * 100 > 45.6 THEN 'absolute floor' ELSE 'between' END AS position FROM p WHERE company_id IN (SELECT company_id FROM companies WHERE perimeter = 'solo')")
 def mcr_position(spark, d):
-    return indicators.minimum_position(kpis(spark, d))
+    return indicators.minimum_position(kpis(spark, d), companies(spark, d).where("perimeter = 'solo'"))
 
 
-@query(K + """SELECT company_id, year, round(own_funds / nullif(scr_total, 0) * 100, 1) AS ratio_with, CASE WHEN company_id % 5 = 0 THEN ratio_scr WHEN company_id % 3 = 0 THEN round(own_funds / nullif(scr_total, 0) * 100, 1) ELSE round((own_funds - tier3 + coalesce(CASE WHEN company_id % 2 = 0 THEN -tier2 END, 0)) / nullif(scr_total + coalesce(mcr, 0), 0) * 100, 1) + 0.0 END AS ratio_without,
- CASE WHEN company_id % 5 = 0 THEN 'published' WHEN company_id % 3 = 0 THEN 'none' ELSE 'stepwise' END AS basis FROM p""")
-def lt_step_impact(spark, d):
+_MEASURES = """x AS (SELECT company_id, year, ratio_scr, company_id % 3 <> 0 AS used, company_id % 2 = 0 AS tr, CASE WHEN company_id % 5 = 0 THEN ratio_scr - 12.5 END AS pub, own_funds / nullif(scr_total, 0) * 100 AS f,
+ (own_funds + coalesce(CASE WHEN company_id % 2 = 0 THEN -tier2 END, 0)) / nullif(scr_total, 0) * 100 AS a, (own_funds + coalesce(CASE WHEN company_id % 2 = 0 THEN -tier2 END, 0) + coalesce(-tier3, 0)) / nullif(scr_total + coalesce(mcr, 0), 0) * 100 AS b FROM p),
+lt AS (SELECT company_id, year, CASE WHEN pub IS NOT NULL THEN round(pub, 1) WHEN NOT used THEN ratio_scr ELSE round(b, 1) + 0.0 END AS ratio_without, CASE WHEN pub IS NOT NULL THEN round(pub - ratio_scr, 1) WHEN NOT used THEN 0.0 ELSE round(b - a, 1) + 0.0 END AS impact_va,
+ CASE WHEN pub IS NULL AND used AND tr THEN round(a - f, 1) + 0.0 END AS impact_tr, CASE WHEN pub IS NOT NULL THEN round(pub - ratio_scr, 1) WHEN NOT used THEN 0.0 ELSE round(b - f, 1) + 0.0 END AS impact_all, CASE WHEN pub IS NOT NULL THEN 'published' WHEN NOT used THEN 'none' ELSE 'stepwise' END AS basis FROM x)"""
+
+
+def _measures(spark, d) -> DataFrame:
     w = indicators.wide(kpis(spark, d), ["own_funds", "scr_total", "tier2", "tier3", "mcr", "ratio_scr"])
     i, used = c("company_id"), c("company_id") % 3 != 0
-    m = w.select("company_id", "year", used.alias("uses_va"), F.lit(False).alias("transitional"), c("own_funds").alias("fp_with"), c("scr_total").alias("scr_with"), (-c("tier3")).alias("d_fp_va"), c("mcr").alias("d_scr_va"), F.when(i % 2 == 0, -c("tier2")).alias("d_fp_tr"), F.lit(None).cast("double").alias("d_scr_tr"), F.when(i % 5 == 0, c("ratio_scr")).alias("published_ratio"))
+    m = w.select("company_id", "year", used.alias("uses_va"), (used & (i % 2 == 0)).alias("transitional"), c("own_funds").alias("fp_with"), c("scr_total").alias("scr_with"), (-c("tier3")).alias("d_fp_va"), c("mcr").alias("d_scr_va"), F.when(i % 2 == 0, -c("tier2")).alias("d_fp_tr"), F.lit(None).cast("double").alias("d_scr_tr"), F.when(i % 5 == 0, c("ratio_scr") - 12.5).alias("published_without"), c("ratio_scr").alias("ratio_stored"))
     return indicators.without_measures(m)
 
 
+@query(f"{K}, {_MEASURES} SELECT * FROM lt")
+def lt_step_impact(spark, d):
+    return _measures(spark, d)
+
+
 @query(K + """SELECT company_id, year, n AS kpi_name, round(v, 4) AS recomputed, s AS value, abs(round(v, 4) - s) <= 0.05 AS ok, abs(round(v, 4) - s) <= 0.05 AND company_id % 3 = 0 AS valid FROM (
  SELECT company_id, year, 'ratio_scr' AS n, own_funds / nullif(scr_total, 0) * 100 AS v, ratio_scr AS s FROM p UNION ALL SELECT company_id, year, 'technical_provisions', best_estimate + risk_margin, technical_provisions FROM p)""")
 def component_recompute(spark, d):
@@ -199,10 +209,12 @@ def double_count_filter(spark, d):
     return cmp.without_double_counts(_panel(spark, d).where(~c("warned") & c("value").isNotNull())).select("selection", "company_id")
 
 
-@query(K + """SELECT company_id, year, 'below_requirement' AS rule, 1 AS level FROM p WHERE ratio_scr < 100 UNION ALL SELECT company_id, year, 'near_requirement', 2 FROM p WHERE ratio_scr >= 100 AND ratio_scr < 130 UNION ALL SELECT company_id, year, 'low_quality_capital', 2 FROM p WHERE (tier2 + tier3) / nullif(scr_total, 0) * 100 >= 49.5
-UNION ALL SELECT company_id, year, 'minimum_above_requirement', 1 FROM p WHERE mcr >= scr_total UNION ALL SELECT company_id, year, 'absolute_floor', 3 FROM p WHERE mcr / nullif(scr_total, 0) * 100 > 45.6""")
+@query(f"""{K}, {_MEASURES} SELECT company_id, year, 'below_requirement' AS rule, 1 AS level FROM p WHERE ratio_scr < 100 UNION ALL SELECT company_id, year, 'near_requirement', 2 FROM p WHERE ratio_scr >= 100 AND ratio_scr < 130 UNION ALL SELECT company_id, year, 'low_quality_capital', 2 FROM p WHERE (tier2 + tier3) / nullif(scr_total, 0) * 100 >= 49.5
+UNION ALL SELECT company_id, year, 'minimum_above_requirement', 1 FROM p WHERE mcr >= scr_total UNION ALL SELECT company_id, year, 'absolute_floor', 3 FROM p WHERE mcr / nullif(scr_total, 0) * 100 > 45.6
+UNION ALL SELECT company_id, year, 'below_without_measures', 1 FROM lt JOIN p USING (company_id, year) WHERE ratio_without < 100 AND ratio_scr >= 100 UNION ALL SELECT company_id, year, 'large_impact', 2 FROM lt WHERE impact_all <= -50 UNION ALL SELECT company_id, year, 'transitional_measure', 3 FROM lt WHERE impact_tr IS NOT NULL""")
 def alerts(spark, d):
-    return cmp.alerts(indicators.wide(kpis(spark, d), ["ratio_scr", "tier2", "tier3", "scr_total", "mcr"]))
+    w = indicators.wide(kpis(spark, d), ["ratio_scr", "tier2", "tier3", "scr_total", "mcr"])
+    return cmp.alerts(w.join(_measures(spark, d), ["company_id", "year"], "left"))
 
 
 @query(K + "SELECT company_id, year, CASE WHEN ratio_scr < 100 THEN 'danger' WHEN ratio_scr < 200 THEN 'warning' WHEN ratio_scr IS NOT NULL THEN 'good' END AS light FROM p")
@@ -210,10 +222,12 @@ def traffic_light(spark, d):
     return indicators.wide(kpis(spark, d), ["ratio_scr"]).select("company_id", "year", cmp.light(c("ratio_scr")).alias("light"))
 
 
-@query(K + "SELECT company_id, premiums, round(premiums / s * 100, 4) AS share FROM p, (SELECT sum(premiums) AS s FROM p WHERE year = 1998 AND premiums > 0) WHERE year = 1998 AND premiums > 0")
+@query(f"""{CK}, v AS (SELECT p.company_id, parent_id, premiums FROM p JOIN companies USING (company_id) WHERE year = 1998), k AS (SELECT * FROM v WHERE premiums > 0 AND (parent_id IS NULL OR parent_id NOT IN (SELECT company_id FROM v)))
+SELECT company_id, premiums, round(premiums / (SELECT sum(premiums::DECIMAL(38,8))::DOUBLE FROM k) * 100, 4) AS share FROM k""")
 def treemap_share(spark, d):
-    w = indicators.wide(kpis(spark, d).where("year = 1998"), ["premiums"]).where("premiums > 0")
-    return w.crossJoin(F.broadcast(w.agg(F.sum("premiums").alias("s")))).select("company_id", "premiums", F.round(c("premiums") / c("s") * 100, 4).alias("share"))
+    """Shares of one year, which is a parameter of the chart."""
+    w = indicators.wide(kpis(spark, d).where("year = 1998"), ["premiums"])
+    return cmp.area_shares(w.join(companies(spark, d).select("company_id", "parent_id"), "company_id"), "premiums")
 
 
 # --- extraction ---------------------------------------------------------------------------------------------------------
@@ -313,14 +327,14 @@ def prefix_theta_join(spark, d):
 
 # --- documents ----------------------------------------------------------------------------------------------------------
 
-_HEADS = "h AS (SELECT l_suppkey AS doc, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) AS pos, (l_linenumber % 4 + 1)::INT AS level, 't' || l_linenumber AS title FROM lineitem WHERE l_orderkey < 3000)"
+_HEADS = "h AS (SELECT l_suppkey AS doc, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) AS pos, (l_linenumber % 4 + 1)::INT AS level, 't' || l_linenumber AS title FROM lineitem)"
 
 
 def _heads(spark, d) -> DataFrame:
     from pyspark.sql import Window
 
     w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
-    return table(spark, d, "lineitem").where("l_orderkey < 3000").select(c("l_suppkey").alias("doc"), F.row_number().over(w).cast("long").alias("pos"), (c("l_linenumber") % 4 + 1).alias("level"), F.concat(F.lit("t"), c("l_linenumber").cast("string")).alias("title"), F.lit(1000000).cast("long").alias("end"))
+    return table(spark, d, "lineitem").select(c("l_suppkey").alias("doc"), F.row_number().over(w).cast("long").alias("pos"), (c("l_linenumber") % 4 + 1).alias("level"), F.concat(F.lit("t"), c("l_linenumber").cast("string")).alias("title"), F.lit(1000000).cast("long").alias("end"))
 
 
 @query(f"WITH {_HEADS} SELECT doc, pos, coalesce(lead(pos) OVER (PARTITION BY doc ORDER BY pos), 1000000) AS span_end FROM h")
@@ -333,9 +347,10 @@ def subtree_span(spark, d):
     return ordering.subtree_span(_heads(spark, d), ["doc"], "pos", "level", "end").select("doc", "pos", "subtree_end")
 
 
-@query(f"WITH {_HEADS} SELECT a.doc, a.pos, (SELECT string_agg(b.title, ' > ' ORDER BY b.pos) FROM h b WHERE b.doc = a.doc AND b.pos <= a.pos AND (b.pos = a.pos OR (b.level < a.level AND NOT EXISTS (SELECT 1 FROM h m WHERE m.doc = a.doc AND m.pos > b.pos AND m.pos <= a.pos AND m.level <= b.level)))) AS path FROM h a WHERE a.pos <= 12")
+@query(f"""WITH {_HEADS}, x AS (SELECT *, last_value(CASE WHEN level <= 1 THEN level END IGNORE NULLS) OVER w AS l1, last_value(CASE WHEN level <= 1 THEN title END IGNORE NULLS) OVER w AS t1, last_value(CASE WHEN level <= 2 THEN level END IGNORE NULLS) OVER w AS l2, last_value(CASE WHEN level <= 2 THEN title END IGNORE NULLS) OVER w AS t2, last_value(CASE WHEN level <= 3 THEN level END IGNORE NULLS) OVER w AS l3, last_value(CASE WHEN level <= 3 THEN title END IGNORE NULLS) OVER w AS t3, last_value(CASE WHEN level <= 4 THEN level END IGNORE NULLS) OVER w AS l4, last_value(CASE WHEN level <= 4 THEN title END IGNORE NULLS) OVER w AS t4 FROM h WINDOW w AS (PARTITION BY doc ORDER BY pos ROWS UNBOUNDED PRECEDING))
+SELECT doc, pos, concat_ws(' > ', CASE WHEN level >= 1 AND l1 = 1 THEN t1 END, CASE WHEN level >= 2 AND l2 = 2 THEN t2 END, CASE WHEN level >= 3 AND l3 = 3 THEN t3 END, CASE WHEN level >= 4 AND l4 = 4 THEN t4 END) AS path FROM x""")
 def heading_path(spark, d):
-    return ordering.heading_path(_heads(spark, d).where("pos <= 12"), ["doc"], "pos", "level", "title").select("doc", "pos", F.array_join("path", " > ").alias("path"))
+    return ordering.heading_path(_heads(spark, d), ["doc"], "pos", "level", "title").select("doc", "pos", F.array_join("path", " > ").alias("path"))
 
 
 @query("""WITH pg AS (SELECT DISTINCT o_custkey % 50 AS sheet, date_diff('day', TIMESTAMP '1995-01-01', o_orderdate)::INT AS page_no FROM orders), cd AS (SELECT o_custkey % 50 AS sheet, date_diff('day', TIMESTAMP '1995-01-01', o_orderdate)::INT AS page_no, substr(o_orderpriority, 1, 1) AS code FROM orders),
@@ -356,9 +371,9 @@ def column_gaps(spark, d):
     return documents.column_gaps(grid.join(filled, ["row_key", "col_no"], "left"))
 
 
-@query(f"WITH {_LINES}, x AS (SELECT doc_id, line_no, line, len(list_filter(string_split_regex(line, '\\s+'), lambda y: y <> '')) AS w FROM b) SELECT doc_id, line_no::INT AS chunk, w::INT AS words, w < 30 AS is_short, w > 700 AS is_long, NOT regexp_matches(line, '[.!?:;|)]\\s*$') AS cut_off, false AS private_use, count(*) OVER (PARTITION BY line) > 1 AS repeated, false AS page_jump FROM x")
+@query(f"WITH {_LINES}, x AS (SELECT doc_id, line_no, line, len(list_filter(string_split_regex(line, '\\s+'), lambda y: y <> '')) AS w FROM b) SELECT doc_id, line_no::INT AS chunk, w::INT AS words, w < 30 AS is_short, w > 700 AS is_long, NOT regexp_matches(line, '[.!?:;|)]\\s*$') AS cut_off, false AS private_use, count(*) OVER (PARTITION BY line) > 1 AS repeated, line_no % 7 > 3 AS page_jump FROM x")
 def chunk_anomalies(spark, d):
-    x = documents.lines(table(spark, d, "documents")).select("doc_id", c("line_no").alias("chunk"), c("line").alias("text"), F.array(F.lit(1), F.lit(2)).alias("pages"))
+    x = documents.lines(table(spark, d, "documents")).select("doc_id", c("line_no").alias("chunk"), c("line").alias("text"), F.array(F.lit(1).cast("bigint"), F.lit(1) + c("line_no") % 7).alias("pages"))
     out = documents.chunk_anomalies(x)
     return out.withColumns({f: F.coalesce(f, F.lit(False)) for f in ("private_use", "page_jump")})
 
@@ -388,7 +403,7 @@ def picture_clusters(spark, d):
     from tessera.sources.files import checkpoints
 
     checkpoints(spark)
-    p = table(spark, d, "part").select(c("p_partkey").alias("ref"), F.xxhash64(c("p_partkey") % 50).bitwiseXOR(F.when(c("p_partkey") % 3 == 0, F.lit(5)).otherwise(F.lit(0))).alias("phash"))
+    p = table(spark, d, "part").select(c("p_partkey").alias("ref"), F.xxhash64((c("p_partkey") / 3).cast("long")).bitwiseXOR(F.when(c("p_partkey") % 3 == 0, F.lit(5)).otherwise(F.lit(0))).alias("phash"))
     return documents.hamming_clusters(p, 4)
 
 
