@@ -19,7 +19,7 @@ ALL = 1
 #: Characters of a shingle. One starts at every character that has as many from it on.
 SHINGLE = 16
 #: Shingles that a row of the signatures' input stands for.
-STRIDE = 8
+STRIDE = 16
 #: Longs of a bitmap of shingles. Bits that differ between two bitmaps are no more than the shingles that differ.
 LONGS = 16
 #: Bytes of a character.
@@ -128,7 +128,7 @@ def _confirm_blocks(texts: DataFrame, bits: DataFrame, keys: DataFrame, percent:
         x, y = lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")
         first = F.coalesce(*[F.when(F.col("p")[i] == F.col("q")[i], F.col("p")[i]) for i in range(BANDS)])
         alike = (100 + percent) * F.size(F.array_intersect("a", "b")) >= percent * (F.size("a") + F.size("b"))
-        found = guests.join(hosts, [x(k) == y(k) for k in at] + [(F.col("u") != F.col("v")) & _likely(x, y, percent) & (x("bucket") == first) & alike])
+        found = guests.join(hosts, [x(k) == y(k) for k in at] + [(F.col("u") != F.col("v")) & (x("bucket") == first) & _likely(x, y, percent) & alike])
         return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
     return confirm
@@ -158,7 +158,7 @@ def dropped_lines(docs: DataFrame, percent: int = 80, least_words: int = LEAST_W
     if there is None:
         return docs.select("r1", "r2", F.array(F.lit(0)).alias("drop")).where("false")
     members = cut(lines.where(there).select("h1", "h2", "occ").join(named, ["h1", "h2"]).select("component", "occ"), "members")
-    first = members.groupBy("component").agg(F.min("occ").alias("first"))
+    first = cut(members.groupBy("component").agg(F.min("occ").alias("first")), "first")  # so that a large component is split in the join
     gone = members.join(first, "component").where(~F.col("occ").eqNullSafe(F.col("first")))
     return cut(gone.groupBy(F.col("occ.r1").alias("r1"), F.col("occ.r2").alias("r2")).agg(F.collect_set("occ.pos").alias("drop")), "drops")
 

@@ -49,12 +49,12 @@ def leader_pairs(held: DataFrame) -> DataFrame:
 
 
 def mixed_members(held: DataFrame, labels: DataFrame) -> DataFrame:
-    """(bucket, node, comp, main, n, f) of buckets that span several components: n members, f of them outside ``main``.
+    """(bucket, node, comp, main, n, f) of buckets that span several components: n members, f of those here outside ``main``.
 
     ``main`` is the first leader's component. Its members need no comparing with one another; every other member meets
-    all the rest."""
+    all the rest but for the two leaders, with whom all members have been compared."""
     own, lead = labels.toDF("node", "_c"), labels.toDF("a", "_m")
-    named = held.select("bucket", "node", "n", "a").join(own, "node", "left").join(lead, "a", "left")
+    named = held.where("n > 3 AND node <> a AND node <> b").select("bucket", "node", "n", "a").join(own, "node", "left").join(lead, "a", "left")
     named = cut(named.select("bucket", "node", F.coalesce("_c", "node").alias("comp"), F.coalesce("_m", "a").alias("main"), "n"), "named")
     outside = cut(named.where("comp <> main").groupBy("bucket").agg(F.count("*").alias("f")), "outside")
     return cut(named.join(outside, "bucket"), "members")
