@@ -418,6 +418,48 @@ def test_quality_accuracy(spark, folder):
     assert sum(r.keep for r in good) == len(good) and sum(r.keep == (r.quality == 1) for r in got) >= 0.9 * len(got)
 
 
+def brute_scores(docs, labels, rounds, given, order):
+    """The exchange over all documents at once, by plain NumPy; rows are (doc_id, text, lang, source, n_chars)."""
+    known = {}
+    f32 = lambda x: x.astype(np.float32).astype(float)
+    x = {r[0]: (f32(quality.text_features(r[1], known)), f32(quality.meta_features(r[2], r[3], r[4]))) for r in docs}
+    ids = sorted((i for i in labels if i in x), key=lambda i: order[i])
+    by = [[i for i in ids if labels[i] == c] for c in (0, 1)]
+    fold = {i: k % 4 for part in by for k, i in enumerate(part)}
+    ids = sorted(ids, key=lambda i: (by[labels[i]].index(i), labels[i]))
+    pick = lambda folds: [i for i in ids if fold[i] in folds]
+    taught, taken = ([], []), (set(ids), set(ids))
+    for turn in range(rounds + 1):
+        views = []
+        for v in (0, 1):
+            rows = [(x[i][v], labels[i]) for i in pick((0, 1))] + [(x[i][v], c) for i, c in taught[v]]
+            held = pick((2,))
+            views.append(quality.View(np.array([f for f, _ in rows]), np.array([c for _, c in rows], float), np.array([x[i][v] for i in held]), np.array([labels[i] for i in held], float), quality.spreads(len(ids))[v]))
+        if turn == rounds:
+            break
+        told = []
+        for v in (0, 1):
+            for c in (1, 0):
+                p = {i: 1 / (1 + np.exp(-views[v].logit(f[v][None])[0])) for i, f in x.items() if i not in taken[v]}
+                sure = {i: q if c else 1 - q for i, q in p.items()}
+                told += [(v, c, i) for i in sorted((i for i in sure if sure[i] >= quality.CONFIDENT), key=lambda i: (-sure[i], order[i]))[:given]]
+        for v, c, i in told:
+            taken[v].add(i)
+            taught[1 - v].append((i, c))
+    last = pick((3,))
+    model = quality.CoTrained(views, np.array([x[i][0] for i in last]), np.array([x[i][1] for i in last]), np.array([labels[i] for i in last], float))
+    return {i: float(model(f[0][None], f[1][None])[2][0]) for i, f in x.items()}
+
+
+def test_quality_against_brute_force(spark, folder):
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    rows = docs.select("doc_id", "text", "lang", "source", "n_chars", F.xxhash64("doc_id").alias("h")).collect()
+    given = {r.doc_id: r.quality for r in labels.collect() if r.quality in (0, 1)}
+    want = brute_scores([r[:5] for r in rows], given, 2, 10, {r.doc_id: (r.h, str(r.doc_id)) for r in rows})
+    got = {r.doc_id: r.score for r in quality.score(docs, labels, rounds=2, given=10).collect()}
+    assert set(got) == set(want) and max(abs(got[i] - want[i]) for i in got) < 0.02
+
+
 def test_quality_edges(spark, folder):
     docs, labels = docs_of(spark, edge_rows()), spark.read.parquet(f"{folder}/labels.parquet")
     none = quality.score(clash(docs), labels.where("false"))
