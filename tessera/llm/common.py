@@ -7,6 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ ROWS_A_BATCH, BYTES_A_BATCH = 1000, 64 << 20
 _SHIPPED: set[str] = set()
 
 #: Most bits of a bitmap that tells rows surely outside a set of keys.
-MOST_BITS = 1 << 22
+MOST_BITS = 1 << 26
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -77,16 +78,16 @@ def word_count(text: Column) -> Column:
 def may_hold(keys: DataFrame, column: str) -> Column | None:
     """A predicate on ``column``, false only for values that ``keys`` doesn't have. None if there are no keys.
 
-    It looks into a bitmap of 8 bits a key, ``MOST_BITS`` at most; past that it lets more through, and the join
-    that follows does all the work. The bitmap is the only thing that reaches the driver."""
+    It looks into a bitmap of 8 bits a key, ``MOST_BITS`` (8 MB) at most; past that, some eight million keys, it lets
+    more through, and the join that follows does all the work. The bitmap is the only thing that reaches the driver."""
     n = keys.count()
     if not n:
         return None
     bits = 1 << max(12, min(MOST_BITS, 8 * n).bit_length() - 1)
     place = F.pmod(F.col(column), F.lit(bits))
     words = keys.select(F.floor(place / 64).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias("b"))
-    table = bytearray(bits // 8)
-    for w, b in words.groupBy("w").agg(F.bit_or("b").alias("b")).collect():
-        table[8 * w : 8 * w + 8] = (b & (1 << 64) - 1).to_bytes(8, "little")
-    byte = F.conv(F.hex(F.lit(table).substr(F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    table = np.zeros(bits // 64, dtype="<i8")
+    table[found["w"].to_numpy()] = found["b"].to_numpy()
+    byte = F.conv(F.hex(F.lit(bytearray(table.tobytes())).substr(F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     return F.getbit(byte, (place % 8).cast("int")) == 1
