@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import numbers, text
@@ -299,17 +299,18 @@ def section_codes(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", code.alias("code"), letter.alias("letter"))
 
 
-_MARKED = F.concat(F.lit("Intro.\n\nOf "), c("item_id").cast("string"), F.lit(" [TABLE: #/t/"), c("item_id").cast("string"), F.lit("] then a picture [IMAGE: #/p/1]\n[LEGEND: x]"))
+def _marked() -> Column:
+    return F.concat(F.lit("Intro.\n\nOf "), c("item_id").cast("string"), F.lit(" [TABLE: #/t/"), c("item_id").cast("string"), F.lit("] then a picture [IMAGE: #/p/1]\n[LEGEND: x]"))
 
 
 @query("""SELECT item_id AS id, 0 AS place, 'TABLE' AS kind, '#/t/' || item_id AS ref, 'Of ' || item_id AS paragraph FROM benchmark UNION ALL SELECT item_id, 1, 'IMAGE', '#/p/1', 'then a picture' FROM benchmark""")
 def marker_paragraphs(spark, d):
-    return layout.before_markers(table(spark, d, "benchmark").select(c("item_id").alias("id"), _MARKED.alias("text")))
+    return layout.before_markers(table(spark, d, "benchmark").select(c("item_id").alias("id"), _marked().alias("text")))
 
 
 @query("SELECT item_id, 'Intro.' || chr(10) || chr(10) || 'Of ' || item_id || ' [TABLE: #/t/' || item_id || '] then a picture' AS text FROM benchmark")
 def trailing_markers(spark, d):
-    return table(spark, d, "benchmark").select("item_id", layout.without_last_markers(_MARKED).alias("text"))
+    return table(spark, d, "benchmark").select("item_id", layout.without_last_markers(_marked()).alias("text"))
 
 
 @query("SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, contains(lower(p_name), lower('A')) AS holds, lower(p_brand) AS fenced, 'Of ' || p_brand AS label FROM part")
