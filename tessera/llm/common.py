@@ -35,17 +35,32 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def write_shared(df: DataFrame, name: str = "table") -> str:
+    """Write ``df`` to a new folder in the shared one, and say where. It goes when the session's file system is closed."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    where, files = _place(spark, path)
+    files.deleteOnExit(where)
+    return path
+
+
+def remove_shared(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``write_shared`` made; nothing may read it any more."""
+    where, files = _place(spark, path)
+    files.delete(where, True)
+
+
+def _place(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def cut(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that what follows doesn't depend on its lineage.
 
     Files go when the session's file system is closed."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(write_shared(df, name))
 
 
 def ship(spark: SparkSession) -> None:

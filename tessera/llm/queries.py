@@ -5,11 +5,13 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import html, licenses, lines, media, minhash, mixing, packing, quality, tokens, vectors
+from tessera.llm import bytebpe, codes, html, licenses, lines, media, merkle, minhash, mixing, packing, quality, tokens, vectors
 
 #: Where the vocabulary files lie; empty: beside the package ``public_tokenizers``.
 TOKENIZERS = os.environ.get("TESSERA_TOKENIZERS", "")
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def vocabulary(name: str) -> str:
@@ -64,8 +66,32 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(_table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.translate("text", UPPER, UPPER.lower())).otherwise(F.col("text"))
+    manifest = merkle.build(docs.withColumn("again", merkle.leaf_digest(text=tampered)), carry=("again",))
+    digest = F.sha2(F.array_join(F.flatten(F.transform("proof", lambda step: step["siblings"])), ""), 256)
+    out = merkle.proofs(manifest).withColumn("folded_root", merkle.folded(F.col("carried.again"), F.col("proof")))
+    return out.select("doc_id", "leaf", "subroot", "root", digest.alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = codes.compress(_table(spark, sf_dir, "embeddings"))
+    out = codes.with_label_error(found.codes)
+    return out.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(found.digest()).alias("codebooks_sha256"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = vocabulary("byte_bpe_multi_50k.tiktoken")
+    out = bytebpe.decode(bytebpe.encode(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict:
-    found = (op1_mixing, op2_lines, op3_licenses, op4_minhash, op5_token_counts, op6_html_text, op7_vectors, op8_packing, op9_quality, op10_media)
+    found = (op1_mixing, op2_lines, op3_licenses, op4_minhash, op5_token_counts, op6_html_text, op7_vectors, op8_packing, op9_quality, op10_media, op11_merkle, op12_codes, op13_byte_bpe)
     return {f.__name__: f for f in found}
 
 
