@@ -6,7 +6,7 @@ import base64
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import ship
 
-#: Entries of a worker's tables of encoded matches and of compared neighbours; a full table starts anew.
-REMEMBERED = 200_000
+#: Entries of a worker's young table of encoded matches, and of its table of compared neighbours.
+REMEMBERED, COMPARED = 200_000, 500_000
 #: Longer matches aren't remembered.
 LONGEST = 64
 #: Texts of more characters are cut into matches so many at a time; a batch of results ends past so many ids.
@@ -54,40 +54,57 @@ class ByteMerges:
             starts = (self.ranks.get(t[:n], -1) for n in range(len(t) - 1, 0, -1))
             self.shorter[self.ranks[t]] = next((x for x in starts if x in self.length), -1)
         self.agreed: dict[int, bool] = {}
-        self.seen: dict[str, tuple[int, ...]] = {}
+        #: Encoded matches: a full young table becomes the old one, from which matches that come again move back.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[int]:
         """The merges themselves: lowest rank first, leftmost among equals. Only for a token or two."""
-        ranks, parts = self.ranks, list(text)
-        while len(parts) > 1:
-            rank, at = min((ranks.get(a + b, NO_RANK), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-            if rank == NO_RANK:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [ranks[x] for x in parts]
+        get, parts = self.ranks.get, list(text)
+        found = [get(a + b, NO_RANK) for a, b in zip(parts, parts[1:])]
+        while found and (rank := min(found)) != NO_RANK:
+            at = found.index(rank)
+            parts[at] += parts.pop(at + 1)
+            del found[at]
+            if at:
+                found[at - 1] = get(parts[at - 1] + parts[at], NO_RANK)
+            if at < len(found):
+                found[at] = get(parts[at] + parts[at + 1], NO_RANK)
+        return [get(x, -1) for x in parts]
 
     def agree(self, a: int, b: int) -> bool:
         """Whether the merges leave these two neighbours apart."""
-        key = a * self.base + b
-        found = self.agreed.get(key)
-        if found is None:
-            if len(self.agreed) >= REMEMBERED:
-                self.agreed.clear()
-            found = self.agreed[key] = self.merged(self.text[a] + self.text[b]) == [a, b]
+        if len(self.agreed) >= COMPARED:
+            self.agreed.clear()
+        found = self.agreed[a * self.base + b] = self.merged(self.text[a] + self.text[b]) == [a, b]
         return found
 
     def match(self, text: str) -> tuple[int, ...]:
         """Ids of one match of the pattern, given as Latin-1."""
         if text in self.ranks:
             return (self.ranks[text],)
-        n, length, shorter, agree = len(text), self.length, self.shorter, self.agree
+        n, base, length, shorter, agreed = len(text), self.base, self.length, self.shorter, self.agreed
+        ids, last, at = [], -1, 0
+        for end, token in self.automaton.iter_long(text):  # the longest at each place, until two neighbours don't agree
+            if last >= 0:
+                apart = agreed.get(last * base + token)
+                if not (self.agree(last, token) if apart is None else apart):
+                    break
+            ids.append(token)
+            last, at = token, end + 1
+        if at == n:
+            return tuple(ids)
         longest = array("i", bytes(4 * n))
         for end, token in self.automaton.iter(text):  # ends go up, so the last token noted at a start is the longest
             longest[end - length[token] + 1] = token
-        failed, ids, at, token = bytearray(n + 1), [], 0, longest[0]
+        failed, token = bytearray(n + 1), longest[at]
         while at < n:
             last = ids[-1] if ids else -1
-            while token >= 0 and (failed[at + length[token]] or (last >= 0 and not agree(last, token))):
+            while token >= 0:
+                if not failed[at + length[token]]:
+                    apart = last < 0 or agreed.get(last * base + token)
+                    if self.agree(last, token) if apart is None else apart:
+                        break
                 token = shorter[token]
             if token >= 0:
                 ids.append(token)
@@ -100,19 +117,24 @@ class ByteMerges:
                 token = shorter[last]
         return tuple(ids)
 
-    def encode(self, matches: list[str]) -> Iterator[int]:
-        """Ids of a text's matches."""
-        seen = self.seen
-        new = {x for x in matches if x not in seen}
-        if new:
-            if len(seen) + len(new) > REMEMBERED:
-                seen.clear()
-                new = set(matches)
-            long = {x: self.match(x.encode().decode("latin-1")) for x in new if len(x) > LONGEST}
-            seen.update((x, self.match(x.encode().decode("latin-1"))) for x in new if x not in long)
-            if long:
-                return chain.from_iterable([long[x] if x in long else seen[x] for x in matches])
-        return chain.from_iterable(map(seen.__getitem__, matches))
+    def encode(self, matches: list[str]) -> bytes:
+        """Ids of a text's matches, each four bytes in the machine's order."""
+        young, old, long = self.young, self.old, {}
+        new = set(matches).difference(young)
+        if len(young) + len(new) > REMEMBERED and young:
+            self.old, self.young = old, young = young, {}
+            new = set(matches)
+        for x in new:
+            ids = old.get(x)
+            if ids is None:
+                ids = array("i", self.match(x.encode().decode("latin-1"))).tobytes()
+            if len(x) <= LONGEST:
+                young[x] = ids
+            else:
+                long[x] = ids
+        if long:
+            return b"".join([long[x] if x in long else young[x] for x in matches])
+        return b"".join(map(young.__getitem__, matches))
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -154,15 +176,16 @@ def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
 
         cut, merges = regex.compile(pattern), _merges(ranks)
         for batch in batches:
-            ids, ends, first = array("i"), [0], 0
+            ids, ends, first = [], [0], 0
             for at, text in enumerate(batch.column("text")):
-                for matches in _matches(cut, text.as_py() or ""):
-                    ids.extend(merges.encode(matches))
-                ends.append(len(ids))
-                if len(ids) >= IDS or at + 1 == batch.num_rows:
-                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(pa.int32(), len(ids), [None, pa.py_buffer(ids)]))
+                found = [merges.encode(matches) for matches in _matches(cut, text.as_py() or "")]
+                ids += found
+                ends.append(ends[-1] + sum(map(len, found)) // 4)
+                if ends[-1] >= IDS or at + 1 == batch.num_rows:
+                    whole = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(ids))])
+                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), whole)
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id")[first : at + 1], lists], names=["doc_id", "ids"])
-                    ids, ends, first = array("i"), [0], at + 1
+                    ids, ends, first = [], [0], at + 1
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encoded, "doc_id long, ids array<int>")
 
