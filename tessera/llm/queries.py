@@ -135,5 +135,65 @@ FROM took GROUP BY row, doc_id, size, source_size, target
 """
 
 
+def _tree_levels(name: str, leaves: str, levels: int) -> list[str]:
+    """CTEs of a forest: {name}0.. with (tree, idx, n, digest), and {name}s0.. with each node's siblings before and after it."""
+    found = [f"{name}0 AS MATERIALIZED ({leaves})"]
+    for k in range(levels):
+        run = "PARTITION BY tree, idx // 16 ORDER BY idx ROWS BETWEEN"
+        found.append(f"""{name}s{k} AS MATERIALIZED (SELECT tree, idx, coalesce(string_agg(digest, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+  coalesce(string_agg(digest, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name}{k} WHERE n > 1)""")
+        found.append(f"{name}{k + 1} AS MATERIALIZED (SELECT tree, idx // 16 AS idx, (n + 15) // 16 AS n, sha256(string_agg(digest, '' ORDER BY idx)) AS digest FROM {name}{k} WHERE n > 1 GROUP BY tree, idx // 16, (n + 15) // 16)")
+    tops = " UNION ALL ".join(f"SELECT tree, digest FROM {name}{k} WHERE n = 1" for k in range(levels + 1))
+    return [*found, f"{name}top AS MATERIALIZED ({tops})"]
+
+
+def _climb(name: str, start: str, place: str, levels: int) -> list[str]:
+    """CTEs that take rows (tree, {place}, proof, folded) of ``start`` up a forest's levels."""
+    steps, before = [], start
+    for k in range(levels):
+        steps.append(f"{start}{name}{k} AS (SELECT p.* REPLACE (proof || coalesce(s.l || s.r, '') AS proof, CASE WHEN s.l IS NULL THEN folded ELSE sha256(s.l || folded || s.r) END AS folded) FROM {before} p LEFT JOIN {name}s{k} s ON s.tree = p.{name}_tree AND s.idx = p.{place} // {16**k})")
+        before = f"{start}{name}{k}"
+    return steps
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen(({value})::VARCHAR)::VARCHAR || ':' || ({value})::VARCHAR, '-')"
+
+
+_CRC = "xor(list_reduce([ascii(c) FOR c IN string_split(doc_id::VARCHAR, '')], lambda crc, byte: list_reduce(range(8), lambda x, i: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END), xor(crc, byte)), 4294967295::BIGINT), 4294967295::BIGINT)"
+_LEAF = lambda text: "sha256(" + " || ".join(_field(x) for x in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+OP11_SQL = "WITH " + ",\n".join(
+    [
+        f"d AS MATERIALIZED (SELECT coalesce(':' || source, '') AS tree, doc_id, {_LEAF('text')} AS leaf, {_LEAF(f'CASE WHEN {_CRC} % 5 = 0 THEN translate(text, {UPPER!r}, {UPPER.lower()!r}) ELSE text END')} AS again FROM documents)",
+        "e AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n FROM d)",
+        *_tree_levels("a", "SELECT tree, idx, n, leaf AS digest FROM e", 7),
+        "t AS MATERIALIZED (SELECT tree AS name, digest, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS n FROM atop)",
+        *_tree_levels("b", "SELECT '' AS tree, idx, n, digest FROM t", 4),
+        "p AS (SELECT e.doc_id, e.leaf, t.digest AS subroot, btop.digest AS root, e.tree AS a_tree, e.idx AS a_idx, '' AS b_tree, t.idx AS b_idx, '' AS proof, e.again AS folded FROM e JOIN t ON t.name = e.tree CROSS JOIN btop)",
+        *_climb("a", "p", "a_idx", 7),
+        *[x.replace("FROM p p", "FROM pa6 p") for x in _climb("b", "p", "b_idx", 4)],
+    ]
+) + "\nSELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified FROM pb3"
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Lloyd's rounds, each over all parts."""
+    found = [
+        "kept AS MATERIALIZED (SELECT vec_id, label, [floor(x::DOUBLE * 4096)::BIGINT FOR x IN embedding] AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"part AS MATERIALIZED (SELECT vec_id, label, p, v[p * len(v) // {parts} + 1 : (p + 1) * len(v) // {parts}] AS v FROM kept, range({parts}) AS r(p))",
+        f"book0 AS MATERIALIZED (SELECT p, e, v FROM part JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept) USING (vec_id) WHERE e < {entries})",
+    ]
+    for k in range(rounds + 1):
+        distance = "list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(part.v, b.v)])::BIGINT"
+        found.append(f"near{k} AS MATERIALIZED (SELECT vec_id, label, p, v, m.e AS e, m.d AS d FROM (SELECT vec_id, any_value(label) AS label, part.p, any_value(part.v) AS v, min({{'d': {distance}, 'e': b.e}}) AS m FROM part JOIN book{k} b ON b.p = part.p GROUP BY vec_id, part.p))")
+        if k < rounds:
+            mean = "(s - ((s % n) + n) % n) // n"
+            found.append(f"""book{k + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(c.v, b.v) AS v FROM book{k} b LEFT JOIN (SELECT p, e, list({mean} ORDER BY j) AS v
+  FROM (SELECT p, e, j, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT p, e, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM near{k}) GROUP BY ALL) GROUP BY p, e) c ON c.p = b.p AND c.e = b.e)""")
+    return f"""WITH {", ".join(found)},
+coded AS (SELECT vec_id, any_value(label) AS label, string_agg(lpad(lower(hex(e)), 2, '0'), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM near{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) FROM book{rounds}) AS codebooks_sha256 FROM coded"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL}
+    return {"op1_mixing": OP1_SQL, "op11_merkle": OP11_SQL, "op12_codes": _codes_sql()}
