@@ -115,3 +115,16 @@ def with_unit(value: Column, unit: Column, raw: Column, raw_unit: Column) -> Col
 def signed(value: Column, unit: str) -> Column:
     """A variation with its sign, one decimal and the unit."""
     return F.concat(F.when(value >= 0, "+").otherwise(""), F.format_string("%.1f", value), F.lit(f" {unit}"))
+
+
+def units(value: Column) -> Column:
+    """A figure of up to eight decimals as a whole number of hundred-millionths."""
+    return F.floor(value * 1e8 + 0.5).cast("decimal(20,0)")
+
+
+def exact_ratio(a: Column, b: Column, factor: int, digits: int) -> Column:
+    """a / b * factor to ``digits`` decimals, halves away from zero, in whole numbers throughout; null where b is 0.
+
+    A quotient of doubles may lie on either side of a half that the figures themselves meet exactly."""
+    up = F.call_function("div", F.abs(a) * (2 * factor * 10**digits) + F.abs(b), F.nullif(F.abs(b) * 2, F.lit(0).cast("decimal(38,0)")))
+    return F.when((a < 0) != (b < 0), -up).otherwise(up) / F.lit(10.0**digits)

@@ -81,18 +81,6 @@ def entity_values(rows: DataFrame, entities: DataFrame, expected: int) -> DataFr
     return j.withColumn("value", F.round(value, 8)).groupBy(*KEY).agg(F.count("value").alias("n"), F.round(F.count("value") / expected, 4).alias("coverage"), F.round(F.sum(F.col("value").cast("decimal(38,8)")).cast("double"), 6).alias("total"))
 
 
-def computed(kpis: DataFrame, formulas: list[tuple[str, str, str, float]]) -> DataFrame:
-    """Official ratios (name, numerator, denominator, factor): value, formula text, components in order and whether all inputs are valid.
-
-    An indicator with a missing input or a denominator of 0 isn't computed."""
-    from tessera.operators.indicators import wide
-
-    names = sorted({x for _, a, b, _ in formulas for x in (a, b)})
-    valid = kpis.where(F.col("kpi_name").isin(*names)).groupBy(*KEY).agg(*[F.bool_and(F.when(F.col("kpi_name") == n, F.col("validated"))).alias(f"v_{n}") for n in names])
-    rows = [F.struct(F.lit(n).alias("kpi_name"), F.round(F.try_divide(F.col(a), F.col(b)) * k, 4).alias("value"), F.lit(f"{a} / {b} * {k:g}").alias("formula"), F.concat_ws(",", F.lit(a), F.lit(b)).alias("components"), (F.col(f"v_{a}") & F.col(f"v_{b}")).alias("validated")) for n, a, b, k in formulas]
-    return wide(kpis, names).join(valid, KEY).select(*KEY, F.explode(F.array(*rows)).alias("r")).select(*KEY, "r.*").where("value IS NOT NULL")
-
-
 def registry_check(kpis: DataFrame, registry: DataFrame, tolerance: float) -> DataFrame:
     """Stored values against a registry of values read elsewhere (company_id, kpi_name, expected, origin)."""
     j = registry.join(kpis.select(*KEY, "kpi_name", "value"), ["company_id", "kpi_name"])

@@ -443,14 +443,6 @@ def entity_values(spark, d):
     return building.entity_values(kpis(spark, d), entities, 13)
 
 
-_FORMULAS = [("tier1_ratio", "tier1", "own_funds", 100.0), ("margin_ratio", "risk_margin", "best_estimate", 100.0), ("loss_ratio", "claims", "premiums", 100.0), ("cover", "own_funds", "scr_total", 1.0), ("minimum_cover", "own_funds", "mcr", 100.0), ("reserve_ratio", "technical_provisions", "premiums", 1.0)]
-
-
-@query(f"{K} " + " UNION ALL ".join(f"SELECT company_id, year, '{n}' AS kpi_name, round({a} / nullif({b}, 0) * {k}, 4) AS value, '{a} / {b} * {k:g}' AS formula, '{a},{b}' AS components, company_id % 3 = 0 AS validated FROM p WHERE {a} / nullif({b}, 0) IS NOT NULL" for n, a, b, k in _FORMULAS))
-def official_indicators(spark, d):
-    return building.computed(kpis(spark, d), _FORMULAS)
-
-
 @query(K + "SELECT company_id, year, 'ratio_scr' AS kpi_name, 150.0 + company_id % 3 AS expected, value, 'annex' AS origin, abs(value - (150.0 + company_id % 3)) <= 1.0 AS passed FROM kpis WHERE kpi_name = 'ratio_scr' AND company_id % 6 = 0")
 def registry_check(spark, d):
     r = companies(spark, d).where("company_id % 6 = 0").select("company_id", F.lit("ratio_scr").alias("kpi_name"), (c("company_id") % 3 + 150.0).alias("expected"), F.lit("annex").alias("origin"))
