@@ -39,3 +39,38 @@ def latest_by_user(events: DataFrame) -> DataFrame:
     """The last event of each user."""
     g = events.groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("m"))
     return g.select("user_id", "m.event_id", "m.event_type")
+
+
+def deduplicated(events: DataFrame, key: list[str]) -> DataFrame:
+    """Each key's events once: of a stream the first to come within the watermark's delay, of a batch the first by ts and event_id."""
+    if events.isStreaming:
+        return events.dropDuplicatesWithinWatermark(key)
+    first = events.groupBy(*key).agg(F.min(F.struct("ts", "event_id", *[c for c in events.columns if c not in ("ts", "event_id")])).alias("_f"))
+    return first.select(*[F.col(f"_f.{c}").alias(c) for c in events.columns])
+
+
+def batch_log(path: str):
+    """A foreachBatch function that writes each micro-batch to its own folder of a log.
+
+    A batch that comes again, after a failure or a restart, overwrites its own folder, so the log holds each once."""
+
+    def write(rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return write
+
+
+def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of a log with their batch. ``schema`` is the rows' own."""
+    return spark.read.schema(f"{schema}, batch long").option("basePath", path).parquet(path)
+
+
+def merged(base: DataFrame, log: DataFrame, key: list[str], order: list[str], columns: list[str]) -> DataFrame:
+    """``base`` with a log's last row of each key (by batch, then ``order``) in ``columns``; keys that base lacks are added.
+
+    The log is the change, base the last compaction: no batch rewrites the table. Rows with op = 'delete' take their key away."""
+    w = F.struct("batch", *order, "op", *columns)
+    last = log.groupBy(*key).agg(F.max(w).alias("_l"))
+    j = base.withColumn("_old", F.lit(True)).join(last, key, "full").where("_l IS NULL OR _l.op <> 'delete'")
+    new = F.col("_l").isNotNull()
+    return j.select(*[F.col(x) if x in key else F.when(new, F.col(f"_l.{x}")).otherwise(F.col(x)).alias(x) if x in columns else F.col(x) for x in base.columns])
