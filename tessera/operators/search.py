@@ -23,22 +23,24 @@ def ranked(scores: DataFrame, by: list[str], k: int | None = None, tie: str = "v
 BLOCK = 1024
 
 
-def dense_topk(queries: DataFrame, items: DataFrame, k: int, where: Column | None = None) -> DataFrame:
-    """(query_id, q) against (vec_id, v): the k best by inner product, each query's filter applied before ranking.
+def met(queries: DataFrame, items: DataFrame, where: Column) -> DataFrame:
+    """Every query (query_id) with every item (vec_id) that its condition lets through.
 
-    Up to ``BLOCK`` queries are broadcast. More are dealt into blocks and items into slices; a block meets a slice in
-    one task, and k of each go on to the last ranking."""
-    met = F.col("query_id") != F.col("vec_id") if where is None else where
+    Up to ``BLOCK`` queries are broadcast. More are dealt into blocks and items into slices; a block meets a slice in one task."""
     n = queries.count()
     if n <= BLOCK:
-        pairs = items.join(F.broadcast(queries), met)
-    else:
-        blocks, slices = -(-n // BLOCK), 4 * items.sparkSession.sparkContext.defaultParallelism
-        own = lambda col, m: F.pmod(F.xxhash64(col), F.lit(m))
-        each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-        q = queries.withColumn("_b", own("query_id", blocks)).withColumn("_s", each(slices))
-        i = items.withColumn("_s", own("vec_id", slices)).withColumn("_b", each(blocks))
-        pairs = i.join(q, ["_b", "_s"]).where(met)
+        return items.join(F.broadcast(queries), where)
+    blocks, slices = -(-n // BLOCK), 4 * items.sparkSession.sparkContext.defaultParallelism
+    own = lambda col, m: F.pmod(F.xxhash64(col), F.lit(m))
+    each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    q = queries.withColumn("_b", own("query_id", blocks)).withColumn("_s", each(slices))
+    i = items.withColumn("_s", own("vec_id", slices)).withColumn("_b", each(blocks))
+    return i.join(q, ["_b", "_s"]).where(where)
+
+
+def dense_topk(queries: DataFrame, items: DataFrame, k: int, where: Column | None = None) -> DataFrame:
+    """(query_id, q) against (vec_id, v): the k best by inner product, each query's filter applied before ranking."""
+    pairs = met(queries, items, F.col("query_id") != F.col("vec_id") if where is None else where)
     return ranked(pairs.select("query_id", "vec_id", F.round(dot(F.col("q"), F.col("v")), 6).alias("score")), ["query_id"], k)
 
 

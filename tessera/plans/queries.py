@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import numbers, text
@@ -78,38 +78,35 @@ def bm25_topk(spark, d):
     return search.ranked(_bm25(spark, d).withColumn("score", F.round("score", 3)), ["query_id"], 5, tie="doc_id")
 
 
-_LISTS = """l AS (SELECT item_id AS query_id, doc_id AS item, row_number() OVER (PARTITION BY item_id ORDER BY (doc_id * 37 + item_id * 11) % 101, doc_id) AS ra, row_number() OVER (PARTITION BY item_id ORDER BY (doc_id * 53 + item_id * 7) % 97, doc_id) AS rb,
-  (doc_id * 53 + item_id * 7) % 97 AS s, doc_id % 4 AS collection FROM documents, benchmark)"""
+#: Questions are the items of the benchmark that have a vector of their number; a document's vector is the one of its number.
+_LISTS = """l AS (SELECT q.vec_id AS query_id, e.vec_id AS item, e.label % 4 AS collection, round(list_sum([z[1]::DOUBLE * z[2]::DOUBLE FOR z IN list_zip(q.embedding, e.embedding)]), 6) AS s FROM embeddings q JOIN benchmark ON item_id = q.vec_id JOIN embeddings e ON e.vec_id <> q.vec_id)"""
 
 
 def _lists(spark: SparkSession, d: str) -> DataFrame:
-    """Every document for every question, with two orders by arithmetic: a and s."""
-    q = table(spark, d, "benchmark").select(c("item_id").alias("query_id"))
-    both = table(spark, d, "documents").select(c("doc_id").alias("item")).crossJoin(q)
-    a, b = (c("item") * 37 + c("query_id") * 11) % 101, (c("item") * 53 + c("query_id") * 7) % 97
-    return both.select("query_id", "item", a.alias("a"), b.alias("s"), (c("item") % 4).alias("collection"))
-
-
-def _first(rows: DataFrame, by: list[str], order: str, k: int) -> DataFrame:
-    """The first k of each list with their rank; Spark keeps k a partition before the shuffle."""
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(order, "item"))).where(c("rank") <= k)
+    """Every vector for every question, with its score and collection."""
+    e = table(spark, d, "embeddings")
+    asked = table(spark, d, "benchmark").select(c("item_id").alias("query_id"))
+    q = e.select(c("vec_id").alias("query_id"), c("embedding").alias("q")).join(asked, "query_id")
+    pairs = search.met(q, e.select("vec_id", "label", c("embedding").alias("v")), c("query_id") != c("vec_id"))
+    return pairs.select("query_id", c("vec_id").alias("item"), (c("label") % 4).cast("long").alias("collection"), F.round(search.dot(c("q"), c("v")), 6).alias("s"))
 
 
-@query(f"""WITH {_LISTS}, f AS (SELECT query_id, item, round(sum(w), 9) AS score FROM (SELECT query_id, item, 0.7::DOUBLE / (60 + ra) AS w FROM l WHERE ra <= 20 UNION ALL SELECT query_id, item, 0.3::DOUBLE / (60 + rb) FROM l WHERE rb <= 20) GROUP BY ALL),
+@query(f"""WITH {_LISTS}, {_BM25}, a AS (SELECT query_id, item, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item) AS rank FROM l QUALIFY rank <= 20), b AS (SELECT query_id, doc_id AS item, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 3) DESC, doc_id) AS rank FROM sc QUALIFY rank <= 20),
+f AS (SELECT query_id, item, round(sum(w), 9) AS score FROM (SELECT query_id, item, 0.7::DOUBLE / (60 + rank) AS w FROM a UNION ALL SELECT query_id, item, 0.3::DOUBLE / (60 + rank) FROM b) GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item) AS rank FROM f) SELECT query_id, item, score, rank FROM r WHERE rank <= 5""")
 def rrf_weighted(spark, d):
-    x = _lists(spark, d)
-    part = lambda order, w: _first(x, ["query_id"], order, 20).select("query_id", "item", "rank", F.lit(w).alias("w"))
-    both = part("a", 0.7).union(part("s", 0.3))
-    return search.ranked(search.reciprocal_rank_fusion(both, weight="w"), ["query_id"], 5, tie="item")
+    """Vectors weigh 0.7, words 0.3."""
+    dense = search.ranked(_lists(spark, d), ["query_id"], 20, tie="item", score="s").select("query_id", "item", "rank", F.lit(0.7).alias("w"))
+    words = search.ranked(_bm25(spark, d).withColumn("score", F.round("score", 3)), ["query_id"], 20, tie="doc_id").select("query_id", c("doc_id").alias("item"), "rank", F.lit(0.3).alias("w"))
+    return search.ranked(search.reciprocal_rank_fusion(dense.union(words), weight="w"), ["query_id"], 5, tie="item")
 
 
-_DISJOINT = f"""{_LISTS}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id, collection ORDER BY s, item) AS rc FROM l),
-f AS (SELECT query_id, item, collection, round(1.0::DOUBLE / (60 + rc), 9) AS score FROM k WHERE rc <= 10)"""
+_DISJOINT = f"""{_LISTS}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id, collection ORDER BY s DESC, item) AS rc FROM l),
+f AS (SELECT query_id, item, collection, s, round(1.0::DOUBLE / (60 + rc), 9) AS score FROM k WHERE rc <= 10)"""
 
 
 def _disjoint(spark, d) -> DataFrame:
-    return _first(_lists(spark, d), ["query_id", "collection"], "s", 10).select("query_id", "item", "collection", "rank")
+    return search.ranked(_lists(spark, d), ["query_id", "collection"], 10, tie="item", score="s")
 
 
 @query(f"WITH {_DISJOINT}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item) AS rank FROM f) SELECT query_id, item, score, rank FROM r WHERE rank <= 8")
@@ -119,21 +116,21 @@ def rrf_disjoint(spark, d):
 
 @query(f"WITH {_DISJOINT}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id, collection ORDER BY score DESC, item) AS rank FROM f) SELECT query_id, collection, item, score, rank FROM r WHERE rank <= 3")
 def rrf_comparative(spark, d):
-    x = _disjoint(spark, d)
-    fused = search.reciprocal_rank_fusion(x).join(x.select("query_id", "item", "collection"), ["query_id", "item"])
+    fused = _disjoint(spark, d).groupBy("query_id", "collection", "item").agg(F.round(F.sum(1.0 / (60 + c("rank"))), 9).alias("score"))
     return search.ranked(fused, ["query_id", "collection"], 3, tie="item").select("query_id", "collection", "item", "score", "rank")
 
 
-@query(f"""WITH {_LISTS}, n AS (SELECT query_id, item, round(CASE WHEN max(s) OVER w = min(s) OVER w THEN 1.0::DOUBLE ELSE (s - min(s) OVER w)::DOUBLE / (max(s) OVER w - min(s) OVER w) END, 6) AS norm FROM l WINDOW w AS (PARTITION BY query_id, collection)),
+@query(f"""WITH {_DISJOINT}, n AS (SELECT query_id, item, round(CASE WHEN max(s) OVER w = min(s) OVER w THEN 1.0::DOUBLE ELSE (s - min(s) OVER w)::DOUBLE / (max(s) OVER w - min(s) OVER w) END, 6) AS norm FROM f WINDOW w AS (PARTITION BY query_id, collection)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY norm DESC, item) AS rank FROM n) SELECT query_id, item, norm, rank FROM r WHERE rank <= 5""")
 def baseline_minmax(spark, d):
-    x = search.min_max(_lists(spark, d).select("query_id", "collection", "item", c("s").cast("double").alias("score")), ["query_id", "collection"])
+    """The lists' scores between 0 and 1, then one order over all of them."""
+    x = search.min_max(_disjoint(spark, d).select("query_id", "collection", "item", c("s").alias("score")), ["query_id", "collection"])
     return search.ranked(x, ["query_id"], 5, tie="item", score="norm").select("query_id", "item", "norm", "rank")
 
 
-@query(f"""WITH {_LISTS} SELECT query_id, string_agg(format('[Article {{}} - {{}}]\n{{}}\n', doc_id, source, text), '\n' ORDER BY ra) AS context FROM l JOIN documents ON doc_id = item WHERE ra <= 3 GROUP BY 1""")
+@query(f"""WITH {_LISTS}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item) AS ra FROM l) SELECT query_id, string_agg(format('[Article {{}} - {{}}]\n{{}}\n', doc_id, source, text), '\n' ORDER BY ra) AS context FROM k JOIN documents ON doc_id = item WHERE ra <= 3 GROUP BY 1""")
 def context_build(spark, d):
-    x = _first(_lists(spark, d), ["query_id"], "a", 3).join(table(spark, d, "documents"), c("item") == c("doc_id"))
+    x = search.ranked(_lists(spark, d), ["query_id"], 3, tie="item", score="s").join(table(spark, d, "documents"), c("item") == c("doc_id"))
     return search.context(x.select("query_id", "rank", c("doc_id").alias("number"), c("source").alias("title"), "text"))
 
 
