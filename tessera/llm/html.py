@@ -20,35 +20,45 @@ _BLOCK = frozenset("address article aside blockquote body caption center dd deta
 #: Elements whose text is never part of an article.
 _DROPPED = frozenset("nav footer aside form script style noscript template iframe button select option textarea svg canvas object dialog menu head title label input fieldset".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar toolbar form".split())
-#: Words of a class or id that mark what isn't the article, wherever they stand in it.
-_OTHER = frozenset("advert adverts advertisement advertisements advertising breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus gdpr masthead modal navbar newsletter pager pagination popup promo promoted replies respond sidebar sponsor sponsored subscribe".split())
-#: Words that do so only in a class or id made of them and of words that say nothing: "share-buttons", but not "social-history".
-_ALONE = frozenset("ad ads banner footer menu nav navigation notice related share sharing social toolbar widget".split())
-_PLAIN = frozenset("area bar block body bottom box button buttons container content global icons inner left links list main page post primary right secondary section site slot top unit wrap wrapper".split())
+#: What a class or id may name that isn't the article: its noun, the last of its words that says something.
+_OTHER = frozenset("advert adverts advertisement advertisements advertising breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus gdpr masthead modal navbar newsletter pager pagination popup promo promoted replies respond responses sidebar signup sponsor sponsored subscribe".split())
+#: Nouns that do so only in a class or id made of them, of those above and of words that say nothing: "share-buttons", but not "social-history".
+_ALONE = frozenset("ad ads banner footer menu nav navigation notice overlay related share sharing social toolbar widget".split())
+_PLAIN = frozenset("area bar block body bottom box button buttons container content form global header icons inner item items layout left link links list main outer page post primary right row secondary section site slot title top unit wrap wrapper".split())
+#: Words before which a class names no element but a state of the page.
+_STATES = frozenset("has is no with without".split())
+#: With one of the first in front, the second are links to other pages.
+_MORE, _PAGES = frozenset("recommended related".split()), frozenset("article articles content links news pages posts reading stories".split())
 _GOOD = frozenset("article body content entry main page post story text".split())
 _PARAGRAPHS = frozenset("p pre td blockquote dd li figcaption".split())
 _CONTAINERS = frozenset("div section article main body".split())
 _PROSE = frozenset("p pre blockquote".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-_KEPT_WHOLE = frozenset("html body main article".split())
+_KEPT_WHOLE = frozenset("html body main".split())
+#: Elements that tell an article: what holds one isn't beside it.
+_TELLING = frozenset("main h1 article".split())
 #: A start tag that ends an open element of these, unless one of the stops is met first.
 _ENDS = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",))}
 _CLOSED_P = _BLOCK - {"html", "body", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 
 
-def _words(name: str) -> set[str]:
-    return set(re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name).lower())) - {""}
+def _words(name: str) -> list[str]:
+    return [x for x in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name).lower()) if x]
 
 
 def _marks(names: str) -> tuple[bool, bool]:
-    """Do classes and ids mark other content; do they mark the article?"""
+    """Do classes and ids name other content; do they name the article?"""
     other, alone, good = False, False, False
     for words in map(_words, names.split()):
-        other |= bool(words & _OTHER)
-        if words & _ALONE and not words - _ALONE - _PLAIN:
+        if not words or words[0] in _STATES:
+            continue
+        telling = [x for x in words if x not in _PLAIN]
+        if telling and (telling[-1] in _OTHER or (telling[0] in _MORE and len(telling) > 1 and not set(telling[1:]) - _PAGES)):
+            other = True
+        elif telling and not set(telling) - _ALONE - _OTHER:
             alone = True
         else:
-            good |= bool(words & _GOOD)
+            good |= bool(_GOOD.intersection(words))
     return other or (alone and not good), good
 
 
@@ -56,7 +66,7 @@ class Page:
     """A page as flat lists: nodes with parents before their children, and runs of text in page order."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.drop, self.weight = ["#root"], [-1], [False], [0]
+        self.tag, self.parent, self.drop, self.weight, self.suspect = ["#root"], [-1], [False], [0], [False]
         self.runs: list[tuple[int, int, bool, str]] = []  # node, block, in a link, raw text
         stack, block, at, link = [0], 0, 0, 0
         for m in _TOKEN.finditer(source):
@@ -111,14 +121,14 @@ class Page:
                 return
 
     def _open(self, tag: str, attributes: str, parent: int) -> int:
-        drop, weight = tag in _DROPPED, 25 if tag in ("article", "main") else 0
+        drop, weight, suspect = tag in _DROPPED and tag != "form", 25 if tag in ("article", "main") else 0, tag == "form"
         if attributes.strip():
             names = ""
             for name, a, b, c in _NAMES.findall(attributes):
                 name, value = name.lower(), a or b or c
                 if name in ("class", "id"):
                     names += f" {value}"
-                elif tag in _KEPT_WHOLE:
+                elif tag in _KEPT_WHOLE or tag == "article":
                     continue
                 elif name == "role":
                     drop |= value.strip().lower() in _ROLES
@@ -128,12 +138,13 @@ class Page:
                     drop = True
             if names:
                 other, good = _marks(names)
-                drop |= tag not in _KEPT_WHOLE and other
+                suspect |= tag not in _KEPT_WHOLE and other
                 weight += 25 * good
         self.tag.append(tag)
         self.parent.append(parent)
         self.drop.append(drop or self.drop[parent])
         self.weight.append(weight)
+        self.suspect.append(suspect)
         return len(self.tag) - 1
 
     def inside(self, tags: tuple) -> list[bool]:
@@ -164,11 +175,35 @@ class Page:
             best = up
         return best
 
-    def text(self) -> str:
-        """The text of the article around the best container, and its good siblings', block by block."""
+    def _beside(self, drop: list[bool]) -> list[bool]:
+        """``drop``, and the elements whose name (or being a form) says that they stand beside the article, with all inside.
+
+        One that holds a main, a heading of the first level or an article that isn't suspect itself never goes, nor one
+        with most of the page's prose while none of these with text stands elsewhere."""
         count, parent, tag = len(self.tag), self.parent, self.tag
+        prose, telling = [0] * count, [False] * count
+        for node, _, link, run in self.runs:
+            if not drop[node] and not link:
+                prose[node] += len(run.strip())
+        for i in range(count - 1, 0, -1):
+            telling[i] = telling[i] or (tag[i] in _TELLING and not self.suspect[i] and prose[i] > 0 and not drop[i])
+            prose[parent[i]] += prose[i]
+            telling[parent[i]] |= telling[i]
+        out = list(drop)
+        for i in range(1, count):
+            most = not telling[0] and 2 * prose[i] > prose[0]
+            out[i] = out[i] or out[parent[i]] or (self.suspect[i] and not telling[i] and not most)
+        return out
+
+    def text(self) -> str:
+        """The article's text; if all of the page seems to stand beside one, that of its best part."""
         headers, articles = self.inside(("header",)), self.inside(("article", "main"))
         drop = [d or (h and not a) for d, h, a in zip(self.drop, headers, articles, strict=True)]
+        return self._text(self._beside(drop)) or self._text(drop)
+
+    def _text(self, drop: list[bool]) -> str:
+        """The text of the article around the best container, and its good siblings', block by block."""
+        count, parent, tag, drop = len(self.tag), self.parent, self.tag, list(drop)
         own: list[list[int]] = [[0, 0, 0, 0] for _ in range(count)]  # characters, commas, characters in links, links
         home = [0] * count  # the nearest block element, itself included
         for i in range(1, count):
