@@ -18,12 +18,13 @@ def direct_span(headers: DataFrame, by: list[str], order: str, end: str) -> Data
 
 
 def subtree_span(headers: DataFrame, by: list[str], order: str, level: str, end: str, levels: int = 6) -> DataFrame:
-    """Adds the place of the next header of the same or a higher level.
+    """Adds the place of the next header of the same or a higher level; headers deeper than ``levels`` count as of that level.
 
-    For each level the next header at or above it is a running minimum from behind, so no header meets all others."""
-    after = Window.partitionBy(*by).orderBy(order).rowsBetween(1, Window.unboundedFollowing)
-    nexts = [F.min(F.when(F.col(level) <= x, F.col(order))).over(after) for x in range(1, levels + 1)]
-    return headers.withColumn("_n", F.array(*nexts)).withColumn("subtree_end", F.coalesce(F.element_at("_n", F.col(level)), F.col(end))).drop("_n")
+    For each level the next header at or above it is a running minimum in descending order, so that each row adds to it once."""
+    own = F.least(F.col(level), F.lit(levels))
+    later = Window.partitionBy(*by).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
+    nexts = [F.min(F.when(own <= x, F.col(order))).over(later) for x in range(1, levels + 1)]
+    return headers.withColumn("_n", F.array(*nexts)).withColumn("subtree_end", F.coalesce(F.element_at("_n", own), F.col(end))).drop("_n")
 
 
 def heading_path(headers: DataFrame, by: list[str], order: str, level: str, title: str, levels: int = 6) -> DataFrame:
@@ -49,15 +50,34 @@ def best_first(df: DataFrame, by: list[str], *order: Column) -> DataFrame:
 def greedy_groups(df: DataFrame, by: list[str], order: str, size: str, least: int, most: int) -> DataFrame:
     """Collects ordered units into groups: one closes when it has ``least`` and the next would take it past ``most``.
 
-    Returns the keys, group, first and last unit, total. The fold runs over one array a key (a document's units)."""
+    Returns the keys, group, first and last unit, total. The fold runs over one array a key (a document's units) and
+    touches closed groups only when another one closes."""
     units = df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(order).cast("long").alias("o"), F.col(size).cast("long").alias("n")))).alias("u"))
-    empty = F.expr("cast(array() as array<struct<first:bigint,last:bigint,total:bigint>>)")
+    group = "struct<first:bigint,last:bigint,total:bigint>"
+    start = F.struct(F.expr(f"cast(array() as array<{group}>)").alias("closed"), F.lit(None).cast(group).alias("open"))
 
     def step(acc: Column, x: Column) -> Column:
-        tail = F.element_at(acc, -1)
-        closes = (F.size(acc) == 0) | ((F.try_element_at(acc, F.lit(-1))["total"] >= least) & (F.try_element_at(acc, F.lit(-1))["total"] + x["n"] > most))
+        now, closed = acc["open"], acc["closed"]
         new = F.struct(x["o"].alias("first"), x["o"].alias("last"), x["n"].alias("total"))
-        grown = F.struct(tail["first"].alias("first"), x["o"].alias("last"), (tail["total"] + x["n"]).alias("total"))
-        return F.when(closes, F.concat(acc, F.array(new))).otherwise(F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown)))
+        grown = F.struct(now["first"].alias("first"), x["o"].alias("last"), (now["total"] + x["n"]).alias("total"))
+        full = (now["total"] >= least) & (now["total"] + x["n"] > most)
+        of = lambda c, o: F.struct(c.alias("closed"), o.alias("open"))
+        return F.when(now.isNull(), of(closed, new)).when(full, of(F.concat(closed, F.array(now)), new)).otherwise(of(closed, grown))
 
-    return units.select(*by, F.posexplode(F.aggregate("u", empty, step)).alias("group", "g")).select(*by, "group", "g.first", "g.last", "g.total")
+    groups = F.aggregate("u", start, step, lambda acc: F.concat(acc["closed"], F.array(acc["open"])))
+    return units.select(*by, F.posexplode(groups).alias("group", "g")).select(*by, "group", "g.first", "g.last", "g.total")
+
+
+def global_rank(df: DataFrame, *order: Column | str) -> DataFrame:
+    """Adds place, from 1 on, by ``order`` over all rows; no task sees more than a range of them.
+
+    Rows are dealt by ranges and written to the session's checkpoint folder, for ranges come from samples; places are
+    counted in a range, and the ranges' sizes before it (a row a range) are broadcast."""
+    from tessera.sources.files import checkpoints
+
+    checkpoints(df.sparkSession)
+    dealt = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return dealt.withColumn("_within", within).join(F.broadcast(before), "_part").withColumn("place", F.col("_before") + F.col("_within")).drop("_part", "_within", "_before")

@@ -378,7 +378,11 @@ def chunk_anomalies(spark, d):
     return out.withColumns({f: F.coalesce(f, F.lit(False)) for f in ("private_use", "page_jump")})
 
 
-@query()
+@query(r"""WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
+u AS MATERIALIZED (SELECT doc_id, line_no, len(list_filter(string_split_regex(line, '\s+'), lambda x: x <> '')) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS i FROM l WHERE trim(line) <> ''),
+w AS (SELECT doc_id, i, line_no, 0 AS "group", n AS total FROM u WHERE i = 1
+  UNION ALL SELECT u.doc_id, u.i, u.line_no, CASE WHEN w.total >= 400 AND w.total + u.n > 500 THEN w."group" + 1 ELSE w."group" END, CASE WHEN w.total >= 400 AND w.total + u.n > 500 THEN u.n ELSE w.total + u.n END FROM w JOIN u ON u.doc_id = w.doc_id AND u.i = w.i + 1)
+SELECT doc_id, "group", min(line_no) AS first, max(line_no) AS last, max(total) AS total FROM w GROUP BY 1, 2""")
 def greedy_chunks(spark, d):
     x = documents.lines(table(spark, d, "documents")).withColumn("n", text.word_count(c("line")))
     return ordering.greedy_groups(x, ["doc_id"], "line_no", "n", 400, 500)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import numbers, text
-from tessera.operators import building, indicators, layout, reading, search
+from tessera.operators import building, indicators, layout, ordering, reading, search
 from tessera.operators import comparability as cmp
-from tessera.plans.fixtures import CATEGORY, NAMES, companies, kpis
+from tessera.plans.fixtures import NAMES, companies, kpis
 from tessera.plans.queries import CK, C, K, c, query
 from tessera.session import table
 
@@ -39,8 +39,6 @@ def kpi_lookup_strict(spark, d):
 
 @query(K + "SELECT company_id, category, kpi_name, value, row_number() OVER (PARTITION BY company_id ORDER BY category, kpi_name) AS place FROM kpis WHERE year = 1997")
 def kpis_of_year(spark, d):
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.partitionBy("company_id").orderBy("category", "kpi_name"))
     return kpis(spark, d).where("year = 1997").select("company_id", "category", "kpi_name", "value", place.alias("place"))
 
@@ -120,13 +118,12 @@ def family_by_prefix(spark, d):
     return table(spark, d, "part").select("p_partkey", reading.by_prefix(c("p_type"), [("STANDARD", "plain"), ("S", "small")], "other").alias("family"))
 
 
-_CATALOGUE = ", ".join(f"('{CATEGORY[n]}', '{n}', {i})" for i, n in enumerate(NAMES))
-
-
-@query(f"SELECT category, kpi_name, upper(category[1]) || lpad((row_number() OVER (PARTITION BY category ORDER BY o))::VARCHAR, 2, '0') AS code FROM (VALUES {_CATALOGUE}) v(category, kpi_name, o)")
+@query(f"{K}, o AS (SELECT unnest({list(NAMES)}) AS kpi_name, unnest(range({len(NAMES)})) AS o) SELECT category, kpi_name, n, upper(category[1]) || lpad((row_number() OVER (PARTITION BY category ORDER BY o))::VARCHAR, 2, '0') AS code FROM (SELECT category, kpi_name, count(*) AS n FROM kpis GROUP BY ALL) JOIN o USING (kpi_name)")
 def display_codes(spark, d):
-    rows = spark.createDataFrame([(CATEGORY[n], n, i) for i, n in enumerate(NAMES)], "category string, kpi_name string, ordinal int")
-    return reading.display_codes(rows).select("category", "kpi_name", "code")
+    """Codes of the indicators that there are, in declared order."""
+    declared = F.array_position(F.array(*[F.lit(n) for n in NAMES]), c("kpi_name")).alias("ordinal")
+    rows = kpis(spark, d).groupBy("category", "kpi_name").agg(F.count("*").alias("n")).select("category", "kpi_name", "n", declared)
+    return reading.display_codes(rows).select("category", "kpi_name", "n", "code")
 
 
 @query(K + "SELECT o_custkey AS company_id, count(*) AS n FROM orders JOIN p ON o_custkey = company_id AND year(o_orderdate) = year WHERE abs(o_totalprice / 1000 - own_funds) > 0.01 OR mcr IS NULL GROUP BY 1")
@@ -196,13 +193,12 @@ def alert_order(spark, d):
     return reading.worst_first(_alerts(spark, d))
 
 
-@query(K + "SELECT company_id, mcr, row_number() OVER (ORDER BY mcr ASC NULLS FIRST, company_id) AS up, row_number() OVER (ORDER BY mcr DESC NULLS LAST, company_id) AS down FROM p WHERE year = 1997 QUALIFY up <= 20 OR down <= 20")
+@query(K + "SELECT year, 'up' AS direction, company_id, mcr, row_number() OVER (PARTITION BY year ORDER BY mcr ASC NULLS FIRST, company_id) AS place FROM p QUALIFY place <= 20 UNION ALL SELECT year, 'down', company_id, mcr, row_number() OVER (PARTITION BY year ORDER BY mcr DESC NULLS LAST, company_id) AS place FROM p QUALIFY place <= 20")
 def order_nulls(spark, d):
-    w = indicators.wide(kpis(spark, d).where("year = 1997"), ["mcr"]).select("company_id", "mcr")
-    from pyspark.sql import Window
-
-    up, down = (F.row_number().over(Window.orderBy(reading.nulls_by_direction(c("mcr"), x), "company_id")) for x in (True, False))
-    return w.withColumn("up", up).withColumn("down", down).where("up <= 20 OR down <= 20")
+    """The first twenty of each year either way; Spark keeps twenty a partition before the shuffle."""
+    w = indicators.wide(kpis(spark, d), ["mcr"])
+    one = lambda up: w.withColumn("place", F.row_number().over(Window.partitionBy("year").orderBy(reading.nulls_by_direction(c("mcr"), up), "company_id"))).where("place <= 20").select("year", F.lit("up" if up else "down").alias("direction"), "company_id", "mcr", "place")
+    return one(True).unionByName(one(False))
 
 
 @query("SELECT doc_id, n FROM (SELECT doc_id, length(text) AS n, row_number() OVER (ORDER BY length(text), doc_id) AS a, row_number() OVER (ORDER BY length(text) DESC, doc_id) AS b FROM documents WHERE text IS NOT NULL) WHERE a <= 10 OR b <= 10")
@@ -217,12 +213,16 @@ def rerank_stable(spark, d):
     return search.ranked(rows, ["conv_id"], 1 << 30, tie="turn").select("conv_id", "turn", c("rank").alias("place"))
 
 
-@query("SELECT p_partkey, row_number() OVER (ORDER BY k, p_partkey) AS place, k FROM (SELECT p_partkey, lower(strip_accents(p_name)) AS k FROM part)")
-def collated_order(spark, d):
-    from pyspark.sql import Window
+_NAMED = "CASE p_partkey % 5 WHEN 0 THEN upper(p_name) WHEN 1 THEN replace(p_name, 'e', 'é') WHEN 2 THEN replace(p_name, 'a', 'À') WHEN 3 THEN upper(p_name[1]) || p_name[2:] ELSE p_name END"
+
 
-    names = table(spark, d, "part").select("p_partkey", text.label_key(c("p_name")).alias("k"))
-    return names.withColumn("place", F.row_number().over(Window.orderBy("k", "p_partkey")))
+@query(f"SELECT p_partkey, name, row_number() OVER (ORDER BY name COLLATE fr, p_partkey) AS place FROM (SELECT p_partkey, {_NAMED} AS name FROM part)")
+def collated_order(spark, d):
+    """Names in the order of the locale, with capitals and accents, ties by key."""
+    n, k = c("p_name"), c("p_partkey") % 5
+    name = F.when(k == 0, F.upper(n)).when(k == 1, F.replace(n, F.lit("e"), F.lit("é"))).when(k == 2, F.replace(n, F.lit("a"), F.lit("À"))).when(k == 3, F.concat(F.upper(F.substring(n, 1, 1)), F.substring(n, 2, 1 << 30))).otherwise(n)
+    ranked = ordering.global_rank(table(spark, d, "part").select("p_partkey", name.alias("name"), F.collate(name, "fr").alias("k")), "k", "p_partkey")
+    return ranked.select("p_partkey", "name", "place")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_linenumber * 10 AS number FROM lineitem")
