@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from tessera.plans import changes, domain, fusion, more, official, reports, statements  # noqa: F401
+from tessera.plans import changes, domain, fusion, more, official, reports, statements, words  # noqa: F401
 from tessera.plans.queries import QUERIES, SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
