@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.numbers import exact_ratio, units
+
 KEY = ["company_id", "year"]
 
 
@@ -32,6 +34,21 @@ def composition(kpis: DataFrame, modules: list[str], least: int = 1) -> DataFram
     return rows.join(sums, KEY).select(*KEY, F.col("kpi_name").alias("module"), (F.round(F.col("value") / F.col("total") * 100, 1) + 0.0).alias("share"))
 
 
+def module_ratios(kpis: DataFrame, modules: list[str], diversification: str, operational: str, total: str, least: int = 4) -> DataFrame:
+    """(company_id, year, n, diversification, adjustments) in percent, one decimal, exact.
+
+    diversification (a negative figure) over the sum of the modules that are given, if that is positive; what neither
+    modules, diversification nor operational risk explain of the total, over the total, if ``least`` modules are given."""
+    w = wide(kpis, [*modules, diversification, operational, total])
+    u = lambda x: units(F.col(x))
+    sums = sum((F.coalesce(u(m), F.lit(0)) for m in modules[1:]), F.coalesce(u(modules[0]), F.lit(0)))
+    n = sum((F.col(m).isNotNull().cast("int") for m in modules[1:]), F.col(modules[0]).isNotNull().cast("int"))
+    w = w.withColumns({"_sum": sums, "n": n})
+    spread = F.when(F.col("_sum") > 0, exact_ratio(-u(diversification), F.col("_sum"), 100, 1))
+    rest = u(total) - F.col("_sum") - u(diversification) - u(operational)
+    return w.select(*KEY, "n", spread.alias("diversification"), F.when((F.col("_sum") > 0) & (F.col("n") >= least) & (F.col(total) != 0), exact_ratio(rest, u(total), 100, 1)).alias("adjustments"))
+
+
 def guarded_loss_ratio(components: DataFrame, least: float, share: float) -> DataFrame:
     """(company_id, year, class, premium, claim): claims over premiums of the class 'N'.
 
@@ -50,11 +67,11 @@ def minimum_position(kpis: DataFrame, solo: DataFrame) -> DataFrame:
     return w.select(*KEY, F.round(p, 2).alias("mcr_pct"), place.alias("position"))
 
 
-def without_measures(measures: DataFrame) -> DataFrame:
+def without_measures(measures: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Solvency ratio without long-term measures and what they are worth in points: the published ratio, none in use, or stepwise.
 
     Stepwise, the transitional measure is taken away first, then the adjustment: impact_va is between these two steps,
-    impact_tr up to the first, given only where the measure is in use."""
+    impact_tr up to the first, given only where the measure is in use. Columns in ``carry`` stay."""
     c, zero = F.col, F.lit(0.0)
     part = lambda name: F.coalesce(c(name), zero)
     full = F.try_divide("fp_with", "scr_with") * 100
@@ -63,7 +80,7 @@ def without_measures(measures: DataFrame) -> DataFrame:
     published, used = c("published_without").isNotNull(), c("uses_va") | c("transitional")
     by = lambda pub, none, step: F.when(published, pub).when(~used, none).otherwise(F.round(step, 1) + 0.0)
     gap = F.round(c("published_without") - c("ratio_stored"), 1)
-    return measures.select(*KEY, by(F.round("published_without", 1), c("ratio_stored"), last).alias("ratio_without"), by(gap, zero, last - first).alias("impact_va"), F.when(~published & used & c("transitional"), F.round(first - full, 1) + 0.0).alias("impact_tr"), by(gap, zero, last - full).alias("impact_all"), F.when(published, "published").when(~used, "none").otherwise("stepwise").alias("basis"))
+    return measures.select(*KEY, *carry, by(F.round("published_without", 1), c("ratio_stored"), last).alias("ratio_without"), by(gap, zero, last - first).alias("impact_va"), F.when(~published & used & c("transitional"), F.round(first - full, 1) + 0.0).alias("impact_tr"), by(gap, zero, last - full).alias("impact_all"), F.when(published, "published").when(~used, "none").otherwise("stepwise").alias("basis"))
 
 
 def recomputed(components: DataFrame, formulas: DataFrame, stored: DataFrame, tolerance: float) -> DataFrame:

@@ -51,11 +51,11 @@ lt AS (SELECT company_id, year, CASE WHEN pub IS NOT NULL THEN round(pub, 1) WHE
  CASE WHEN pub IS NULL AND used AND tr THEN round(a - f, 1) + 0.0 END AS impact_tr, CASE WHEN pub IS NOT NULL THEN round(pub - ratio_scr, 1) WHEN NOT used THEN 0.0 ELSE round(b - f, 1) + 0.0 END AS impact_all, CASE WHEN pub IS NOT NULL THEN 'published' WHEN NOT used THEN 'none' ELSE 'stepwise' END AS basis FROM x)"""
 
 
-def _measures(spark, d) -> DataFrame:
+def _measures(spark, d, carry: tuple[str, ...] = ()) -> DataFrame:
     w = indicators.wide(kpis(spark, d), ["own_funds", "scr_total", "tier2", "tier3", "mcr", "ratio_scr"])
     i, used = c("company_id"), c("company_id") % 3 != 0
-    m = w.select("company_id", "year", used.alias("uses_va"), (used & (i % 2 == 0)).alias("transitional"), c("own_funds").alias("fp_with"), c("scr_total").alias("scr_with"), (-c("tier3")).alias("d_fp_va"), c("mcr").alias("d_scr_va"), F.when(i % 2 == 0, -c("tier2")).alias("d_fp_tr"), F.lit(None).cast("double").alias("d_scr_tr"), F.when(i % 5 == 0, c("ratio_scr") - 12.5).alias("published_without"), c("ratio_scr").alias("ratio_stored"))
-    return indicators.without_measures(m)
+    m = w.select("company_id", "year", used.alias("uses_va"), (used & (i % 2 == 0)).alias("transitional"), c("own_funds").alias("fp_with"), c("scr_total").alias("scr_with"), (-c("tier3")).alias("d_fp_va"), c("mcr").alias("d_scr_va"), F.when(i % 2 == 0, -c("tier2")).alias("d_fp_tr"), F.lit(None).cast("double").alias("d_scr_tr"), F.when(i % 5 == 0, c("ratio_scr") - 12.5).alias("published_without"), c("ratio_scr").alias("ratio_stored"), *carry)
+    return indicators.without_measures(m, carry)
 
 
 @query(f"{K}, {_MEASURES} SELECT * FROM lt")
@@ -209,12 +209,15 @@ def double_count_filter(spark, d):
     return cmp.without_double_counts(_panel(spark, d).where(~c("warned") & c("value").isNotNull())).select("selection", "company_id")
 
 
-@query(f"""{K}, {_MEASURES} SELECT company_id, year, 'below_requirement' AS rule, 1 AS level FROM p WHERE ratio_scr < 100 UNION ALL SELECT company_id, year, 'near_requirement', 2 FROM p WHERE ratio_scr >= 100 AND ratio_scr < 130 UNION ALL SELECT company_id, year, 'low_quality_capital', 2 FROM p WHERE (tier2 + tier3) / nullif(scr_total, 0) * 100 >= 49.5
+ALERTS_SQL = """SELECT company_id, year, 'below_requirement' AS rule, 1 AS level FROM p WHERE ratio_scr < 100 UNION ALL SELECT company_id, year, 'near_requirement', 2 FROM p WHERE ratio_scr >= 100 AND ratio_scr < 130 UNION ALL SELECT company_id, year, 'low_quality_capital', 2 FROM p WHERE (tier2 + tier3) / nullif(scr_total, 0) * 100 >= 49.5
 UNION ALL SELECT company_id, year, 'minimum_above_requirement', 1 FROM p WHERE mcr >= scr_total UNION ALL SELECT company_id, year, 'absolute_floor', 3 FROM p WHERE mcr / nullif(scr_total, 0) * 100 > 45.6
-UNION ALL SELECT company_id, year, 'below_without_measures', 1 FROM lt JOIN p USING (company_id, year) WHERE ratio_without < 100 AND ratio_scr >= 100 UNION ALL SELECT company_id, year, 'large_impact', 2 FROM lt WHERE impact_all <= -50 UNION ALL SELECT company_id, year, 'transitional_measure', 3 FROM lt WHERE impact_tr IS NOT NULL""")
+UNION ALL SELECT company_id, year, 'below_without_measures', 1 FROM lt JOIN p USING (company_id, year) WHERE ratio_without < 100 AND ratio_scr >= 100 UNION ALL SELECT company_id, year, 'large_impact', 2 FROM lt WHERE impact_all <= -50 UNION ALL SELECT company_id, year, 'transitional_measure', 3 FROM lt WHERE impact_tr IS NOT NULL"""
+
+
+@query(f"{K}, {_MEASURES} {ALERTS_SQL}")
 def alerts(spark, d):
-    w = indicators.wide(kpis(spark, d), ["ratio_scr", "tier2", "tier3", "scr_total", "mcr"])
-    return cmp.alerts(w.join(_measures(spark, d), ["company_id", "year"], "left"))
+    """All rules from one row a company and year."""
+    return cmp.alerts(_measures(spark, d, ("ratio_scr", "tier2", "tier3", "scr_total", "mcr")))
 
 
 @query(K + "SELECT company_id, year, CASE WHEN ratio_scr < 100 THEN 'danger' WHEN ratio_scr < 200 THEN 'warning' WHEN ratio_scr IS NOT NULL THEN 'good' END AS light FROM p")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import numbers, text
 from tessera.operators import building, indicators, layout, ordering, reading, search
 from tessera.operators import comparability as cmp
+from tessera.plans.domain import _MEASURES, ALERTS_SQL, alerts
 from tessera.plans.fixtures import NAMES, companies, kpis
 from tessera.plans.queries import CK, C, K, c, query
 from tessera.session import table
@@ -175,22 +176,17 @@ def group_counts(spark, d):
     return reading.with_independents(rows, "belongs", "independent")
 
 
-_ALERTS = """a AS (SELECT company_id, year, 'below_requirement' AS rule, 1 AS level FROM p WHERE ratio_scr < 100 UNION ALL SELECT company_id, year, 'near_requirement', 2 FROM p WHERE ratio_scr >= 100 AND ratio_scr < 130 UNION ALL SELECT company_id, year, 'low_quality_capital', 2 FROM p WHERE (tier2 + tier3) / nullif(scr_total, 0) * 100 >= 49.5
-UNION ALL SELECT company_id, year, 'minimum_above_requirement', 1 FROM p WHERE mcr >= scr_total UNION ALL SELECT company_id, year, 'absolute_floor', 3 FROM p WHERE mcr / nullif(scr_total, 0) * 100 > 45.6)"""
-
-
-def _alerts(spark, d) -> DataFrame:
-    return cmp.alerts(indicators.wide(kpis(spark, d), ["ratio_scr", "tier2", "tier3", "scr_total", "mcr"]))
+_ALERTS = f"{_MEASURES}, a AS ({ALERTS_SQL})"
 
 
 @query(f"{K}, {_ALERTS} SELECT level, count(*) AS n FROM a GROUP BY 1")
 def alert_levels(spark, d):
-    return _alerts(spark, d).groupBy("level").agg(F.count("*").alias("n"))
+    return alerts(spark, d).groupBy("level").agg(F.count("*").alias("n"))
 
 
 @query(f"{K}, {_ALERTS} SELECT company_id, min(level) AS level, arg_min(rule, (level, rule)) AS rule, count(*) AS n, count(*) FILTER (level = 1) AS dangers FROM a GROUP BY 1")
 def alert_order(spark, d):
-    return reading.worst_first(_alerts(spark, d))
+    return reading.worst_first(alerts(spark, d))
 
 
 @query(K + "SELECT year, 'up' AS direction, company_id, mcr, row_number() OVER (PARTITION BY year ORDER BY mcr ASC NULLS FIRST, company_id) AS place FROM p QUALIFY place <= 20 UNION ALL SELECT year, 'down', company_id, mcr, row_number() OVER (PARTITION BY year ORDER BY mcr DESC NULLS LAST, company_id) AS place FROM p QUALIFY place <= 20")
@@ -489,11 +485,17 @@ def component_classes(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", building.component_class(code, label, "non-life", "life", {"R0210": "non-life", "R1510": "life"}).alias("class"))
 
 
-@query(K + "SELECT company_id, year, round(-tier3 / nullif(tier1 + tier2, 0) * 100, 1) + 0.0 AS diversification, CASE WHEN company_id % 2 = 0 THEN 'standard formula' ELSE 'internal model' END AS base FROM p WHERE tier1 + tier2 > 0")
+_MODULES = ["tier1", "mcr", "premiums", "claims"]
+_SUM = " + ".join(f"coalesce(floor({m} * 1e8::DOUBLE + 0.5)::HUGEINT, 0)" for m in _MODULES)
+_REST = "floor(scr_total * 1e8::DOUBLE + 0.5)::HUGEINT - s - floor(-tier3 * 1e8::DOUBLE + 0.5)::HUGEINT - floor(risk_margin * 1e8::DOUBLE + 0.5)::HUGEINT"
+_EXACT = lambda a, b: f"(CASE WHEN ({a}) < 0 THEN -1 ELSE 1 END) * ((abs({a}) * 2000 + {b}) // (2 * {b})) / 10::DOUBLE"
+
+
+@query(f"{K}, m AS (SELECT *, {_SUM} AS s, {' + '.join(f'({m} IS NOT NULL)::INT' for m in _MODULES)} AS n, floor(scr_total * 1e8::DOUBLE + 0.5)::HUGEINT AS t FROM p) SELECT company_id, year, n, CASE WHEN s > 0 THEN {_EXACT('floor(tier3 * 1e8::DOUBLE + 0.5)::HUGEINT', 's')} END AS diversification, CASE WHEN s > 0 AND n >= 4 AND t <> 0 THEN {_EXACT(_REST, 't')} END AS adjustments, CASE WHEN company_id % 2 = 0 THEN 'standard formula' ELSE 'internal model' END AS base FROM m")
 def module_ratios(spark, d):
-    w = indicators.wide(kpis(spark, d), ["tier1", "tier2", "tier3"]).where("tier1 + tier2 > 0")
+    k = kpis(spark, d).withColumn("value", F.when(c("kpi_name") == "tier3", -c("value")).otherwise(c("value")))
     base = F.when(c("company_id") % 2 == 0, "standard formula").otherwise("internal model")
-    return w.select("company_id", "year", indicators.ratio(-c("tier3"), c("tier1") + c("tier2"), 1).alias("diversification"), base.alias("base"))
+    return indicators.module_ratios(k, _MODULES, "tier3", "risk_margin", "scr_total").withColumn("base", base)
 
 
 # --- comparison ---------------------------------------------------------------------------------------------------------
