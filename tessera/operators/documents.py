@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import word_count
+from tessera.operators.components import components
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -62,20 +63,17 @@ def column_gaps(cells: DataFrame) -> DataFrame:
 def hamming_clusters(hashes: DataFrame, most: int, bits: int = 64) -> DataFrame:
     """(ref, phash long) to (ref, canonical): groups of pictures within ``most`` bits, by chains; the least ref stands for each.
 
-    Two hashes within ``most`` bits agree on one of ``most`` + 1 bands, so bands find all pairs; equal hashes are one node."""
-    nodes = hashes.groupBy("phash").agg(F.min("ref").alias("node"))
-    width = -(-bits // (most + 1))
-    bands = F.explode(F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.col("phash"), i * width).bitwiseAND((1 << width) - 1).alias("part")) for i in range(most + 1)]))
-    keyed = nodes.select("node", "phash", bands.alias("b")).select("node", "phash", "b.*")
-    a, b = keyed.alias("a"), keyed.alias("b")
-    near = F.bit_count(F.col("a.phash").bitwiseXOR(F.col("b.phash"))) <= most
-    edges = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.node") < F.col("b.node")) & near).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct().persist()
-    label = nodes.select("node", F.col("node").alias("label"))
-    both = edges.union(edges.select("v", "u"))
-    while True:  # least label of the neighbours, until none changes
-        offered = both.join(label, both["v"] == label["node"]).groupBy("u").agg(F.min("label").alias("m"))
-        after = label.join(offered, label["node"] == offered["u"], "left").select("node", F.least("label", F.coalesce("m", "label")).alias("label")).checkpoint()
-        if after.join(label.withColumnRenamed("label", "old"), "node").where("old <> label").isEmpty():
-            break
-        label = after
-    return hashes.join(nodes, "phash").join(label, "node").select("ref", F.col("label").alias("canonical"))
+    Of ``most`` + 2 bands two hashes within ``most`` bits share two at least, so pairs of bands find all pairs, and a
+    bucket of two bands holds few that don't belong; equal hashes are one node. A null hash is alone."""
+    nodes = hashes.where("phash IS NOT NULL").groupBy("phash").agg(F.min("ref").alias("node"))
+    count = most + 2
+    cuts = [bits * i // count for i in range(count + 1)]
+    part = lambda i: F.shiftrightunsigned(F.col("phash"), cuts[i]).bitwiseAND((1 << (cuts[i + 1] - cuts[i])) - 1)
+    bands = F.explode(F.array(*[F.struct(F.lit(i * count + j).alias("band"), part(i).alias("a"), part(j).alias("b")) for i in range(count) for j in range(i + 1, count)]))
+    keyed = nodes.select("node", "phash", bands.alias("k")).select("node", "phash", "k.*")
+    x, y = keyed.alias("x"), keyed.alias("y")
+    near = F.bit_count(F.col("x.phash").bitwiseXOR(F.col("y.phash"))) <= most
+    same = (F.col("x.band") == F.col("y.band")) & (F.col("x.a") == F.col("y.a")) & (F.col("x.b") == F.col("y.b")) & (F.col("x.node") < F.col("y.node"))
+    edges = x.join(y, same & near).select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct()
+    found = nodes.join(components(edges), "node", "left").select("phash", F.coalesce("component", "node").alias("canonical"))
+    return hashes.join(found, "phash", "left").select("ref", F.coalesce("canonical", "ref").alias("canonical"))

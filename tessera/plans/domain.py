@@ -405,13 +405,15 @@ def conversation_window(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", "role", F.lag("role").over(w).alias("previous_role"), F.count("*").over(last).alias("history"), F.coalesce(F.sum(F.length("text")).over(last), F.lit(0)).cast("long").alias("history_chars"))
 
 
-@query()
+@query("""WITH RECURSIVE ph AS MATERIALIZED (SELECT p_partkey AS ref, xor(('0x' || md5((p_partkey // 3)::VARCHAR)[1:15])::BIGINT, CASE p_partkey % 3 WHEN 0 THEN 5 WHEN 1 THEN 240 ELSE 0 END::BIGINT) AS h FROM part),
+ed AS MATERIALIZED (SELECT a.ref AS u, b.ref AS v FROM ph a JOIN ph b ON a.ref <> b.ref AND bit_count(xor(a.h, b.h)) <= 4),
+rc AS (SELECT ref, ref AS r FROM ph UNION SELECT ed.v, rc.r FROM rc JOIN ed ON ed.u = rc.ref) SELECT ref, min(r) AS canonical FROM rc GROUP BY 1""")
 def picture_clusters(spark, d):
-    from tessera.sources.files import checkpoints
-
-    checkpoints(spark)
-    p = table(spark, d, "part").select(c("p_partkey").alias("ref"), F.xxhash64((c("p_partkey") / 3).cast("long")).bitwiseXOR(F.when(c("p_partkey") % 3 == 0, F.lit(5)).otherwise(F.lit(0))).alias("phash"))
-    return documents.hamming_clusters(p, 4)
+    """Three parts share a picture's hash but for a few bits; the second differs from the others by too many for one step."""
+    k = c("p_partkey")
+    h = F.conv(F.substring(F.md5(F.floor(k / 3).cast("string")), 1, 15), 16, 10).cast("long")
+    noise = F.when(k % 3 == 0, F.lit(5)).when(k % 3 == 1, F.lit(240)).otherwise(F.lit(0)).cast("long")
+    return documents.hamming_clusters(table(spark, d, "part").select(k.alias("ref"), h.bitwiseXOR(noise).alias("phash")), 4)
 
 
 # --- events -------------------------------------------------------------------------------------------------------------

@@ -172,3 +172,24 @@ def test_greedy_groups_and_spans(spark):
     assert [(r.first, r.last, r.total) for r in ordering.greedy_groups(units, ["doc"], "pos", "n", 400, 500).orderBy("group").collect()] == [(0, 1, 450), (2, 4, 570), (5, 6, 500)]
     heads = spark.createDataFrame([(1, 0, 1, 9), (1, 1, 2, 9), (1, 2, 9, 9), (1, 3, 2, 9), (1, 4, 1, 9)], "doc int, pos int, level int, end int")
     assert [r.subtree_end for r in ordering.subtree_span(heads, ["doc"], "pos", "level", "end").orderBy("pos").collect()] == [4, 3, 3, 4, 9]
+
+
+def test_components_of_chains_stars_and_random_graphs(spark):
+    from tessera.operators.components import components
+
+    rnd = random.Random(11)
+    order = list(range(200, 300))
+    rnd.shuffle(order)
+    edges = list(zip(order, order[1:])) + [(7, i) for i in range(8, 60)] + [(rnd.randint(400, 480), rnd.randint(400, 480)) for _ in range(50)] + [(1, 1)]
+    label = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in label:
+        changed = False
+        for a, b in edges:
+            if a != b and label[a] != label[b]:
+                label[a] = label[b] = min(label[a], label[b])
+                changed = True
+        if not changed:
+            break
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == label
+    assert components(spark.createDataFrame([], "u long, v long")).isEmpty()
