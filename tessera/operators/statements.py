@@ -79,3 +79,33 @@ def section_totals(lines: DataFrame, document: list[str], page: str, names: list
     found = by_label(pairs, [*key, "section"], wanted).withColumn("_set", F.substring_index("name", ":", 1).cast("int"))
     first = found.withColumn("_first", F.min("_set").over(Window.partitionBy(*key, "section"))).where("_set = _first")
     return first.groupBy(*document, "section").agg(F.round(F.sum(F.col("value").cast("decimal(38,6)")).cast("double"), 6).alias("total"), F.count("*").alias("parts"))
+
+
+def suffix_totals(pairs: DataFrame, key: list[str], groups: dict[str, list[str]]) -> DataFrame:
+    """(key, name, total, parts): the last figures of the labels that end in one of a name's codes, added; a label counts once a name. Names without any give no row."""
+    low = {n: [x.lower() for x in codes] for n, codes in groups.items()}
+    fits = lambda codes: F.exists(F.array(*[F.lit(x) for x in codes]), lambda x: F.col("label").endswith(x))
+    names = F.explode(F.array_compact(F.array(*[F.when(fits(codes), F.lit(n)) for n, codes in low.items()])))
+    rows = pairs.select(*key, names.alias("name"), F.element_at("values", -1).alias("v"))
+    return rows.groupBy(*key, "name").agg(F.round(F.sum(F.col("v").cast("decimal(38,6)")).cast("double"), 6).alias("total"), F.count("*").alias("parts"))
+
+
+def detached_signs(lines: DataFrame, key: list[str], label: str) -> DataFrame:
+    """(key, value): the figure after the first line that is the label, where its minus signs stand on lines of their own.
+
+    Only the exact form counts: figure, minus, the same figure, minus. Anything else gives null, for a lone minus may as
+    well be an empty cell; texts without the label give no row."""
+    w = Window.partitionBy(*key).orderBy("line_no")
+    rows = lines.where(F.trim("line") != "").select(*key, "line_no", F.trim("line").alias("_t"))
+    rows = rows.withColumns({f"_{i}": F.lead("_t", i).over(w) for i in range(1, 5)}).where(F.col("_t") == label)
+    first = rows.withColumn("_r", F.row_number().over(w)).where("_r = 1")
+    exact = (F.col("_2") == "-") & (F.col("_4") == "-") & (F.col("_1") == F.col("_3"))
+    return first.select(*key, F.when(exact, -parse_number(F.col("_1"))).alias("value"))
+
+
+def with_total_column(lines: DataFrame, key: list[str], total: str, before: str) -> DataFrame:
+    """(key, has_total): does a line that is the total's heading come before the first line that starts with ``before``? Without such a line anywhere will do."""
+    norm = label_key(F.col("line"))
+    at = F.min(F.when(norm == label_key(F.lit(total)), F.col("line_no")))
+    stop = F.min(F.when(norm.startswith(before.lower()), F.col("line_no")))
+    return lines.groupBy(*key).agg(at.alias("_a"), stop.alias("_s")).select(*key, F.coalesce(F.col("_a") < F.coalesce("_s", F.lit(2**31 - 1)), F.lit(False)).alias("has_total"))

@@ -58,3 +58,14 @@ def require(df: DataFrame, bad: DataFrame, message: str) -> DataFrame:
     if not bad.isEmpty():
         raise ValueError(message)
     return df
+
+
+def with_metadata(companies: DataFrame, metadata: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Companies with the columns of their metadata (one row a key) in place of their own; metadata of others is left out.
+
+    A company without metadata is an error, and none is changed."""
+    missing = companies.join(metadata, key, "left_anti")
+    m = metadata.select(key, *[F.col(c).alias(f"_m_{c}") for c in columns])
+    j = require(companies, missing.limit(1), "a company has no metadata").join(m, key)
+    own = [F.col(f"_m_{c}").alias(c) if c in columns else F.col(c) for c in companies.columns]
+    return j.select(*own, *[F.col(f"_m_{c}").alias(c) for c in columns if c not in companies.columns])

@@ -101,3 +101,42 @@ _SET_WANTED = [(f"{i}:{x}", 0, x, -1, False) for i, labels in enumerate(SETS) fo
 @query(f"WITH {_LINES}, {_SECTIONS_SQL}, {_folded_sql('se', _K + ', section', 'fs')}, {_label_sql('fs', _K + ', section', _SET_WANTED, 'lt')}, st AS (SELECT *, name[1] AS set_no FROM lt QUALIFY set_no = min(set_no) OVER (PARTITION BY company_id, page_no, section)) SELECT company_id, section, round(sum(value::DECIMAL(38,6))::DOUBLE, 6) AS total, count(*) AS parts FROM st GROUP BY ALL")
 def section_label_totals(spark, d):
     return statements.section_totals(lines(spark, d), ["company_id"], "page_no", SECTIONS, SETS)
+
+
+SUFFIXES = {"gross": ["- direct", "- accepted"], "net": ["Reinsurance"]}
+
+
+@query(f"""WITH {_LINES}, {_PAIRS}, sx AS (SELECT company_id, page_no, 'gross' AS name, vals[-1] AS v FROM fo WHERE ends_with(label, '- direct') OR ends_with(label, '- accepted') UNION ALL SELECT company_id, page_no, 'net', vals[-1] FROM fo WHERE ends_with(label, 'reinsurance'))
+SELECT company_id, page_no, name, round(sum(v::DECIMAL(38,6))::DOUBLE, 6) AS total, count(*) AS parts FROM sx GROUP BY ALL""")
+def suffix_label_totals(spark, d):
+    return statements.suffix_totals(statements.folded(lines(spark, d), KEY), KEY, SUFFIXES)
+
+
+def _signs(spark, d) -> DataFrame:
+    """An order's lines: the label, then its figure and signs, whole or in another form."""
+    o = table(spark, d, "orders")
+    v, k = F.floor(c("o_totalprice")).cast("long").cast("string"), c("o_orderkey") % 5
+    after = F.when(k == 0, F.array(v, F.lit("-"), v, F.lit("-"))).when(k == 1, F.array(F.lit("-"), v, F.lit("-"), v)).when(k == 2, F.array(v, F.lit("-"), F.concat(v, F.lit("0")), F.lit("-"))).when(k == 3, F.array(v, F.lit("-"))).otherwise(F.array(F.concat(v, F.lit(",5")), F.lit("-"), F.concat(v, F.lit(",5")), F.lit("-"), F.lit("-")))
+    head = F.when(c("o_orderkey") % 3 == 0, F.array(F.lit("Premiums, gross"), F.lit("TOTAL"))).otherwise(F.array(F.lit("Total"), F.lit("Premiums")))
+    label = F.when(c("o_orderkey") % 7 == 0, "Spreading").otherwise("Diversification")
+    return o.select("o_orderkey", F.posexplode(F.concat(head, F.array(label, F.lit(" ")), after)).alias("line_no", "line"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN -floor(o_totalprice) WHEN 4 THEN -(floor(o_totalprice) + 0.5) END AS value FROM orders WHERE o_orderkey % 7 <> 0""")
+def signs_reattached(spark, d):
+    return statements.detached_signs(_signs(spark, d), ["o_orderkey"], "Diversification")
+
+
+@query("SELECT o_orderkey, o_orderkey % 3 <> 0 AS has_total FROM orders")
+def total_columns(spark, d):
+    return statements.with_total_column(_signs(spark, d), ["o_orderkey"], "Total", "premiums")
+
+
+@query("SELECT c_custkey, c_name, n_name || ' / ' || c_mktsegment AS c_mktsegment, CASE WHEN c_custkey % 2 = 0 THEN 'solo' ELSE 'group' END AS perimeter FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def companies_with_metadata(spark, d):
+    from tessera.operators import warehouse
+
+    x, n = table(spark, d, "customer"), table(spark, d, "nation")
+    meta = x.join(n, c("c_nationkey") == c("n_nationkey")).select("c_custkey", F.concat("n_name", F.lit(" / "), "c_mktsegment").alias("c_mktsegment"), F.when(c("c_custkey") % 2 == 0, "solo").otherwise("group").alias("perimeter"))
+    extra = meta.withColumn("c_custkey", -c("c_custkey") - 1)
+    return warehouse.with_metadata(x.select("c_custkey", "c_name", "c_mktsegment"), meta.unionByName(extra), "c_custkey", ["c_mktsegment", "perimeter"])

@@ -11,9 +11,14 @@ from pyspark.sql.types import StructType
 
 
 def checkpoints(spark: SparkSession) -> None:
-    """Uses the shared folder of ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+    """Uses the shared folder of ``spark.checkpoint.dir``; where that is unset, one beside the warehouse, and a temporary one only in a session on one machine."""
+    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+        return
+    master = spark.sparkContext.master
+    if master.startswith("local") and not master.startswith("local-cluster"):
         spark.sparkContext.setCheckpointDir(Path(tempfile.mkdtemp(prefix="tessera-")).as_uri())
+    else:
+        spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir')}/tessera-checkpoints")
 
 
 def json_lines(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
