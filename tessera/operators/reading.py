@@ -128,3 +128,18 @@ def mergeable(cells: DataFrame, sheet: list[str], code: str) -> DataFrame:
     sets = cells.groupBy(*sheet).agg(F.array_join(F.sort_array(F.collect_set(F.col(code).cast("string"))), ",").alias("signature"))
     many = sets.groupBy("signature").agg((F.count("*") - 1).alias("partners")).where("partners > 0")
     return sets.join(many, "signature")
+
+
+def template_lists(mapping: DataFrame, key: str) -> DataFrame:
+    """(key, priority, template, rows array) to templates, each once by its first priority, and all row codes, sorted. A key has few variants."""
+    first = mapping.groupBy(key, "template").agg(F.min("priority").alias("_p"))
+    listed = first.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("_p", "template"))), lambda x: x["template"]).alias("templates"))
+    codes = mapping.select(key, F.explode("rows").alias("_c")).groupBy(key).agg(F.sort_array(F.collect_set("_c")).alias("row_codes"))
+    return listed.join(codes, key, "left")
+
+
+def batch_scores(values: DataFrame, file: str) -> DataFrame:
+    """(file, value, how) to one row a file: values found by code, by label, and not at all, and the percentage found."""
+    found = F.col("value").isNotNull()
+    g = values.groupBy(file).agg(F.count_if(found & (F.col("how") == "code")).alias("by_code"), F.count_if(found & (F.col("how") == "label")).alias("by_label"), F.count_if(~found).alias("missing"), F.count("*").alias("n"))
+    return g.withColumn("score", F.floor((F.col("by_code") + F.col("by_label")) * 1000 / F.col("n")) / 10)

@@ -586,3 +586,20 @@ def text_functions(spark, d):
     note = F.when(c("p_size") % 2 == 0, "see row R0210").otherwise("see the row")
     path = F.array(F.lit("a"), F.lit("b"), F.lit("c"))
     return table(spark, d, "part").select("p_partkey", text.alphanumeric_key(c("p_brand")).alias("key"), text.title_level(title).alias("level"), text.has_jargon(note).alias("jargon"), text.last_segments(path).alias("last"), text.private_removed(F.concat(F.lit(" "), "p_brand")).alias("clean"))
+
+
+@query("""WITH m AS (SELECT l_partkey AS kpi, l_linenumber AS priority, 'S.' || lpad((l_suppkey % 30)::VARCHAR, 2, '0') || '.01' AS template, unnest(['R' || lpad((l_quantity::BIGINT * 10)::VARCHAR, 4, '0'), 'R' || lpad((l_linenumber * 10)::VARCHAR, 4, '0')]) AS code FROM lineitem),
+t AS (SELECT kpi, template, min(priority) AS p FROM m GROUP BY ALL) SELECT kpi, string_agg(template, ',' ORDER BY p, template) AS templates, (SELECT array_to_string(list_sort(list_distinct(list(code))), ',') FROM m WHERE m.kpi = t.kpi) AS row_codes FROM t GROUP BY kpi""")
+def template_lists(spark, d):
+    """A part is an indicator, its lines the variants of where it is found."""
+    four = lambda x: F.concat(F.lit("R"), F.lpad((x * 10).cast("string"), 4, "0"))
+    m = table(spark, d, "lineitem").select(c("l_partkey").alias("kpi"), c("l_linenumber").alias("priority"), F.concat(F.lit("S."), F.lpad((c("l_suppkey") % 30).cast("string"), 2, "0"), F.lit(".01")).alias("template"), F.array(four(c("l_quantity").cast("long")), four(c("l_linenumber"))).alias("rows"))
+    out = reading.template_lists(m, "kpi")
+    return out.select("kpi", F.array_join("templates", ",").alias("templates"), F.array_join("row_codes", ",").alias("row_codes"))
+
+
+@query(K + "SELECT company_id, count(*) FILTER (value IS NOT NULL AND year % 3 <> 0) AS by_code, count(*) FILTER (value IS NOT NULL AND year % 3 = 0) AS by_label, count(*) FILTER (value IS NULL) AS missing, count(*) AS n, floor(count(value) * 1000 / count(*)::DOUBLE) / 10 AS score FROM kpis GROUP BY 1")
+def batch_scores(spark, d):
+    """Every third year's figures were found by their labels."""
+    k = kpis(spark, d).select("company_id", "value", F.when(c("year") % 3 == 0, "label").otherwise("code").alias("how"))
+    return reading.batch_scores(k, "company_id")
