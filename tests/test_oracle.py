@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from tessera.plans import changes, chunks, domain, fusion, inventory, more, official, repairs, reports, statements, structure, words  # noqa: F401
+from tessera.plans import changes, chunks, controls, domain, exports, fusion, inventory, more, official, repairs, reports, statements, structure, words  # noqa: F401
 from tessera.plans.queries import QUERIES, SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
