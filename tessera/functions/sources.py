@@ -34,8 +34,9 @@ def technical(text: Column, explained: str) -> Column:
     return F.coalesce(F.greatest(lone, *[text.rlike(p) for p in JARGON]) | (F.regexp_count(text, F.lit(TEMPLATE)) > F.regexp_count(text, F.lit(explained))), F.lit(False))
 
 
-def simple_source(trace: Column, fixed: list[tuple[str, str]], tables: dict[str, str], chapters: dict[str, str], notes: list[tuple[str, str]], explained: str = r"Official table S\.\d{2}\.\d{2}\b") -> tuple[Column, Column]:
-    """(text, fault) of a technical trace: where the figure stands, then what a reader should know.
+def simple_source(trace: Column, fixed: list[tuple[str, str]], tables: dict[str, str], chapters: dict[str, str], notes: list[tuple[str, str]], explained: str = r"Official table S\.\d{2}\.\d{2}\b") -> Column:
+    """A struct (text, fault) of a technical trace (a column of its own, for it is looked at many times): where the figure
+    stands, then what a reader should know.
 
     fixed: (start, text): a trace that starts so is said in these words. Else the place is the chapter in front, or the
     first template by its name, and the texts of all notes (pattern, text) that hit follow, each once; $1 in a note is
@@ -49,8 +50,9 @@ def simple_source(trace: Column, fixed: list[tuple[str, str]], tables: dict[str,
     text = F.concat(place, F.when(rest != "", F.concat(F.lit(" — "), rest)).otherwise(""))
     for start, words in reversed(fixed):
         text = F.when(trace.startswith(start), words).otherwise(text)
-    fault = F.when(trace.isNull(), None).when(text.isNull(), "unknown place").when(technical(text, explained), "still technical")
-    return F.when(fault.isNull(), text), fault
+    fault = lambda x: F.when(x.isNull(), "unknown place").when(technical(x, explained), "still technical")
+    told = F.transform(F.array(text), lambda x: F.struct(x.alias("text"), fault(x).alias("fault")))[0]  # the text is made once
+    return F.when(trace.isNull(), F.struct(F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("fault"))).otherwise(F.transform(F.array(told), lambda t: F.struct(F.when(t["fault"].isNull(), t["text"]).alias("text"), t["fault"].alias("fault")))[0])
 
 
 def prefixed_label(label: Column, prefix: str) -> Column:

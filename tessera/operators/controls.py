@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources.files import checkpoints
+
 #: One unit of the last printed decimal, for 0 to 3 decimals.
 _LAST = [1.0, 0.1, 0.01, 0.001]
 
@@ -62,10 +64,11 @@ def section_controls(lines: DataFrame, amounts: DataFrame, key: list[str], scale
     that is a picture) can't be controlled: its lines fail, say so, and have no identity. Null values and amounts are
     left out, repeated amounts count once, empty tables give no rows."""
     at = [*key, "section"]
-    lines = lines.where("value IS NOT NULL").select(*at, "idx", F.col("value").cast("double").alias("value"))
-    amounts = amounts.where("amount IS NOT NULL").select(*at, F.col("amount").cast("double").alias("amount"), "decimals").distinct()
+    checkpoints(lines.sparkSession)  # lines, amounts and what prints them are each read several times, and made once
+    lines = lines.where("value IS NOT NULL").select(*at, "idx", F.col("value").cast("double").alias("value")).checkpoint()
+    amounts = amounts.where("amount IS NOT NULL").select(*at, F.col("amount").cast("double").alias("amount"), "decimals").distinct().checkpoint()
     sections = amounts.select(*at).distinct().withColumn("_seen", F.lit(True))
-    printed = printed_lines(lines, amounts, at, scales).join(sections, at, "left").withColumn("controllable", F.col("_seen").isNotNull())
+    printed = printed_lines(lines, amounts, at, scales).join(sections, at, "left").withColumn("controllable", F.col("_seen").isNotNull()).checkpoint()
     sums = gross_share_net(printed.where("controllable"), amounts, at)
     adds = F.coalesce(F.col("share").isNotNull(), F.lit(False))
     j = printed.join(sums.select(*at, "share"), at, "left")

@@ -140,8 +140,9 @@ def simple_sources(spark, d):
     place = F.when(k == 0, "S.23.01.01").when(k == 1, "S.25.01.22.01").when(k == 2, "D.2 — text").when(k == 3, "Kept by hand").when(k == 4, "NULL: within another item").when(k == 5, "S.99.01.01").otherwise("S.02.01.02")
     place = F.when(k == 1, "S.25.01.22").otherwise(place)
     trace = F.concat(place, F.when(m == 1, " R0010 rendered image, rendered image").when(m == 2, F.concat(F.lit(" C0010, "), c("l_linenumber").cast("string"), F.lit(" lines found, confirmed p.12 and p.13"))).when(m == 3, " printed '-'").when(m == 4, " tier_1: sum of the tiers = total").otherwise(" own_funds"))
-    text, fault = sources.simple_source(trace, [("NULL: within", "No figure of its own.")], _TABLES, _CHAPTERS, _NOTES_OF)
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", text.alias("text"), fault.alias("fault"))
+    x = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", trace.alias("trace"))
+    said = sources.simple_source(c("trace"), [("NULL: within", "No figure of its own.")], _TABLES, _CHAPTERS, _NOTES_OF)
+    return x.select("l_orderkey", "l_linenumber", said.alias("said")).select("l_orderkey", "l_linenumber", "said.*")
 
 
 @query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'Premiums of ' || p_name WHEN p_name LIKE '%premiu%' THEN p_name ELSE 'Premiums: ' || p_name END AS label, p_size % 5 = 0 OR p_size % 5 = 1 AS technical FROM part")

@@ -145,7 +145,7 @@ def test_texts_for_readers(spark):
     assert one("ﬁ x １", sources.compatible(F.col("t")))[0] == "fi x 1"
     assert one(None, sources.compatible(F.col("t")))[0] is None
     notes = [(r"(\d+) lines", "$1 lines read"), ("image", "from a picture"), ("bad", "see own_funds")]
-    simple = lambda t: tuple(one(t, *sources.simple_source(F.col("t"), [("Own", "By hand.")], {"23.01": "own funds"}, {"E.1": "funds"}, notes)))
+    simple = lambda t: tuple(one(t, sources.simple_source(F.col("t"), [("Own", "By hand.")], {"23.01": "own funds"}, {"E.1": "funds"}, notes))[0])
     assert simple("S.23.01.22 image, 12 lines\nmore") == ("Official table S.23.01 (own funds of the group) — 12 lines read; from a picture", None)
     assert simple("E.1 — x") == ("Report, chapter E.1 (funds)", None)
     assert simple("Own work") == ("By hand.", None) and simple(None) == (None, None)
