@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import holds_tokens, name_tokens
+from tessera.functions.text import name_tokens
 
 REPAIRED, SOUND, SCOPE = "repaired", "sound", "out of scope"
 
@@ -13,14 +13,18 @@ REPAIRED, SOUND, SCOPE = "repaired", "sound", "out of scope"
 def matched(rows: DataFrame, reference: list[tuple[str, str]], stop: list[str] = ()) -> DataFrame:
     """(table, row_no, label) with matches, the places in ``reference`` (name, key) whose words the label holds side by side, and kind: total, empty, unknown, single or merged.
 
-    A reference is a fixed list, told in the plan; a name whose words lie within a longer one that matches counts too."""
-    words = name_tokens(F.coalesce("label", F.lit("")), list(stop))
-    rows = rows.withColumn("_words", words)
-    sought = [name_tokens(F.lit(name), list(stop)) for name, _ in reference]
-    found = F.array_compact(F.array(*[F.when(holds_tokens(F.col("_words"), s), F.lit(i)) for i, s in enumerate(sought)]))
+    A reference is a fixed list, told in the plan as words that were cut once; a label is cut once, too. A name whose words lie within a longer one that matches counts too."""
+    padded = lambda x: F.when(F.size(x) > 0, F.concat(F.lit(" "), F.array_join(x, " "), F.lit(" ")))
+    names = rows.sparkSession.range(1).select(*[padded(name_tokens(F.lit(name), list(stop))).alias(f"n{i}") for i, (name, _) in enumerate(reference)]).first()
+    sought = F.array(*[F.lit(n).cast("string") for n in names])
+    text = F.trim(F.coalesce("label", F.lit("")))
+    own = F.transform(F.array(name_tokens(F.coalesce("label", F.lit("")), list(stop))), lambda w: F.struct(F.coalesce(F.get(w, F.lit(0)), F.lit("")).alias("first"), padded(w).alias("words")))
+    held = lambda w: F.filter(F.transform(sought, lambda s, i: F.when(w["words"].contains(s), i)), lambda i: i.isNotNull())
+    told = F.transform(own, lambda w: F.struct(held(w).alias("matches"), w["first"].alias("_first")))
+    rows = rows.select("*", F.inline(told))  # a generator, so that no later filter or column does the work again
     n = F.size("matches")
-    kind = F.when(F.element_at(F.concat(F.col("_words"), F.array(F.lit(""))), 1) == "total", "total").when(F.trim(F.coalesce("label", F.lit(""))) == "", "empty").when(n == 0, "unknown").when(n == 1, "single").otherwise("merged")
-    return rows.withColumn("matches", found).withColumn("kind", kind).drop("_words")
+    kind = F.when(F.col("_first") == "total", "total").when(text == "", "empty").when(n == 0, "unknown").when(n == 1, "single").otherwise("merged")
+    return rows.withColumn("kind", kind).drop("_first")
 
 
 def flagged_labels(rows: DataFrame) -> DataFrame:
@@ -37,13 +41,13 @@ def diagnosed(rows: DataFrame, least: int) -> DataFrame:
     single = F.col("kind") == "single"
     place = F.when(single, F.element_at("matches", 1))
     before = F.last(place, ignorenulls=True).over(Window.partitionBy("table_id").orderBy("row_no").rowsBetween(Window.unboundedPreceding, -1))
-    w = rows.withColumn("_place", place).withColumn("_ok", ~single | F.coalesce(place > before, F.lit(True)))
     at = lambda kind: F.when(F.col("kind") == kind, F.col("row_no"))
-    one = w.groupBy("table_id").agg(F.count_if(single).alias("_singles"), F.bool_and("_ok").alias("_rising"), *[F.count_if(F.col("kind") == k).alias(f"_{k}") for k in ("empty", "unknown", "merged")], F.min(at("empty")).alias("empty_row"), F.min(at("merged")).alias("merged_row"), F.max(F.when(F.col("kind") == "merged", F.col("matches"))).alias("_named"))
+    whole = Window.partitionBy("table_id")
+    ends = [F.min(at(k)).over(whole) for k in ("empty", "merged")]
+    w = rows.drop("label").withColumns({"_place": place, "_ok": ~single | F.coalesce(place > before, F.lit(True)), "_lo": F.least(*ends), "_hi": F.greatest(*ends)})
     c = F.col
-    near = w.join(one.select("table_id", F.least("empty_row", "merged_row").alias("_lo"), F.greatest("empty_row", "merged_row").alias("_hi")).where("_lo IS NOT NULL AND _hi IS NOT NULL"), "table_id")
-    context = near.groupBy("table_id").agg(F.max(F.when(c("row_no") < c("_lo"), c("_place"))).alias("_before"), F.min(F.when(c("row_no") > c("_hi"), c("_place"))).alias("_after"))
-    j = one.join(context, "table_id", "left")
+    context = [F.max(F.when(c("row_no") < c("_lo"), c("_place"))).alias("_before"), F.min(F.when(c("row_no") > c("_hi"), c("_place"))).alias("_after")]
+    j = w.groupBy("table_id").agg(F.count_if(single).alias("_singles"), F.bool_and("_ok").alias("_rising"), *[F.count_if(c("kind") == k).alias(f"_{k}") for k in ("empty", "unknown", "merged")], F.min(at("empty")).alias("empty_row"), F.min(at("merged")).alias("merged_row"), F.max(F.when(c("kind") == "merged", c("matches"))).alias("_named"), *context)
     missing = F.array(c("_before") + 1, c("_before") + 2)
     status = (
         F.when(~c("_rising") | (c("_singles") < least), SCOPE).when((c("_empty") == 0) & (c("_merged") == 0) & (c("_unknown") == 0), SOUND).when(c("_unknown") > 0, "unknown label")

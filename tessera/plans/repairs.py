@@ -17,7 +17,9 @@ REFERENCE = [(name, name) for name in "North Coast,Upper Valley,Lake Country,Old
 
 
 def _tables(spark, d) -> DataFrame:
-    """A table a customer: eight entries of the list and a total; by customer sound, or with one trouble or other."""
+    """A table a customer: eight entries of the list and a total; by customer sound, or with one trouble or other.
+
+    Customers are dealt by table before their rows are made, so what is done to a table moves no row again."""
     k = c("c_custkey")
     names = F.array(*[F.lit(n) for n, _ in REFERENCE])
     entry = lambda i: F.get(names, (k % 5 + i).cast("int"))
@@ -27,7 +29,7 @@ def _tables(spark, d) -> DataFrame:
     label = F.when(c("i") == 8, "TOTAL").when((kind == 1) & upper, "").when((kind == 1) & lower, both).when((kind == 2) & upper, both).when((kind == 2) & lower, " ")
     label = label.when((kind == 3) & upper, "").when((kind == 3) & lower, F.concat(entry(F.lit(4)), F.lit(" & "), entry(F.lit(6)))).when((kind == 4) & upper, "Somewhere else").when((kind == 5) & (upper | (c("i") == 6)), "")
     label = label.when((kind == 6) & (c("i") == 1), "").when((kind == 6) & lower, both).when((kind == 7) & (c("i") == 0), "").when((kind == 7) & (c("i") == 1), F.concat(entry(F.lit(0)), F.lit(" "), entry(F.lit(1)))).when((kind == 8) & (c("i") == 2), entry(F.lit(7)))
-    return table(spark, d, "customer").select(c("c_custkey").alias("table_id"), "c_custkey", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("i")).select("table_id", c("i").alias("row_no"), label.otherwise(plain).alias("label"))
+    return table(spark, d, "customer").select("c_custkey").repartition("c_custkey").select(c("c_custkey").alias("table_id"), "c_custkey", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("i")).select("table_id", c("i").alias("row_no"), label.otherwise(plain).alias("label"))
 
 
 _NAMES = "[" + ", ".join(f"'{n}'" for n, _ in REFERENCE) + "]"
