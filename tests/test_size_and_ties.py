@@ -17,3 +17,13 @@ def test_labels_are_matched_once(spark):
     for plan in (plan_of(repair.flagged_labels(found)), plan_of(repair.diagnosed(found, 5))):
         assert plan.count("translate(") <= 2
     assert [tuple(r) for r in found.select("matches", "kind").collect()] == [([12], "single")]
+
+
+def test_closest_in_size_among_equal_sizes(spark):
+    """Of more equal sizes than are kept the least companies come, below the reference, above it and at its own."""
+    rows = [("a", i, 9.0) for i in range(1, 6)] + [("a", 10, 10.0)] + [("a", 20 + i, 12.0) for i in range(3)] + [("b", 30 + i, 1.0) for i in range(6)]
+    x = spark.createDataFrame(rows, "peer_group string, company_id int, size double")
+    got = {(r["ref"], r["place"]): r["company_id"] for r in comparability.closest_in_size(x, x.where(F.col("company_id").isin(10, 22, 35)), 3).collect()}
+    assert [got[10, p] for p in (1, 2, 3)] == [1, 2, 3]
+    assert [got[22, p] for p in (1, 2, 3)] == [20, 21, 10]
+    assert [got[35, p] for p in (1, 2, 3)] == [30, 31, 32]
