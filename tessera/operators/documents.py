@@ -64,7 +64,8 @@ def hamming_clusters(hashes: DataFrame, most: int, bits: int = 64) -> DataFrame:
     """(ref, phash long) to (ref, canonical): groups of pictures within ``most`` bits, by chains; the least ref stands for each.
 
     Of ``most`` + 2 bands two hashes within ``most`` bits share two at least, so pairs of bands find all pairs, and a
-    bucket of two bands holds few that don't belong; equal hashes are one node. A null hash is alone."""
+    bucket of two bands holds few that don't belong; equal hashes are one node. A null hash is alone. Joins
+    are merges: broadcasts would lay hashes and edges in the driver."""
     nodes = hashes.where("phash IS NOT NULL").groupBy("phash").agg(F.min("ref").alias("node"))
     count = most + 2
     cuts = [bits * i // count for i in range(count + 1)]
@@ -74,6 +75,6 @@ def hamming_clusters(hashes: DataFrame, most: int, bits: int = 64) -> DataFrame:
     x, y = keyed.alias("x"), keyed.alias("y")
     near = F.bit_count(F.col("x.phash").bitwiseXOR(F.col("y.phash"))) <= most
     same = (F.col("x.band") == F.col("y.band")) & (F.col("x.a") == F.col("y.a")) & (F.col("x.b") == F.col("y.b")) & (F.col("x.node") < F.col("y.node"))
-    edges = x.join(y, same & near).select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct()
-    found = nodes.join(components(edges), "node", "left").select("phash", F.coalesce("component", "node").alias("canonical"))
-    return hashes.join(found, "phash", "left").select("ref", F.coalesce("canonical", "ref").alias("canonical"))
+    edges = x.join(y.hint("merge"), same & near).select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct()
+    found = nodes.join(components(edges).hint("merge"), "node", "left").select("phash", F.coalesce("component", "node").alias("canonical"))
+    return hashes.join(found.hint("merge"), "phash", "left").select("ref", F.coalesce("canonical", "ref").alias("canonical"))

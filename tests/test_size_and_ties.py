@@ -27,3 +27,13 @@ def test_closest_in_size_among_equal_sizes(spark):
     assert [got[10, p] for p in (1, 2, 3)] == [1, 2, 3]
     assert [got[22, p] for p in (1, 2, 3)] == [20, 21, 10]
     assert [got[35, p] for p in (1, 2, 3)] == [30, 31, 32]
+
+
+def test_picture_clusters_broadcast_nothing(spark):
+    """Neither hashes nor components are laid in the driver for a join."""
+    from tessera.operators import documents
+
+    x = spark.createDataFrame([(1, 5), (2, 5), (3, 7), (4, 1 << 40)], "ref long, phash long")
+    found = documents.hamming_clusters(x, 4)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [(1, 1), (2, 1), (3, 1), (4, 1)]
