@@ -37,3 +37,28 @@ def test_picture_clusters_broadcast_nothing(spark):
     found = documents.hamming_clusters(x, 4)
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, found.collect())) == [(1, 1), (2, 1), (3, 1), (4, 1)]
+
+
+def test_dense_topk_in_cells(spark, monkeypatch):
+    """Blocks of queries meet slices of items; copies, odd vectors and filters give what every pair scored gives."""
+    import random
+
+    from tessera.operators import fusion, search
+
+    assert not hasattr(fusion, "passes")  # no pair of a filtered search is scored one by one
+    monkeypatch.setattr(search, "CELL_QUERIES", 7)
+    monkeypatch.setattr(search, "CELL_ITEMS", 20)
+    monkeypatch.setattr(search, "AT_ONCE", 4)
+    r = random.Random(5)
+    vectors = [[r.choice([0.0, 0.5, 1.0, r.random()]) for _ in range(4)] for _ in range(25)]
+    rows = [(i, vectors[i % 25], "ab"[i % 2], 2020 + i % 3 if i % 4 else None) for i in range(90)]
+    rows += [(90, [1.0, None, 1.0, 1.0], "a", 2020), (91, None, "b", 2021), (92, [1.0, float("nan"), 0.0, 0.0], "a", 2022), (93, [], "a", 2020)]
+    items = spark.createDataFrame(rows, "vec_id long, v array<double>, kind string, year int")
+    queries = items.where("vec_id % 3 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.when(F.col("vec_id") % 2 == 0, F.col("year")).alias("q_year"))
+    pairs = queries.crossJoin(items).where("query_id <> vec_id").withColumn("score", F.round(search.dot(F.col("q"), F.col("v")), 6))
+    told = lambda x, *c: sorted((str(tuple(row)) for row in x.select(*c).where("score IS NOT NULL").collect()))
+    want = search.ranked(pairs, ["query_id"], 5)
+    assert told(search.dense_topk(queries, items, 5), "query_id", "vec_id", "score", "rank") == told(want, "query_id", "vec_id", "score", "rank")
+    want = search.ranked(pairs.where("q_year IS NULL OR q_year = year"), ["query_id", "kind"], 3)
+    got = search.ranked(search.contenders(queries, items, 3, ["kind"], ["year"]).withColumn("score", F.round("score", 6)), ["query_id", "kind"], 3)
+    assert told(got, "query_id", "kind", "vec_id", "score", "rank") == told(want, "query_id", "kind", "vec_id", "score", "rank")
