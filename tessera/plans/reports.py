@@ -35,7 +35,8 @@ def report_pages(lines: DataFrame) -> DataFrame:
     text = text.when(n == 4, F.concat(F.lit("rate "), F.floor(c("l_discount") * 100 + 0.5).cast("string"), F.lit(" %"))).when(n == 5, F.concat(F.lit("quantity of "), c("l_quantity").cast("long").cast("string"))).otherwise(F.concat(F.lit("R0060 total "), F.replace(F.format_number(cents / 1000, 3), F.lit(","), F.lit(" "))))
     own = lines.select("company_id", "page_no", n.alias("n"), text.alias("line"))
     again = lines.where(n <= 2).select("company_id", (c("page_no") + 1).alias("page_no"), (n + 10).alias("n"), F.when(n == 1, F.concat(F.lit("carried "), _grouped(cents))).otherwise(F.concat(F.lit("before: best estimate "), cents.cast("string"))).alias("line"))
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n")
+    told = F.struct("n", source_pages.plain_spaces(c("line")).alias("plain"), "line")  # lines of a number stand in order of what they say, whatever their spaces
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(told)), lambda x: x["line"]), "\n")
     return own.unionByName(again).groupBy("company_id", "page_no").agg(joined.alias("text"))
 
 
