@@ -8,12 +8,26 @@ from pyspark.sql import functions as F
 from tessera.operators.ordering import best_first
 
 
+#: Points, and ranges, of a bucket that meet in one cell.
+CELL = 4096
+
+
 def range_join(points: DataFrame, ranges: DataFrame, by: list[str], point: str, low: str, high: str, width: int) -> DataFrame:
-    """Points with the ranges that hold them, both ends included. A range is dealt to the buckets of ``width`` it touches."""
+    """Points with the ranges that hold them, both ends included. A range is dealt to the buckets of ``width`` it touches.
+
+    A bucket's points and ranges are dealt into slices of some ``CELL`` by their hash, and each slice of points meets each
+    of ranges in a cell of its own, so that a bucket that holds much is many small groups. Sides are merged, not broadcast,
+    for few input files would leave all pairs to few tasks."""
     bucket = lambda c: F.floor(F.col(c) / width)
     left = points.withColumn("_b", bucket(point))
     right = ranges.withColumn("_b", F.explode(F.sequence(bucket(low), bucket(high))))
-    return left.join(right, [*by, "_b"]).where((F.col(point) >= F.col(low)) & (F.col(point) <= F.col(high))).drop("_b")
+    key = [*by, "_b"]
+    slices = lambda rows, name: rows.groupBy(*key).agg(F.ceil(F.count("*") / CELL).alias(name))
+    sizes = slices(left, "_m").join(slices(right, "_n"), key)
+    dealt = lambda rows, own, other, mine, theirs: rows.withColumn("_h", F.xxhash64(*rows.columns)).join(sizes, key).withColumn(own, F.pmod("_h", mine)).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(theirs) - 1))).drop("_h", "_m", "_n")
+    cells = [*key, "_i", "_j"]
+    met = dealt(left, "_i", "_j", "_m", "_n").join(dealt(right, "_j", "_i", "_n", "_m").hint("merge"), cells)
+    return met.where((F.col(point) >= F.col(low)) & (F.col(point) <= F.col(high))).drop("_b", "_i", "_j")
 
 
 def nearest(values: DataFrame, targets: DataFrame, by: list[str], x: str, tx: str, key: list[str], tie: str) -> DataFrame:
