@@ -8,15 +8,24 @@ from pyspark.sql import functions as F
 SPACES = r"[\s    ]"
 
 
+def _bare(raw: Column) -> Column:
+    text = F.replace(F.regexp_replace(raw, SPACES, ""), F.lit(","), F.lit("."))
+    return F.regexp_replace(F.regexp_replace(text, "^[−–](?=.)", "-"), r"^\((.+)\)$", "-$1")
+
+
+def _value(body: Column) -> Column:
+    value = F.regexp_replace(body, "%$", "").try_cast("double")
+    return F.when(body.isin("-", "–", "−"), F.lit(0.0)).when(body.endswith("%"), value / 100).otherwise(value)
+
+
 def parse_number(raw: Column) -> Column:
     """A printed figure: any spaces between digits, comma or point, (x) negative, x% a fraction, a lone dash 0; else null."""
-    text = F.regexp_replace(raw, SPACES, "")
-    text = F.replace(text, F.lit(","), F.lit("."))
-    text = F.regexp_replace(text, "^[−–](?=.)", "-")
-    body = F.regexp_replace(text, r"^\((.*)\)$", "-$1")
-    share = body.endswith("%")
-    value = F.regexp_replace(body, "%$", "").try_cast("double")
-    return F.when(text.isin("-", "–", "−"), F.lit(0.0)).when(share, value / 100).otherwise(value)
+    return _value(_bare(raw))
+
+
+def parse_numbers(raw: Column) -> Column:
+    """The figures of an array, each text being stripped once."""
+    return F.transform(F.transform(raw, _bare), _value)
 
 
 def is_fragment(text: Column) -> Column:

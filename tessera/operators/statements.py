@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.numbers import parse_number
+from tessera.functions.numbers import parse_number, parse_numbers
 from tessera.functions.text import label_key
 
 #: A line is of figures if it has nothing but digits and what stands beside them.
@@ -25,17 +25,21 @@ def folded(lines: DataFrame, key: list[str]) -> DataFrame:
     Words in a row make one label. Lines of figures after it add their columns to its values, until words come or a line
     that can't be read, which ends the pair; what follows that, or comes before any label, belongs to none. A label
     whose first line of figures can't be read makes no pair. Blank lines don't count. A label is in lower case without
-    accents, spaces as one. Transitions between words and figures are counted, so no state is carried from line to line."""
+    accents, spaces as one. Transitions between words and figures are counted, so no state is carried from line to line; a pair's
+    lines are listed in their order by a window, so no list is sorted or kept in a map."""
     rows = lines.where(F.trim("line") != "").withColumn("_figures", F.trim("line").rlike(FIGURES))
-    rows = rows.withColumn("_read", F.when(F.col("_figures"), F.transform(cells(F.col("line")), lambda x: parse_number(F.trim(x)))))
-    rows = rows.withColumn("_bad", F.col("_figures") & F.exists("_read", lambda x: x.isNull()))
+    rows = rows.withColumn("_read", F.when(F.col("_figures"), parse_numbers(cells(F.col("line")))))
     w = Window.partitionBy(*key).orderBy("line_no")
+    bad = F.col("_figures") & F.exists("_read", lambda x: x.isNull())
     starts = ~F.col("_figures") & F.coalesce(F.lag("_figures").over(w), F.lit(True))
-    rows = rows.withColumn("_run", F.sum(starts.cast("int")).over(w))
-    broken = F.max("_bad").over(Window.partitionBy(*key, "_run").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("_broken", broken)
-    listed = lambda value, cond: F.transform(F.sort_array(F.collect_list(F.when(cond, F.struct("line_no", value.alias("v"))))), lambda x: x["v"])
-    pairs = rows.where("_run > 0").groupBy(*key, "_run").agg(listed(F.trim("line"), ~F.col("_figures")).alias("_words"), F.flatten(listed(F.col("_read"), F.col("_figures") & ~F.col("_broken"))).alias("values"))
+    rows = rows.withColumns({"_bad": bad, "_starts": starts})
+    so_far = lambda flag: F.max(F.when(F.col(flag), F.col("line_no"))).over(w)
+    rows = rows.withColumns({"_run": F.sum(F.col("_starts").cast("int")).over(w), "_broken": F.coalesce(so_far("_bad") >= so_far("_starts"), F.lit(False))}).where("_run > 0")
+    pair = Window.partitionBy(*key, "_run").orderBy("line_no")
+    whole = pair.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    listed = lambda value, cond: F.collect_list(F.when(cond, value)).over(whole)
+    rows = rows.select(*key, "_run", F.row_number().over(pair).alias("_at"), listed(F.trim("line"), ~F.col("_figures")).alias("_words"), listed(F.col("_read"), F.col("_figures") & ~F.col("_broken")).alias("_values"))
+    pairs = rows.where("_at = 1").select(*key, "_run", "_words", F.flatten("_values").alias("values"))
     return pairs.where(F.size("values") > 0).select(*key, F.col("_run").alias("pair_no"), label_key(F.array_join("_words", " ")).alias("label"), "values")
 
 
