@@ -21,11 +21,11 @@ def page_words(spark, d) -> DataFrame:
     column = 100.0 * (c("q") % 3 + 2)
     lift = F.when(c("disc") == 4, -6.0).otherwise(0.5)
     mine = [
-        box(20.0, row, F.format_string("R%04d", c("n") * 10)),
+        box(20.0, row, F.concat(F.lit("R"), F.lpad((c("n") * 10).cast("string"), 4, "0"))),
         box(column, row + lift, F.floor(c("v") / 1000).cast("string")),
         box(column + 19, row + lift, F.lpad((c("v") % 1000).cast("string"), 3, "0")),
         F.when(c("disc") > 7, box(column + 130, row, F.concat(c("disc").cast("string"), F.lit("%")))),
-        F.when(c("disc") == 5, box(20.0, row + 200, F.format_string("R%04d", c("n") * 10))),
+        F.when(c("disc") == 5, box(20.0, row + 200, F.concat(F.lit("R"), F.lpad((c("n") * 10).cast("string"), 4, "0")))),
     ]
     body = li.select("page", "q", "disc", F.explode(F.array_compact(F.array(*mine))).alias("b")).select("page", "q", "disc", "b.*")
     order = li.select("page").distinct().where("page % 7 <> 0")
@@ -54,7 +54,9 @@ _R = lambda x: f"round({x}, 6) AS {x}"
 @query(f"WITH RECURSIVE {_WORDS} SELECT page, {', '.join(map(_R, words.BOX))}, text, copies FROM dd")
 def duplicate_words(spark, d):
     x = words.deduplicated(page_words(spark, d), ["page"])
-    return x.select("page", *[F.round(b, 6).alias(b) for b in words.BOX], "text", "copies")
+    # a multiple of 1/64 has six decimals at most, and stays as it is
+    rounded = [F.when(c(b) * 64 == F.rint(c(b) * 64), c(b)).otherwise(F.round(b, 6)).alias(b) for b in words.BOX]
+    return x.select("page", *rounded, "text", "copies")
 
 
 _CELLS = """hd AS (SELECT page, text AS col_code, arg_max((x0 + x1) / 2, (y0, x0, x1)) AS centre, min(y1) AS y1 FROM dd WHERE regexp_matches(text, '^C\\d{4}$') GROUP BY ALL), bd AS (SELECT page, min(y1) AS top FROM hd GROUP BY 1),
@@ -69,12 +71,12 @@ ce AS (SELECT page, row_code, col_code, arg_max(value, run) AS value FROM pl GRO
 
 @query(f"WITH RECURSIVE {_WORDS}, {_CELLS} SELECT page, row_code, col_code, value FROM rw LEFT JOIN ce USING (page, row_code)")
 def table_cells(spark, d):
-    return words.native_cells(words.deduplicated(page_words(spark, d), ["page"]), ["page"], COLUMNS)
+    return words.native_cells(page_words(spark, d), ["page"], COLUMNS, near=1.0)
 
 
 @query(f"WITH RECURSIVE {_WORDS}, {_CELLS}, pc AS (SELECT page, list_sort(list_distinct(list(row_code))) AS f FROM rw GROUP BY 1) SELECT page, 7 AS n_expected, len(f)::INT AS n_found, array_to_string(list_filter({ROWS}, lambda x: NOT list_contains(f, x)), ',') AS missing, array_to_string(list_filter(f, lambda x: NOT list_contains({ROWS}, x)), ',') AS unexpected FROM pc")
 def table_completeness(spark, d):
-    return words.completeness(table_cells(spark, d), ["page"], ROWS)
+    return words.completeness(words.native_rows(page_words(spark, d), ["page"], near=1.0), ["page"], ROWS)
 
 
 @query(f"WITH RECURSIVE {_WORDS}, {_CELLS}, ct AS (SELECT page // 5 AS sheet, page, count(value) AS n FROM rw LEFT JOIN ce USING (page, row_code) GROUP BY ALL), cw AS (SELECT *, count(*) FILTER (n > 0) OVER (PARTITION BY sheet) AS filled_pages, min(page) FILTER (n > 0) OVER (PARTITION BY sheet) AS first_filled FROM ct) SELECT sheet, page, filled_pages, first_filled FROM cw WHERE n = 0 AND filled_pages > 0")
