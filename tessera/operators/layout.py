@@ -34,8 +34,12 @@ def nearest_below(labels: DataFrame, numbers: DataFrame, page: list[str], reach:
 
 def within_window(values: DataFrame, anchors: DataFrame, page: list[str], window: int) -> DataFrame:
     """Occurrences of values within ``window`` characters of an anchor; places in buckets of that width bound the join."""
+    # a bucket's anchors are one list, no longer than places and names allow, so that a value meets them in one row
     a = anchors.select(*page, "anchor", F.col("pos").alias("_p"), F.explode(F.sequence(F.floor(F.col("pos") / window) - 1, F.floor(F.col("pos") / window) + 1)).alias("_b"))
-    return values.withColumn("_b", F.floor(F.col("pos") / window)).join(a, [*page, "_b"]).where(F.abs(F.col("pos") - F.col("_p")) <= window).groupBy(*page, "anchor").agg(F.count_distinct("value", "pos").alias("hits"))
+    a = a.groupBy(*page, "_b").agg(F.collect_set(F.struct("anchor", "_p")).alias("_a"))
+    v = values.where("pos IS NOT NULL").select(*page, "value", "pos").distinct().withColumn("_b", F.floor(F.col("pos") / window))
+    near = F.array_distinct(F.transform(F.filter("_a", lambda x: F.abs(F.col("pos") - x["_p"]) <= window), lambda x: x["anchor"]))
+    return v.join(a, [*page, "_b"]).select(*page, "value", F.explode(near).alias("anchor")).groupBy(*page, "anchor").agg(F.count("value").alias("hits"))
 
 
 def articles(texts: DataFrame, marker: str) -> DataFrame:
