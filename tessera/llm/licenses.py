@@ -85,11 +85,21 @@ class Weights:
         return out
 
 
-def _cosines(spark: SparkSession, segments: DataFrame, templates: tuple[tuple[str, str], ...], least: float) -> DataFrame:
-    """(key, segment, text) to (key, segment, words, licence, similarity): the best template of ``least`` or more."""
-    w = Weights(templates, FULL if templates is TEMPLATES else ())
-    cues = "|".join(re.escape(x) for x in sorted(w.cues(least)))
-    near = segments.where(F.lower("text").rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{cues})(?![\p{{L}}\p{{N}}])"))
+def _cued(text: Column, w: Weights, least: float) -> Column:
+    """Has a text one of the terms without which it can't come to ``least``? True of a text if it is of a part of it."""
+    by: dict[str, list[str]] = {}
+    for x in sorted(w.cues(least)):
+        by.setdefault(x[0], []).append(re.escape(x[1:]))
+    # by first letter, so that a word is held against few of them
+    cues = "|".join(f"{re.escape(a)}(?:{'|'.join(rest)})" for a, rest in by.items())
+    return F.lower(text).rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{cues})(?![\p{{L}}\p{{N}}])")
+
+
+def _cosines(spark: SparkSession, segments: DataFrame, w: Weights, least: float) -> DataFrame:
+    """(key, segment, text) to (key, segment, words, licence, similarity): the best template of ``least`` or more.
+
+    Segments are dealt once; their terms, norms and products are counted where they are and never shuffled."""
+    near = segments.where(_cued(F.col("text"), w, least)).repartition("key", "segment").distinct()
     terms = near.select("key", "segment", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))).alias("term"))
     tf = terms.groupBy("key", "segment", "term").agg(F.count("*").alias("tf"))
     idf = spark.createDataFrame(sorted(w.idf.items()), "term string, idf double")
@@ -109,14 +119,18 @@ def _segments(text: Column) -> Column:
     return F.split(text, r"\n|(?<=[.!?])\s+(?=\p{Lu})")
 
 
-def _joined(text: Column) -> Column:
-    """Paragraphs (neighbouring lines joined), their sentences, the leading comment and the whole text, without comment marks."""
-    flat = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, MARK, ""), r"\s+", " "))
-    paragraphs = F.transform(F.split(F.regexp_replace(text, MARK, ""), r"\n{2,}"), flat)
-    lines = F.split(text, "\n")
-    code = F.array_position(F.transform(lines, lambda x: x.rlike(HEADER_LINE)), F.lit(False)).cast("int")
-    header = flat(F.array_join(F.when(code > 0, F.slice(lines, F.lit(1), code - 1)).otherwise(lines), "\n"))
-    return F.array_distinct(F.concat(paragraphs, F.flatten(F.transform(paragraphs, _segments)), F.array(header, flat(text))))
+def _joined(texts: DataFrame) -> DataFrame:
+    """(key, text) to (key, joined): paragraphs (neighbouring lines joined), their sentences, the leading comment and the whole text, without comment marks.
+
+    What several of them need is a column, and made once."""
+    plain = lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))
+    flat = lambda x: plain(F.regexp_replace(x, MARK, ""))
+    bare = texts.select("key", F.split("text", "\n").alias("lines"), F.regexp_replace("text", MARK, "").alias("bare"))
+    # lines are looked at up to the first that is no comment
+    upto = F.aggregate("lines", F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda s, x: F.struct(F.when(s["on"] & x.rlike(HEADER_LINE), s["n"] + 1).otherwise(s["n"]).alias("n"), F.when(s["on"], x.rlike(HEADER_LINE)).otherwise(False).alias("on")))["n"]
+    cut_up = bare.select("key", F.transform(F.split("bare", r"\n{2,}"), flat).alias("paragraphs"), "lines", upto.alias("n"), plain(F.col("bare")).alias("whole"))
+    header = flat(F.array_join(F.slice("lines", F.lit(1), F.col("n")), "\n"))
+    return cut_up.select("key", F.array_distinct(F.concat("paragraphs", F.flatten(F.transform("paragraphs", _segments)), F.array(header, "whole"))).alias("joined"))
 
 
 def scan(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = 0.75, share: float = 0.5, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -130,10 +144,13 @@ def scan(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, l
     with empty parts are read as they are. An empty table gives no rows. Only path, text and the columns to ``carry`` along are read."""
     spark = files.sparkSession
     keyed = files.select("path", F.xxhash64("path", "text").alias("key"), "text", *[F.col(x).alias(f"_c_{x}") for x in carry])
-    segments = keyed.select("key", F.posexplode(_segments(F.col("text"))).alias("segment", "text")).where("text IS NOT NULL")
+    w = Weights(templates, FULL if templates is TEMPLATES else ())
+    # what is taken from a text has no term that the text hasn't
+    told = keyed.select("key", "text").where(_cued(F.col("text"), w, least))
+    segments = told.select("key", F.posexplode(_segments(F.col("text"))).alias("segment", "text")).where("text IS NOT NULL")
     # lines come first; what is joined from them has places below zero and counts by its longest statement
-    joined = keyed.select("key", F.posexplode(_joined(F.col("text"))).alias("segment", "text")).withColumn("segment", -1 - F.col("segment"))
-    found = cut(_cosines(spark, segments.union(joined).distinct(), templates, least), "statements")
+    joined = _joined(told).select("key", F.posexplode("joined").alias("segment", "text")).withColumn("segment", -1 - F.col("segment"))
+    found = cut(_cosines(spark, segments.union(joined), w, least), "statements")
     place = F.when(F.col("segment") < 0, (1 << 30) - F.col("segment")).otherwise(F.col("segment"))
     stated = F.greatest(F.sum(F.when(F.col("segment") >= 0, F.col("words"))), F.max("words"))
     own = found.groupBy("key").agg(F.min(F.struct(-F.col("similarity"), place.alias("place"), "licence")).alias("b"), stated.alias("stated"))

@@ -30,3 +30,12 @@ def test_documents_keep_their_ids(spark):
     docs = spark.createDataFrame([(1, "a", "en", MIT), (None, None, "en", "x"), (3, "a", "en", None)], "doc_id long, source string, lang string, text string")
     got = {(r.doc_id, r.source, r.licence) for r in licenses.document_licences(docs).collect()}
     assert got == {(1, "a", "MIT"), (None, None, None), (3, "a", "MIT")}
+
+
+def test_terms_are_counted_where_their_segments_are(spark):
+    """Terms of segments were shuffled four times: distinct rows, counts, norms and products."""
+    rows = spark.createDataFrame([(1, 0, "Licensed under CC BY 4.0."), (1, 0, "Licensed under CC BY 4.0."), (2, -1, "Nothing to say.")], "key long, segment int, text string")
+    found = licenses._cosines(spark, rows, licenses.Weights(licenses.TEMPLATES, licenses.FULL), 0.75)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(key") == 1
+    assert [(x.key, x.segment, x.licence, x.words) for x in found.collect()] == [(1, 0, "CC-BY-4.0", 5)]
