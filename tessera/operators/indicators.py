@@ -123,9 +123,11 @@ def completeness(kpis: DataFrame, names: list[str]) -> DataFrame:
 
 def validated_flags(kpis: DataFrame, found: DataFrame, names: list[str]) -> DataFrame:
     """A listed KPI is validated if all checks whose name holds its name passed; others keep their flag."""
-    per = found.select(*KEY, "passed", F.explode(F.filter(F.array(*[F.when(F.col("check_name").contains(n), F.lit(n)) for n in names]), lambda x: x.isNotNull())).alias("kpi_name"))
-    flags = per.groupBy(*KEY, "kpi_name").agg(F.bool_and("passed").alias("ok"))
-    return kpis.join(flags, [*KEY, "kpi_name"], "left").withColumn("validated", F.coalesce("ok", "validated")).drop("ok")
+    flags = found.groupBy(*KEY).agg(*[F.bool_and(F.when(F.col("check_name").contains(n), F.col("passed"))).alias(f"_ok_{i}") for i, n in enumerate(names)])
+    # one narrow row a company and year is looked up, so that the long table needs neither a shuffle of its own nor a sort
+    j = kpis.join(flags.hint("shuffle_hash"), KEY, "left")
+    ok = F.coalesce(*[F.when(F.col("kpi_name") == n, F.col(f"_ok_{i}")) for i, n in enumerate(names)], F.col("validated")) if names else F.col("validated")
+    return j.withColumn("validated", ok).select(*kpis.columns)
 
 
 def consensus(sources: DataFrame, key: list[str], tolerance: float) -> DataFrame:
