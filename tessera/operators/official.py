@@ -39,6 +39,36 @@ def inputs(kpis: DataFrame) -> DataFrame:
     return got.groupBy(*KEY).agg(*[F.max(F.when(F.col("kpi_name") == n, of)).alias(n) for n in INPUTS])
 
 
+def worked_out(rows: DataFrame, m: str = "m") -> DataFrame:
+    """Adds what the indicators are made of, each a column that is worked out once a row: whole units, sums, ratios (null where not asked)."""
+    c, of, one = F.col, lambda x: F.col(f"{m}.{x}"), F.lit(10**8).cast("decimal(20,0)")
+    effects = {"_fp": "fp_with", "_scr": "scr_with", "_dfv": "d_fp_va", "_dsv": "d_scr_va", "_dft": "d_fp_tr", "_dst": "d_scr_tr"}
+    table = c(m).isNotNull() & of("published_ratio").isNull() & of("fp_with").isNotNull()
+    able = table & c("own_funds").isNotNull() & c("scr_total").isNotNull()
+    x = rows.withColumns({"_table": table, "_able": able, "_published": units(of("published_ratio")), "_ratio": units(c("ratio_scr.value"))})
+    x = x.withColumns({k: F.when(c("_able"), units(F.coalesce(of(v), F.lit(0.0)))) for k, v in effects.items()})
+    agrees = (F.abs(units(of("fp_with")) - units(c("own_funds.value"))) <= 10**6) & (F.abs(units(of("scr_with")) - units(c("scr_total.value"))) <= 10**6)
+    x = x.withColumns({"_agrees": F.coalesce(F.when(c("_able"), agrees), F.lit(False)), "_n": c("_fp") + c("_dft") + c("_dfv"), "_d": c("_scr") + c("_dst") + c("_dsv"), "_n1": c("_fp") + c("_dft"), "_d1": c("_scr") + c("_dst")})
+    gap = lambda n, d, n0, d0: exact_ratio(c(n) * c(d0) - c(n0) * c(d), c(d) * c(d0), 100, 1)
+    ratio = lambda n, d, digits: exact_ratio(c(n), c(d), 100, digits)
+    both = F.coalesce((c("mcr.value") != 0) & (c("scr_total.value") != 0) & c("solo"), F.lit(False))
+    on = lambda a, b: exact_ratio(units(c(f"{a}.value")), units(c(f"{b}.value")), 100, 2)
+    told = c(m).isNotNull() & of("published_ratio").isNotNull()
+    x = x.withColumns({
+        "_told": F.when(told, exact_ratio(c("_published"), one, 1, 1)), "_told_gap": F.when(told, exact_ratio(c("_published") - c("_ratio"), one, 1, 1)),
+        "_without": ratio("_n", "_d", 1), "_impact": gap("_n", "_d", "_n1", "_d1"), "_step_gap": gap("_n1", "_d1", "_fp", "_scr"),
+        "_step0": ratio("_n", "_d", 4), "_step1": ratio("_n1", "_d1", 4), "_step2": ratio("_fp", "_scr", 4),
+        "_margin": on("risk_margin", "best_estimate"), "_both": both, "_mcr": F.when(both, on("mcr", "scr_total")),
+    })
+    total = lambda kind: F.aggregate(_own(kind), F.lit(0).cast("decimal(38,0)"), lambda a, r: (a + units(r["value"])).cast("decimal(38,0)"))
+    return x.withColumns({"_premium": total("premium"), "_claim": total("claim")})
+
+
+def _own(kind: str, lines: str = "lines") -> Column:
+    """Lines of a kind and of class non-life."""
+    return F.filter(F.coalesce(F.col(lines), F.expr("array()")), lambda r: (r["kind"] == kind) & (r["class"] == "non-life"))
+
+
 def long_term(m: str = "m") -> list[Column]:
     """The ratio without long-term measures and what the measures are worth, by one of three ways: the company publishes the
     ratio; it uses no measure; or a table gives the effects, taken away stepwise.
@@ -46,24 +76,18 @@ def long_term(m: str = "m") -> list[Column]:
     Steps have four decimals in the components, the results one. Components from the table are valid if its amounts are
     the reported ones, to 0.01; a published ratio is never valid by itself."""
     c, of = F.col, lambda x: F.col(f"{m}.{x}")
-    there, one, page = c(m).isNotNull(), F.lit(10**8).cast("decimal(20,0)"), of("source_page")
+    there, page = c(m).isNotNull(), of("source_page")
     ratio, published = c("ratio_scr.value"), of("published_ratio")
     told, none = there & published.isNotNull(), there & published.isNull() & of("fp_with").isNull()
-    table = there & published.isNull() & of("fp_with").isNotNull()
     without, impact = "ratio_scr_without_lt", "impact_va"
     rows = [
-        _indicator(without, exact_ratio(units(published), one, 1, 1), "difference", "Ratio without adjustment, as published", 1, None, [_part("Published ratio without adjustment", published, "pct", "+", F.lit(False), page)], told),
-        _indicator(impact, exact_ratio(units(published) - units(ratio), one, 1, 1), "difference", "Ratio without measures - published ratio", 1, None, [_part("Ratio without measures", published, "pct", "+", F.lit(False), page, without), _kpi("ratio_scr", "Published ratio", "-")], told & ratio.isNotNull() & (ratio != 0)),
+        _indicator(without, c("_told"), "difference", "Ratio without adjustment, as published", 1, None, [_part("Published ratio without adjustment", published, "pct", "+", F.lit(False), page)], told),
+        _indicator(impact, c("_told_gap"), "difference", "Ratio without measures - published ratio", 1, None, [_part("Ratio without measures", published, "pct", "+", F.lit(False), page, without), _kpi("ratio_scr", "Published ratio", "-")], told & ratio.isNotNull() & (ratio != 0)),
         _indicator(without, ratio, "difference", "Published ratio, nothing to take away", 1, NONE, [_kpi("ratio_scr", "Published ratio", "+")], none),
         _indicator(impact, F.lit(0.0), "difference", "Ratio without measures - published ratio", 1, NONE, [_part("Ratio without measures", ratio, "pct", "+", c("ratio_scr.validated"), c("ratio_scr.source_page"), without, c("ratio_scr.warning")), _kpi("ratio_scr", "Published ratio", "-")], none & ratio.isNotNull()),
     ]
-    fp, scr, dfv, dsv, dft, dst = (units(F.coalesce(of(x), F.lit(0.0))) for x in ("fp_with", "scr_with", "d_fp_va", "d_scr_va", "d_fp_tr", "d_scr_tr"))
     steps = F.coalesce(of("transitional"), F.lit(False))
-    agrees = (F.abs(units(of("fp_with")) - units(c("own_funds.value"))) <= 10**6) & (F.abs(units(of("scr_with")) - units(c("scr_total.value"))) <= 10**6)
-    agrees = F.coalesce(agrees, F.lit(False))
-    able = table & c("own_funds").isNotNull() & c("scr_total").isNotNull()
-    all_n, all_d, first_n, first_d = fp + dft + dfv, scr + dst + dsv, fp + dft, scr + dst
-    gap = lambda n, d, n0, d0: exact_ratio(n * d0 - n0 * d, d * d0, 100, 1)
+    agrees, able = c("_agrees"), c("_able")
     effect = lambda label, x, op, when=F.lit(True): F.when(when, _part(label, of(x), "MEUR", op, agrees, page))
     parts = [
         _kpi("own_funds", "Own funds", "num", of("fp_with")), effect("Transitional measure, own funds", "d_fp_tr", "num", steps), effect("Adjustment, own funds", "d_fp_va", "num"),
@@ -71,21 +95,19 @@ def long_term(m: str = "m") -> list[Column]:
     ]
     own_valid = c("own_funds.validated") & c("scr_total.validated") & agrees
     remark = F.when(steps, STEPS).otherwise(ADJUSTMENT)
-    step = lambda label, n, d, op, valid, kpi=None: _part(label, exact_ratio(n, d, 100, 4), "pct", op, valid, page, kpi)
-    rows.append(_indicator(without, exact_ratio(all_n, all_d, 100, 1), "ratio", "(own funds + effects) / (requirement + effects) * 100", 100, remark, parts, able))
-    rows.append(_indicator(impact, gap(all_n, all_d, first_n, first_d), "difference", "Ratio without measures - ratio before the adjustment goes", 1, remark, [step("Ratio without measures", all_n, all_d, "+", own_valid, without), step("Ratio before the adjustment goes", first_n, first_d, "-", agrees)], able))
-    rows.append(_indicator("impact_transitional", gap(first_n, first_d, fp, scr), "difference", "Ratio without transitional measure - published ratio", 1, None, [step("Ratio without transitional measure", first_n, first_d, "+", agrees), step("Ratio with measures", fp, scr, "-", agrees)], able & steps))
+    step = lambda label, x, op, valid, kpi=None: _part(label, c(x), "pct", op, valid, page, kpi)
+    rows.append(_indicator(without, c("_without"), "ratio", "(own funds + effects) / (requirement + effects) * 100", 100, remark, parts, able))
+    rows.append(_indicator(impact, c("_impact"), "difference", "Ratio without measures - ratio before the adjustment goes", 1, remark, [step("Ratio without measures", "_step0", "+", own_valid, without), step("Ratio before the adjustment goes", "_step1", "-", agrees)], able))
+    rows.append(_indicator("impact_transitional", c("_step_gap"), "difference", "Ratio without transitional measure - published ratio", 1, None, [step("Ratio without transitional measure", "_step1", "+", agrees), step("Ratio with measures", "_step2", "-", agrees)], able & steps))
     return rows
 
 
 def simple() -> list[Column]:
     """Risk margin over best estimate; the minimum requirement in percent of the full one, of solo companies (column solo)."""
     c = F.col
-    on = lambda a, b: exact_ratio(units(c(f"{a}.value")), units(c(f"{b}.value")), 100, 2)
-    both = F.coalesce((c("mcr.value") != 0) & (c("scr_total.value") != 0) & c("solo"), F.lit(False))
     return [
-        _indicator("margin_on_estimate", on("risk_margin", "best_estimate"), "ratio", "risk margin / best estimate * 100", 100, None, [_kpi("risk_margin", "Risk margin", "num"), _kpi("best_estimate", "Best estimate", "den")], F.lit(True)),
-        _indicator("mcr_pct_of_scr", on("mcr", "scr_total"), "ratio", "MCR / SCR * 100", 100, None, [_kpi("mcr", "MCR", "num"), _kpi("scr_total", "SCR", "den")], both),
+        _indicator("margin_on_estimate", c("_margin"), "ratio", "risk margin / best estimate * 100", 100, None, [_kpi("risk_margin", "Risk margin", "num"), _kpi("best_estimate", "Best estimate", "den")], F.lit(True)),
+        _indicator("mcr_pct_of_scr", c("_mcr"), "ratio", "MCR / SCR * 100", 100, None, [_kpi("mcr", "MCR", "num"), _kpi("scr_total", "SCR", "den")], c("_both")),
     ]
 
 
@@ -94,9 +116,8 @@ def loss_ratio(lines: str = "lines", least: int = 10) -> Column:
 
     Not computed if any line has no class, or the class's premiums are under ``least`` or under a tenth of the company's."""
     x = F.coalesce(F.col(lines), F.expr("array()"))
-    own = lambda kind: F.filter(x, lambda r: (r["kind"] == kind) & (r["class"] == "non-life"))
-    total = lambda kind: F.aggregate(own(kind), F.lit(0).cast("decimal(38,0)"), lambda a, r: (a + units(r["value"])).cast("decimal(38,0)"))
-    premium, claim = total("premium"), total("claim")
+    own = lambda kind: _own(kind, lines)
+    premium, claim = F.col("_premium"), F.col("_claim")
     given = lambda kind: F.exists(x, lambda r: r["kind"] == kind)
     fine = given("premium") & given("claim") & ~F.exists(x, lambda r: r["class"].isNull()) & (premium >= least * 10**8) & (premium * 10 >= units(F.col("premiums.value")))
     part = lambda op: lambda r: F.struct(r["label"], r["value"], F.lit("MEUR"), F.lit(op), F.lit(None), r["page"], r["reread"], F.lit(None)).cast(COMPONENT)
@@ -132,7 +153,7 @@ def official(kpis: DataFrame, measures: DataFrame, lines: DataFrame, solo: DataF
     alone = solo.select("company_id", F.lit(True).alias("solo")).distinct()
     rows = inputs(kpis).join(m, KEY, "left").join(line, KEY, "left").join(alone, "company_id", "left").withColumn("solo", F.coalesce("solo", F.lit(False)))
     found = F.array_compact(F.array(*long_term(), *simple(), loss_ratio()))
-    return finalised(rows.select(*KEY, F.explode(found).alias("r")).select(*KEY, "r.*"), tolerance)
+    return finalised(worked_out(rows).select(*KEY, F.explode(found).alias("r")).select(*KEY, "r.*"), tolerance)
 
 
 def components_of(indicators: DataFrame) -> DataFrame:
