@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.sources.files import checkpoints
+from tessera.sources.files import written
 
 #: One unit of the last printed decimal, for 0 to 3 decimals.
 _LAST = [1.0, 0.1, 0.01, 0.001]
@@ -15,28 +15,40 @@ def _last(decimals: Column) -> Column:
     return F.get(F.array(*[F.lit(x) for x in _LAST]), F.least(decimals, F.lit(len(_LAST) - 1)))
 
 
-def _buckets(x: Column, width: Column) -> Column:
-    """The bucket of a figure and the ones beside it; figures no more than ``width`` apart share one with the other's own."""
-    return F.sequence(F.floor(x / width) - 1, F.floor(x / width) + 1)
+def _bucket(x: Column) -> Column:
+    """The bucket of a figure of 0 or more: 16 wide below 2^21, then twice as wide with each power of two, so always several times what may differ there.
 
+    Buckets rise with the figure and end at the powers of two."""
+    n = F.length(F.bin(F.floor(x / 2.0**20)))
+    return F.floor(x / (8 * F.pow(F.lit(2.0), n))) + n * (1 << 18)
 
-def printed_lines(lines: DataFrame, amounts: DataFrame, at: list[str], scales: list[float]) -> DataFrame:
-    """(at, idx, value, scale, printed): each line under its section's scale, and the amount that prints it, if any.
+
+def _between(low: Column, high: Column, bucket) -> Column:
+    """The bucket of either end, once: an interval narrower than the buckets touches no other."""
+    return F.explode(F.array_distinct(F.array(bucket(low), bucket(high))))
+
+
+def printed_lines(lines: DataFrame, amounts: DataFrame, at: list[str], scales: list[float], sections: DataFrame | None = None) -> DataFrame:
+    """(at, idx, value, scale, printed): each line under its section's scale, and the amount that prints it, if any; and the columns of ``sections`` (one row an ``at``).
 
     An amount prints a line if they differ by half of its last decimal, or a millionth of the line, at most. The scale is
-    the one under which most lines that aren't zero are printed, the first of equals. Lines meet near amounts only."""
-    big = F.lit(max(scales))
-    widths = lines.groupBy(*at).agg((1 + 2e-6 * F.max(F.abs("value")) * big).alias("_w"))
-    tried = F.explode(F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(s).alias("scale")) for i, s in enumerate(scales)])).alias("s")
-    wanted = lines.where("value <> 0").join(widths, at).select(*at, "idx", "_w", F.abs("value").alias("_v"), tried).select(*at, "idx", F.col("s.ord").alias("ord"), (F.col("_v") * F.col("s.scale")).alias("_t"), "_w")
-    wanted = wanted.withColumn("_b", F.explode(_buckets(F.col("_t"), F.col("_w"))))
-    there = amounts.join(widths, at).select(*at, "amount", "decimals", F.floor(F.col("amount") / F.col("_w")).alias("_b"))
+    the one, above zero, under which most lines that aren't zero are printed, the first of equals. Lines meet near amounts
+    only: a line is in one bucket, an amount in that of the least and of the greatest line that it may print, mostly the same."""
+    tried = F.explode(F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(float(s)).alias("scale")) for i, s in enumerate(scales)])).alias("s")
+    wanted = lines.where("value <> 0").select(*at, "idx", F.abs("value").alias("_v"), tried).select(*at, "idx", F.col("s.ord").alias("ord"), (F.col("_v") * F.col("s.scale")).alias("_t"))
+    wanted = wanted.withColumn("_b", _bucket(F.col("_t")))
+    # 1e-6 of a line of up to the amount and a half more is less than this
+    far = 0.501 + 1.01e-6 * F.abs("amount")
+    there = amounts.where(F.col("amount") + far >= 0).select(*at, "amount", "decimals", _between(F.greatest(F.col("amount") - far, F.lit(0.0)), F.col("amount") + far, _bucket).alias("_b"))
     near = F.abs(F.col("amount") - F.col("_t")) <= 0.5 * _last(F.col("decimals")) + 1e-6 * F.greatest("_t", F.lit(1.0))
-    hits = wanted.join(there, [*at, "_b"]).where(near).groupBy(*at, "idx", "ord").agg(F.min("amount").alias("printed"))
+    hits = written(wanted.join(there, [*at, "_b"]).where(near).groupBy(*at, "idx", "ord").agg(F.min("amount").alias("printed")))
     best = hits.groupBy(*at, "ord").agg(F.count("*").alias("n")).groupBy(*at).agg(F.max(F.struct("n", (-F.col("ord")).alias("o")))["o"].alias("_o"))
     chosen = lines.join(best, at, "left").withColumn("ord", F.coalesce(-F.col("_o"), F.lit(0))).drop("_o")
+    also = [x for x in sections.columns if x not in at] if sections is not None else []
+    if also:
+        chosen = chosen.join(sections, at, "left")
     scale = F.get(F.array(*[F.lit(float(s)) for s in scales]), F.col("ord"))
-    return chosen.join(hits, [*at, "idx", "ord"], "left").select(*at, "idx", "value", scale.alias("scale"), "printed")
+    return chosen.join(hits, [*at, "idx", "ord"], "left").select(*at, "idx", "value", scale.alias("scale"), "printed", *also)
 
 
 def gross_share_net(printed: DataFrame, amounts: DataFrame, at: list[str]) -> DataFrame:
@@ -47,9 +59,11 @@ def gross_share_net(printed: DataFrame, amounts: DataFrame, at: list[str]) -> Da
     sums = printed.groupBy(*at).agg((F.sum(F.col("value").cast("decimal(38,6)")).cast("double") * F.first("scale")).alias("gross"), F.first("scale").alias("scale"), (0.5 * (F.count("*") + 2)).alias("_tol"))
     lines = printed.where("printed IS NOT NULL").select(*at, F.col("printed").alias("amount")).distinct()
     free = amounts.where("amount > 0").select(*at, "amount", "decimals").distinct().join(lines, [*at, "amount"], "left_anti").join(sums, at)
+    wide = lambda x: F.floor(x / (4.5 * F.col("_tol")))  # noqa: E731  more than twice what may differ
     shares = free.select(*at, F.col("amount").alias("share"), F.col("decimals").alias("_d"), (F.col("gross") - F.col("amount")).alias("_rest"), "_tol")
-    shares = shares.withColumn("_b", F.explode(_buckets(F.abs("_rest"), F.col("_tol"))))
-    nets = free.select(*at, F.col("amount").alias("net"), F.col("decimals").alias("_e"), F.floor(F.col("amount") / F.col("_tol")).alias("_b"))
+    rest, far = F.abs("_rest"), F.col("_tol") * 1.001
+    shares = shares.withColumn("_b", _between(rest - far, rest + far, wide))
+    nets = free.select(*at, F.col("amount").alias("net"), F.col("decimals").alias("_e"), wide(F.col("amount")).alias("_b"))
     fit = F.abs(F.abs("_rest") - F.col("net")) <= F.col("_tol") * _last(F.least("_d", "_e"))
     pairs = shares.join(nets, [*at, "_b"]).where(fit)
     found = pairs.groupBy(*at).agg(F.min(F.struct("share", "net", F.when(F.col("_rest") < 0, -F.col("net")).otherwise(F.col("net")).alias("signed"))).alias("p"))
@@ -62,14 +76,15 @@ def section_controls(lines: DataFrame, amounts: DataFrame, key: list[str], scale
     lines: key, section, idx, value (in millions). amounts: key, section, amount, decimals, as printed. A line passes if
     it is printed, or zero, and its section's gross, share and net add up. A section without a single amount (a page
     that is a picture) can't be controlled: its lines fail, say so, and have no identity. Null values and amounts are
-    left out, repeated amounts count once, empty tables give no rows."""
+    left out, repeated amounts count once, empty tables give no rows. ``lines`` are read several times: hand over a table.
+    Amounts, what prints a line and sums are written once, compressed."""
     at = [*key, "section"]
-    checkpoints(lines.sparkSession)  # lines, amounts and what prints them are each read several times, and made once
-    lines = lines.where("value IS NOT NULL").select(*at, "idx", F.col("value").cast("double").alias("value")).checkpoint()
-    amounts = amounts.where("amount IS NOT NULL").select(*at, F.col("amount").cast("double").alias("amount"), "decimals").distinct().checkpoint()
+    lines = lines.where("value IS NOT NULL").select(*at, "idx", F.col("value").cast("double").alias("value"))
+    amounts = written(amounts.where("amount IS NOT NULL").select(*at, F.col("amount").cast("double").alias("amount"), "decimals").distinct())
     sections = amounts.select(*at).distinct().withColumn("_seen", F.lit(True))
-    printed = printed_lines(lines, amounts, at, scales).join(sections, at, "left").withColumn("controllable", F.col("_seen").isNotNull()).checkpoint()
-    sums = gross_share_net(printed.where("controllable"), amounts, at)
+    printed = printed_lines(lines, amounts, at, scales, sections)
+    printed = written(printed.withColumn("controllable", F.col("_seen").isNotNull()).drop("_seen"))
+    sums = written(gross_share_net(printed.where("controllable"), amounts, at))
     adds = F.coalesce(F.col("share").isNotNull(), F.lit(False))
     j = printed.join(sums.select(*at, "share"), at, "left")
     there = (F.col("value") == 0) | F.col("printed").isNotNull()

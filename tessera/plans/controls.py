@@ -11,6 +11,7 @@ from tessera.plans.domain import _CHECKS, _checks
 from tessera.plans.fixtures import companies, kpis
 from tessera.plans.queries import CK, K, c, query
 from tessera.session import table
+from tessera.sources.files import written
 
 KEYS = ["company_id", "year"]
 #: What millions are multiplied by: printed in thousands, millions or units.
@@ -68,7 +69,7 @@ r AS (SELECT *, floor(v * 10 + 0.5::DOUBLE) / 10 + CASE WHEN company_id % 17 = 0
 UNION ALL SELECT company_id, 'identity_' || section, gross / scale, (gross - share) / scale, share IS NOT NULL, true, CASE WHEN share IS NOT NULL THEN 'adds up' ELSE 'no share and net add up' END FROM su
 UNION ALL SELECT company_id, 'recomputed_ratio', ratio, v, abs(v - ratio) <= 0.05::DOUBLE + 1e-9, true, CASE WHEN abs(v - ratio) <= 0.05::DOUBLE + 1e-9 THEN 'agrees' ELSE 'differs' END FROM r""")
 def section_controls(spark, d):
-    lines = section_lines(spark, d)
+    lines = written(section_lines(spark, d))  # read by all that follows
     part = lambda s: F.sum(F.when(c("section") == s, c("value").cast("decimal(38,6)"))).cast("double")
     v = lines.groupBy("company_id").agg((F.try_divide(part("claims"), part("premiums")) * 100).alias("v"))
     stored = v.select("company_id", (F.floor(c("v") * 10 + 0.5) / 10 + F.when(c("company_id") % 17 == 0, 3.0).otherwise(0.0)).alias("ratio"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,18 @@ def checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir')}/tessera-checkpoints")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Writes ``df``, compressed, to the shared folder and reads it back: made once, however often it is read. Files go with the session's file system."""
+    spark = df.sparkSession
+    checkpoints(spark)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    path = f"{base}/tessera-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def json_lines(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """One object a line, by a stated schema: no pass over the data to infer one."""
     return spark.read.schema(schema).json(path)
