@@ -12,6 +12,9 @@ from tessera.session import table
 _FAR = "Risk margin of the year, as the chapter on valuation and both of its annexes tell it in detail: "
 ANCHORS = [("kpi1", ["R0010"], []), ("kpi2", [], ["Best Estimate"]), ("kpi3", ["R0030"], ["risk margin"]), ("kpi5", [], ["quantity of"]), ("kpi6", ["R0060"], []), ("kpi7", ["R0060"], [])]
 
+#: Lines of reports that are dealt to one task, about.
+LINES = 250_000
+
 
 def _grouped(x):
     return F.replace(F.format_number(x, 0), F.lit(","), F.lit(" "))
@@ -33,11 +36,13 @@ def report_pages(lines: DataFrame) -> DataFrame:
     n, cents = c("l_linenumber"), c("cents")
     text = F.when(n == 1, F.concat(F.lit("R0010\n    "), F.replace(_grouped(cents), F.lit(" "), F.lit(" ")))).when(n == 2, F.concat(F.lit("best estimate "), cents.cast("string"))).when(n == 3, F.concat(F.lit(_FAR), _grouped(cents)))
     text = text.when(n == 4, F.concat(F.lit("rate "), F.floor(c("l_discount") * 100 + 0.5).cast("string"), F.lit(" %"))).when(n == 5, F.concat(F.lit("quantity of "), c("l_quantity").cast("long").cast("string"))).otherwise(F.concat(F.lit("R0060 total "), F.replace(F.format_number(cents / 1000, 3), F.lit(","), F.lit(" "))))
-    own = lines.select("company_id", "page_no", n.alias("n"), text.alias("line"))
-    again = lines.where(n <= 2).select("company_id", (c("page_no") + 1).alias("page_no"), (n + 10).alias("n"), F.when(n == 1, F.concat(F.lit("carried "), _grouped(cents))).otherwise(F.concat(F.lit("before: best estimate "), cents.cast("string"))).alias("line"))
+    own = F.struct(c("page_no").alias("page_no"), n.alias("n"), text.alias("line"))
+    again = F.struct((c("page_no") + 1).alias("page_no"), (n + 10).alias("n"), F.when(n == 1, F.concat(F.lit("carried "), _grouped(cents))).otherwise(F.concat(F.lit("before: best estimate "), cents.cast("string"))).alias("line"))
+    told_in = F.when(n <= 2, F.array(own, again)).otherwise(F.array(own))
+    both = lines.select("company_id", F.inline(told_in))
     told = F.struct("n", source_pages.plain_spaces(c("line")).alias("plain"), "line")  # lines of a number stand in order of what they say, whatever their spaces
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(told)), lambda x: x["line"]), "\n")
-    return own.unionByName(again).groupBy("company_id", "page_no").agg(joined.alias("text"))
+    return both.groupBy("company_id", "page_no").agg(joined.alias("text"))
 
 
 def figures(lines: DataFrame) -> DataFrame:
@@ -54,7 +59,10 @@ def figures(lines: DataFrame) -> DataFrame:
 def _found(spark, d) -> DataFrame:
     lines = _lines(spark, d)
     anchors = spark.createDataFrame(ANCHORS, "kpi_name string, codes array<string>, labels array<string>")
-    return source_pages.find_pages(figures(lines), report_pages(lines), anchors, ["company_id"])
+    n, kinds = table(spark, d, "lineitem").agg(F.count("*"), F.count_distinct("l_linenumber")).first()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // LINES))  # a number that is given is kept: a line is little to read and much to do
+    lines = lines.repartition(parts, "company_id")  # as lines, not as texts; pages, figures and the search take no other shuffle
+    return source_pages.find_pages(figures(lines), report_pages(lines), anchors, ["company_id"], kinds + 1)  # a figure is one of a line number, or of none
 
 
 def _sql_list(words) -> str:
